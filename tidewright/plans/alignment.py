@@ -284,7 +284,7 @@ def nearest_item_on_grid(t: Tables) -> DataFrame:
     s AS (SELECT event_id, user_id, epoch_us(ts) AS us FROM events WHERE event_type = 'click')
     SELECT s.event_id, CAST(floor(us / 21600000000) AS BIGINT) * 21600000000 AS issue_us,
       CAST(ceil(us / 3600000000.0 - 0.5) AS BIGINT) * 3600000000 AS valid_us,
-      (round(f.forecast, 6) + 0.0) AS forecast, f.user_id IS NOT NULL AS has_forecast
+      (round(f.forecast + 1e-10, 6) + 0.0) AS forecast, f.user_id IS NOT NULL AS has_forecast
     FROM s LEFT JOIN f ON s.user_id = f.user_id AND f.valid_us = CAST(ceil(us / 3600000000.0 - 0.5) AS BIGINT) * 3600000000""",
 )
 def forecast_match(t: Tables) -> DataFrame:

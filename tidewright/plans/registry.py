@@ -40,8 +40,11 @@ def query(name: str, sql: str | None = None):
 
 
 def r6(x: ColumnLike, digits: int = 6) -> Column:
-    """Rounded for comparison; sums differ in the last bits between runs."""
-    return F.round(col(x), digits) + F.lit(0.0)
+    """Rounded for comparison; sums differ in the last bits between runs.
+
+    The small offset moves exact halves off the rounding boundary, the same way in the SQL.
+    """
+    return F.round(col(x) + 1e-10, digits) + F.lit(0.0)
 
 
 def rounded(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
@@ -49,4 +52,4 @@ def rounded(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
 
 
 def sql_r6(x: str, digits: int = 6) -> str:
-    return f"(round(CAST({x} AS DOUBLE), {digits}) + 0.0)"
+    return f"(round(CAST({x} AS DOUBLE) + 1e-10, {digits}) + 0.0)"

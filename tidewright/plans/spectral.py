@@ -77,7 +77,7 @@ h AS (SELECT *, CASE WHEN whole THEN m0 END AS n0, CASE WHEN whole THEN m1 END A
     f"""{SQL_BULK} SELECT l_orderkey, {sql_r6('n0')} AS m0, {sql_r6('4 * sqrt(n0)')} AS "Hm0", {sql_r6('tp')} AS "Tp",
       {sql_r6('s4 / nullif(s4f, 0)')} AS "Tp_smooth", {sql_r6('n0 / nullif(n1, 0)')} AS "Tm01",
       {sql_r6('sqrt(n0 / nullif(n2, 0))')} AS "Tm02", {sql_r6('nm / nullif(n0, 0)')} AS "Tm_10",
-      {sql_r6("2 * s2f / nullif(n0 * n0, 0)", 12)} AS "Qp",
+      {sql_r6("2 * s2f / nullif(n0 * n0, 0)")} AS "Qp",
       {sql_r6('2 * pi() * 4 * sqrt(n0) / (9.80665 * tp * tp)')} AS steepness_p, {sql_r6('pk.a')} AS "Dp",
       {sql_r6('CASE WHEN dm < 0 THEN dm + 360 ELSE dm END')} AS "Dm",
       {sql_r6('degrees(sqrt(2 * (1 - sqrt(ca * ca + cb * cb))))')} AS spread_m,
@@ -86,8 +86,7 @@ h AS (SELECT *, CASE WHEN whole THEN m0 END AS n0, CASE WHEN whole THEN m1 END A
 )
 def bulk_wave_parameters(t: Tables) -> DataFrame:
     out = spectra.bulk_parameters(spectra_of_orders(t), REC, directional=True).drop("nu")
-    out = rounded(out, *[c for c in out.columns if c not in ("l_orderkey", "Qp")])
-    return rounded(out, "Qp", digits=12)
+    return rounded(out, *[c for c in out.columns if c != "l_orderkey"])
 
 
 @query(

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.base import clip, divide
+from ..functions.base import DAY_US, clip, divide, micros
 from ..functions.stats import seeded_hash
 from .ordered import ordered, position
 from .quantiles import quantiles
@@ -135,21 +135,31 @@ def degraded_control(
 
 
 def local_calibration(
-    df: DataFrame, *, station: str, time: str, forecast: str, observed: str, fit_days: float = 7, embargo_days: float = 1,
-    min_rows: int = 24, shrink: float = 24.0,
+    df: DataFrame, *, station: str, time: str, observed: str, forecast: str, disagreement: str, weight: str,
+    mean_d2: str, fit_days: float = 7, later_days: float = 9, min_rows: int = 24, penalty_rows: float = 50.0,
 ) -> DataFrame:
-    """Per-station bias of the first days, shrunk by row count, applied after an embargo."""
-    from ..functions.base import DAY_US, micros
+    """Each station's weight shifted by its first days, applied after an embargo.
 
+    The offset is d.(observed - blend) / (d.d + p mean_d2) over the first ``fit_days``; stations
+    with fewer than ``min_rows`` early rows are left out, as their offset is not known.
+    """
     us = micros(time)
+    d, blend = F.col(disagreement), F.col(forecast) + F.col(weight) * F.col(disagreement)
     starts = df.groupBy(station).agg(F.min(us).alias("_t0"))
     rows = salted_join(df, starts, [station], how="left").withColumn("_age", (us - F.col("_t0")) / DAY_US)
-    e = F.when(F.col("_age") < fit_days, F.col(observed) - F.col(forecast))
-    fit = rows.groupBy(station).agg(F.sum(e).alias("_s"), F.count(e).alias("_n"))
-    fit = fit.select(station, F.when(F.col("_n") >= min_rows, F.col("_s") / (F.col("_n") + shrink)).alias("local_bias"))
-    later = rows.where(F.col("_age") >= fit_days + embargo_days).drop("_t0", "_age")
-    out = salted_join(later, fit, [station], how="left")
-    return out.withColumn("calibrated", F.col(forecast) + F.coalesce("local_bias", F.lit(0.0)))
+    early = F.col("_age") < fit_days
+    fit = rows.groupBy(station).agg(
+        F.sum(F.when(early, d * (F.col(observed) - blend))).alias("_x"),
+        F.sum(F.when(early, d * d)).alias("_s"),
+        F.count_if(early).alias("_n"),
+        F.min(mean_d2).alias("_m"),
+    )
+    offset = F.coalesce(divide(F.col("_x"), F.col("_s") + penalty_rows * F.col("_m")), F.lit(0.0))
+    fit = fit.where(F.col("_n") >= min_rows).select(station, offset.alias("offset"))
+    later = rows.where(F.col("_age") >= later_days).drop("_t0", "_age")
+    out = salted_join(later, fit, [station], how="left").where("offset is not null")
+    shifted = clip(F.col(weight) + F.col("offset"), 0.0, 1.0)
+    return out.withColumn("local_blend", F.col(forecast) + shifted * d)
 
 
 def gated_swap(

@@ -4,8 +4,6 @@ Only sums leave the rows. The small linear systems are solved inside tasks, one
 by an Arrow-batched function, so many groups are solved in parallel and nothing is collected.
 """
 
-from __future__ import annotations
-
 from collections.abc import Sequence
 
 import numpy as np
@@ -44,36 +42,41 @@ def gram_sums(features: Sequence[str], target: str) -> dict[str, Column]:
     }
 
 
-def _square(upper: np.ndarray, d: int) -> np.ndarray:
-    out = np.zeros((d, d))
-    out[np.triu_indices(d)] = upper
-    return out + np.triu(out, 1).T
-
-
-@F.pandas_udf(MODEL)
-def _solve(n: pd.Series, sx: pd.Series, sxx: pd.Series, sxy: pd.Series, sy: pd.Series, alpha: pd.Series) -> pd.DataFrame:
-    """Ridge on standardised features from sums, one system per row."""
-    rows = []
-    for k, a, u, b, t, penalty in zip(n, sx, sxx, sxy, sy, alpha, strict=True):
-        d = len(a)
-        if k < 1:
-            rows.append((None, None, None, None))
-            continue
-        mu = np.asarray(a) / k
-        cov = _square(np.asarray(u), d) - k * np.outer(mu, mu)
-        sd = np.sqrt(np.maximum(np.diag(cov) / k, 0))
-        sd = np.where(sd > 1e-12 * np.maximum(np.abs(mu), 1), sd, 1.0)
-        z = cov / np.outer(sd, sd) + penalty * np.eye(d)
-        rhs = (np.asarray(b) - mu * t) / sd
-        coef = np.linalg.lstsq(z, rhs, rcond=None)[0] if penalty == 0 else np.linalg.solve(z, rhs)
-        rows.append((mu.tolist(), sd.tolist(), coef.tolist(), t / k))
-    return pd.DataFrame(rows, columns=["mu", "sd", "coef", "intercept"])
+def _solver():
+    """Ridge on standardised features from sums, one system per row.
+
+    The function is built when a plan is, and holds all it needs, so tasks only need NumPy.
+    """
+
+    def square(upper, d):
+        out = np.zeros((d, d))
+        out[np.triu_indices(d)] = upper
+        return out + np.triu(out, 1).T
+
+    def run(n: pd.Series, sx: pd.Series, sxx: pd.Series, sxy: pd.Series, sy: pd.Series, alpha: pd.Series) -> pd.DataFrame:
+        rows = []
+        for k, a, u, b, t, penalty in zip(n, sx, sxx, sxy, sy, alpha, strict=True):
+            d = len(a)
+            if k < 1:
+                rows.append((None, None, None, None))
+                continue
+            mu = np.asarray(a) / k
+            cov = square(np.asarray(u), d) - k * np.outer(mu, mu)
+            sd = np.sqrt(np.maximum(np.diag(cov) / k, 0))
+            sd = np.where(sd > 1e-12 * np.maximum(np.abs(mu), 1), sd, 1.0)
+            z = cov / np.outer(sd, sd) + penalty * np.eye(d)
+            rhs = (np.asarray(b) - mu * t) / sd
+            coef = np.linalg.lstsq(z, rhs, rcond=None)[0] if penalty == 0 else np.linalg.solve(z, rhs)
+            rows.append((mu.tolist(), sd.tolist(), coef.tolist(), t / k))
+        return pd.DataFrame(rows, columns=["mu", "sd", "coef", "intercept"])
+
+    return F.pandas_udf(run, MODEL)
 
 
 def solve(sums: DataFrame, alpha: float | Column = 1.0) -> DataFrame:
     """Adds ``model`` to a table of Gram sums."""
     penalty = alpha if isinstance(alpha, Column) else F.lit(float(alpha))
-    return sums.withColumn("model", _solve("n", "sx", "sxx", "sxy", "sy", penalty.cast("double")))
+    return sums.withColumn("model", _solver()("n", "sx", "sxx", "sxy", "sy", penalty.cast("double")))
 
 
 def ridge_fit(
@@ -134,22 +137,32 @@ def ridge_out_of_fold(
     return joined.withColumn(output, m["intercept"] + sum(terms[1:], terms[0])).drop("model")
 
 
-@F.pandas_udf("double")
-def _squared_error(model: pd.DataFrame, n: pd.Series, sx: pd.Series, sxx: pd.Series, sxy: pd.Series, sy: pd.Series, syy: pd.Series) -> pd.Series:
+def _squared_error():
     """Sum of squared errors of a model on rows known only by their sums."""
-    out = []
-    for mu, sd, coef, b0, k, a, u, b, t, q in zip(
-        model["mu"], model["sd"], model["coef"], model["intercept"], n, sx, sxx, sxy, sy, syy, strict=True
-    ):
-        if mu is None or k == 0:
-            out.append(None)
-            continue
-        w = np.asarray(coef) / np.asarray(sd)
-        c = b0 - w @ np.asarray(mu)
-        g = _square(np.asarray(u), len(a))
-        sse = q - 2 * (w @ np.asarray(b) + c * t) + w @ g @ w + 2 * c * (w @ np.asarray(a)) + k * c * c
-        out.append(max(float(sse), 0.0))
-    return pd.Series(out, dtype="float64")
+
+    def square(upper, d):
+        out = np.zeros((d, d))
+        out[np.triu_indices(d)] = upper
+        return out + np.triu(out, 1).T
+
+    def run(
+        model: pd.DataFrame, n: pd.Series, sx: pd.Series, sxx: pd.Series, sxy: pd.Series, sy: pd.Series, syy: pd.Series
+    ) -> pd.Series:
+        out = []
+        for mu, sd, coef, b0, k, a, u, b, t, q in zip(
+            model["mu"], model["sd"], model["coef"], model["intercept"], n, sx, sxx, sxy, sy, syy, strict=True
+        ):
+            if mu is None or k == 0:
+                out.append(None)
+                continue
+            w = np.asarray(coef) / np.asarray(sd)
+            c = b0 - w @ np.asarray(mu)
+            g = square(np.asarray(u), len(a))
+            sse = q - 2 * (w @ np.asarray(b) + c * t) + w @ g @ w + 2 * c * (w @ np.asarray(a)) + k * c * c
+            out.append(max(float(sse), 0.0))
+        return pd.Series(out, dtype="float64")
+
+    return F.pandas_udf(run, "double")
 
 
 def ridge_select_alpha(
@@ -170,7 +183,7 @@ def ridge_select_alpha(
     if not by:
         fitted, val, keys = fitted.withColumn("_1", F.lit(1)), val.withColumn("_1", F.lit(1)), ["_1"]
     both = fitted.join(val, keys)
-    sse = _squared_error("model", *[f"v_{k}" for k in ("n", "sx", "sxx", "sxy", "sy", "syy")])
+    sse = _squared_error()("model", *[f"v_{k}" for k in ("n", "sx", "sxx", "sxy", "sy", "syy")])
     both = both.withColumn("val_rmse", F.sqrt(sse / F.col("v_n")))
     best = F.min_by(F.struct("alpha", "val_rmse", "model"), F.struct("val_rmse", "alpha"))
     return both.groupBy(*keys).agg(best.alias("b")).select(*by, "b.alpha", "b.val_rmse", "b.model")

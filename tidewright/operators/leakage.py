@@ -80,13 +80,11 @@ def near_duplicates(
         near = [sum(1 << x for x in c) for r in range(radius + 1) for c in combinations(range(width), r)]
         return F.array(*[F.lit(x).cast("bigint") for x in near])
 
-    probes = F.flatten(
-        F.array(*[
-            F.transform(flips(i), lambda f, i=i: F.struct(
-                F.lit(i).alias("band"), band_value("left_hash", i).bitwiseXOR(f).alias("v")))
-            for i in range(bands)
-        ])
-    )
+    def probe(i: int) -> Column:
+        value = band_value("left_hash", i)
+        return F.transform(flips(i), lambda f: F.struct(F.lit(i).alias("band"), value.bitwiseXOR(f).alias("v")))
+
+    probes = F.flatten(F.array(*[probe(i) for i in range(bands)]))
     own = F.array(
         *[F.struct(F.lit(i).alias("band"), band_value("right_hash", i).alias("v")) for i in range(bands)]
     )

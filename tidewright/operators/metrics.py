@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -206,46 +208,77 @@ def ensemble_class(df: DataFrame, by: Sequence[str], cls: str, proba: str) -> Da
     return mean.groupBy(*by).agg(best.alias("b")).select(*by, F.col("b.c").alias("pred"), F.col("b.p").alias("proba"))
 
 
-def event_matches(
-    reference: DataFrame, predicted: DataFrame, by: Sequence[str], time: str, tolerance_s: float
-) -> DataFrame:
-    """Greedy one-to-one matching of event times within a tolerance, and its counts per record.
+def event_pairs(
+    reference: DataFrame, predicted: DataFrame, by: Sequence[str], time: str, tolerance_s: float, *, limit=None
+) -> tuple[DataFrame, DataFrame]:
+    """Greedy one-to-one matching of event times: (numbered events, matched pairs).
 
-    Two events more than ``2 * tolerance`` apart can never compete for a partner, so each record
-    is cut into independent clusters at such gaps, and only a cluster is scanned in sequence.
+    In time order the earliest unmatched events of both sides pair up if they lie within the
+    tolerance. Events further apart than the tolerance never compete, so each record falls into
+    independent clusters at such gaps. Clusters spread over the partitions and are streamed in
+    order; a task only holds the unmatched events of the last ``tolerance_s`` seconds.
     """
-    import pandas as pd
-
     from .ordered import Prev, RunningSum, ordered
 
     both = reference.select(*by, F.col(time).cast("double").alias("t"), F.lit(0).alias("side")).unionByName(
         predicted.select(*by, F.col(time).cast("double").alias("t"), F.lit(1).alias("side"))
     )
-    both = both.withColumn("_id", F.xxhash64(*both.columns))
-    seen = ordered(both, by, ["t", "side", "_id"], _p=Prev(F.col("t")))
-    cut = F.coalesce((F.col("t") - F.col("_p") > tolerance_s), F.lit(True)).cast("bigint")
-    seen = ordered(seen.withColumn("_cut", cut), by, ["t", "side", "_id"], cluster=RunningSum(F.col("_cut")))
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in seen.select(*by).schema)
-    schema += ", n_ref bigint, n_pred bigint, n_hit bigint, abs_err double"
-    names = list(by)
-
-    def scan(key, rows: pd.DataFrame) -> pd.DataFrame:
-        a = rows.loc[rows.side == 0, "t"].sort_values().to_numpy()
-        b = rows.loc[rows.side == 1, "t"].sort_values().to_numpy()
-        i = j = hits = 0
-        err = 0.0
-        while i < len(a) and j < len(b):
-            gap = b[j] - a[i]
-            if abs(gap) <= tolerance_s:
-                hits, err, i, j = hits + 1, err + abs(gap), i + 1, j + 1
-            elif gap < 0:
-                j += 1
-            else:
-                i += 1
-        return pd.DataFrame([(*key[: len(names)], len(a), len(b), hits, err)], columns=[*names, "n_ref", "n_pred", "n_hit", "abs_err"])
-
-    parts = seen.groupBy(*by, "cluster").applyInPandas(scan, schema)
-    return parts.groupBy(*by).agg(
-        F.sum("n_ref").alias("n_ref"), F.sum("n_pred").alias("n_pred"), F.sum("n_hit").alias("n_hit"),
-        divide(F.sum("abs_err"), F.sum("n_hit")).alias("mean_abs_error_s"),
-    )
+    order = ["t", "side"]
+    one = F.when(F.col("side") == 0, 1).otherwise(0).cast("bigint")
+    seen = ordered(
+        both, by, order, limit=limit, _p=Prev(F.col("t")), n_ref=RunningSum(one), n_pred=RunningSum(1 - one)
+    )
+    cut = F.coalesce(F.col("t") - F.col("_p") > tolerance_s, F.lit(True)).cast("bigint")
+    seen = ordered(
+        seen.withColumn("_cut", cut).drop("_p"), by, order, limit=limit, cluster=RunningSum(F.col("_cut"))
+    )
+    seen = seen.withColumn("index", F.when(F.col("side") == 0, F.col("n_ref")).otherwise(F.col("n_pred")))
+    rows = seen.select(*by, "cluster", "t", "side", "index")
+    keys = [*by, "cluster"]
+    fields = [f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*by).schema]
+    schema = ", ".join([*fields, "ref_t double", "pred_t double", "ref_index bigint", "pred_index bigint"])
+    n_by = len(by)
+
+    def match(batches):
+        here, waiting = None, deque()
+        for batch in batches:
+            out = []
+            for row in batch.itertuples(index=False, name=None):
+                key, (t, side, index) = row[: n_by + 1], row[n_by + 1 :]
+                if key != here:
+                    here = key
+                    waiting.clear()
+                while waiting and waiting[0][0] < t - tolerance_s:
+                    waiting.popleft()
+                if waiting and waiting[0][1] != side:
+                    u, _, k = waiting.popleft()
+                    pair = (u, t, k, index) if side else (t, u, index, k)
+                    out.append((*key[:n_by], *pair))
+                else:
+                    waiting.append((t, side, index))
+            yield pd.DataFrame(out, columns=[*by, "ref_t", "pred_t", "ref_index", "pred_index"])
+
+    spread = rows.repartition(*keys).sortWithinPartitions(*keys, *order, "index")
+    return seen, spread.mapInPandas(match, schema)
+
+
+def event_scores(
+    reference: DataFrame, predicted: DataFrame, by: Sequence[str], time: str, tolerance_s: float, *, limit=None
+) -> DataFrame:
+    """Hits, events on both sides, and errors of the intervals between successive matched events."""
+    from .ordered import Prev, ordered
+
+    events, pairs = event_pairs(reference, predicted, by, time, tolerance_s, limit=limit)
+    counts = events.groupBy(*by).agg(
+        F.count_if(F.col("side") == 0).alias("observed"), F.count_if(F.col("side") == 1).alias("called")
+    )
+    fields = F.struct("ref_t", "pred_t", "ref_index", "pred_index")
+    seen = ordered(pairs, by, ["ref_index"], limit=limit, _p=Prev(fields))
+    next_to = (F.col("ref_index") == F.col("_p.ref_index") + 1) & (F.col("pred_index") == F.col("_p.pred_index") + 1)
+    error = F.abs((F.col("ref_t") - F.col("_p.ref_t")) - (F.col("pred_t") - F.col("_p.pred_t")))
+    hits = seen.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("hits"),
+        F.coalesce(F.sum(F.when(next_to, error)), F.lit(0.0)).alias("interval_abs_error_sum_s"),
+        F.count_if(F.coalesce(next_to, F.lit(False))).alias("matched_intervals"),
+    )
+    return counts.join(hits, list(by), "left").fillna(0)

@@ -301,13 +301,13 @@ def hashed_vectors(t: Tables) -> DataFrame:
     "leakage_near_duplicates",
     """WITH h AS (SELECT vec_id, [x > 0 FOR x IN embedding] AS b, vec_id % 3 = 0 AS test FROM embeddings)
     SELECT d AS distance, count(*) AS n_pairs FROM (SELECT len(list_filter(list_zip(a.b, c.b), lambda z: z[1] <> z[2])) AS d
-      FROM h a, h c WHERE a.test AND NOT c.test) WHERE d <= 8 GROUP BY 1""",
+      FROM h a, h c WHERE a.test AND NOT c.test) WHERE d <= 17 GROUP BY 1""",
 )
 def leakage_near_duplicates(t: Tables) -> DataFrame:
-    """Test and train vectors whose sign bits differ in at most eight places."""
+    """Test and train vectors whose sign bits differ in at most seventeen places."""
     h = hashed_vectors(t)
     pairs = leakage.near_duplicates(
-        h.where("split = 'test'"), h.where("split = 'train'"), "hash", max_hamming=8, bands=5
+        h.where("split = 'test'"), h.where("split = 'train'"), "hash", max_hamming=17, bands=6
     )
     return pairs.groupBy("distance").agg(F.sum("n_pairs").alias("n_pairs"))
 

@@ -268,7 +268,8 @@ def hourly(t: Tables) -> DataFrame:
 def pair_agreement(t: Tables) -> DataFrame:
     h = hourly(t)
     s = h.select("s").distinct()
-    pairs = s.select(F.col("s").alias("a"), F.explode(F.sequence(F.lit(0), F.lit(5))).cast("bigint").alias("b")).where("a < b")
+    pairs = s.select(F.col("s").alias("a"), F.explode(F.sequence(F.lit(0), F.lit(5))).alias("k"))
+    pairs = pairs.select("a", F.col("k").cast("bigint").alias("b")).where("a < b")
     out = archive.pair_agreement(h, pairs, station="s", hour="h", value="v", min_hours=50)
     return rounded(out, "pearson_r", "median_abs_rel_diff", "p90_abs_rel_diff", "systematic_pct", "random_pct", "r_best_lag")
 

@@ -151,11 +151,11 @@ def _by_chunk(df, keys, order, specs) -> DataFrame:
     spanning = parts.withColumn("_chunks_of_key", F.count(F.lit(1)).over(same_key)).where("_chunks_of_key > 1")
     w = same_key.orderBy(CHUNK)
     carry = spanning.select(
-        F.col(CHUNK).alias("_c"),
+        F.col(CHUNK).alias("_carry_chunk"),
         *[F.col(k).alias(f"_carry_key{i}") for i, k in enumerate(keys)],
         *[_carry(s, k, w).alias(f"_carry_{k}") for k, s in specs.items()],
     )
-    on = F.col(CHUNK) == F.col("_c")
+    on = F.col(CHUNK) == F.col("_carry_chunk")
     for i, k in enumerate(keys):
         on = on & F.col(k).eqNullSafe(F.col(f"_carry_key{i}"))
     local = _window([CHUNK, *keys], order)

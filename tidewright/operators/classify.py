@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.base import divide
+from ..session import materialise
 
 
 def confusion_matrix(df: DataFrame, true: str, pred: str, k: int, by: Sequence[str] = ()) -> DataFrame:
@@ -44,8 +45,9 @@ def per_class(matrix: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 def report_from_matrix(matrix: DataFrame, k: int, by: Sequence[str] = ()) -> DataFrame:
     """Accuracy, balanced, macro and weighted scores, and the ordinal metrics, per group.
 
-    The matrix has k*k rows per group, so everything after the count is small.
+    The matrix has k*k rows per group; it is materialised once and everything after is small.
     """
+    matrix = materialise(matrix)
     n, i, j = F.col("n"), F.col("true"), F.col("pred")
     d = (i - j).cast("double")
     cell = matrix.groupBy(*by).agg(

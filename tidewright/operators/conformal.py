@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.base import finite
+from ..session import materialise
 from .ordered import RunningSum, ordered
 from .skew import salted_join
 
@@ -28,7 +29,8 @@ def threshold(
     groups = counts.groupBy(*keys).agg(F.count(F.lit(1)).alias("_k"))
     per_score = ok.groupBy(*keys, group, "_s").agg(F.count(F.lit(1)).alias("_m"))
     joined = salted_join(per_score, counts, [*keys, group], how="left", limit=limit)
-    mass = joined.groupBy(*keys, "_s").agg(F.sum(F.col("_m") / F.col("_n")).alias("_w"))
+    # Read by the count of the scan and by the scan itself.
+    mass = materialise(joined.groupBy(*keys, "_s").agg(F.sum(F.col("_m") / F.col("_n")).alias("_w")))
     run = ordered(mass, keys, ["_s"], limit=limit, _cum=RunningSum(F.col("_w")))
     run = salted_join(run, groups, keys, how="left", limit=limit)
     hit = F.col("_cum") / (F.col("_k") + 1) >= level - 1e-12

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.base import divide
-from .ordered import Next, Prev, RunningSum, ordered, position
+from .ordered import Next, Prev, RunningSum, largest_group, ordered, position
 from .skew import salted_join
 
 
@@ -45,19 +45,21 @@ def zero_crossing_waves(
     base = detrend(df, record, time, value, how, limit).select(
         *record, F.col(time).cast("double").alias("_t"), "_eta"
     )
-    seen = ordered(base, record, ["_t"], limit=limit, _p=Prev(F.struct("_t", "_eta")))
+    largest = largest_group(base, record)
+    seen = ordered(base, record, ["_t"], limit=limit, largest=largest, _p=Prev(F.struct("_t", "_eta")))
     a, b = F.col("_p._eta"), F.col("_eta")
     hit = (a < 0) & (b >= 0) if crossing == "up" else (a > 0) & (b <= 0)
     hit = F.coalesce(hit, F.lit(False))
     start = F.col("_p._t") + a / (a - b) * (F.col("_t") - F.col("_p._t"))
     seen = seen.withColumns({"_hit": hit.cast("bigint"), "_start": F.when(hit, start)}).drop("_p")
-    seen = ordered(seen, record, ["_t"], limit=limit, wave=RunningSum(F.col("_hit")))
+    seen = ordered(seen, record, ["_t"], limit=limit, largest=largest, wave=RunningSum(F.col("_hit")))
     waves = (
         seen.where("wave > 0")
         .groupBy(*record, "wave")
         .agg(F.max("_start").alias("start_s"), F.max("_eta").alias("_hi"), F.min("_eta").alias("_lo"))
     )
-    waves = ordered(waves, record, ["wave"], limit=limit, _end=Next(F.col("start_s"))).where("_end is not null")
+    # A record has fewer waves than samples.
+    waves = ordered(waves, record, ["wave"], limit=limit, largest=largest, _end=Next(F.col("start_s"))).where("_end is not null")
     crest, trough = F.greatest("_hi", F.lit(0.0)), F.greatest(-F.col("_lo"), F.lit(0.0))
     return waves.select(
         *record,

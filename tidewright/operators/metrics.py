@@ -218,19 +218,20 @@ def event_pairs(
     independent clusters at such gaps. Clusters spread over the partitions and are streamed in
     order; a task only holds the unmatched events of the last ``tolerance_s`` seconds.
     """
-    from .ordered import Prev, RunningSum, ordered
+    from .ordered import Prev, RunningSum, largest_group, ordered
 
     both = reference.select(*by, F.col(time).cast("double").alias("t"), F.lit(0).alias("side")).unionByName(
         predicted.select(*by, F.col(time).cast("double").alias("t"), F.lit(1).alias("side"))
     )
     order = ["t", "side"]
     one = F.when(F.col("side") == 0, 1).otherwise(0).cast("bigint")
+    largest = largest_group(both, by)
     seen = ordered(
-        both, by, order, limit=limit, _p=Prev(F.col("t")), n_ref=RunningSum(one), n_pred=RunningSum(1 - one)
+        both, by, order, limit=limit, largest=largest, _p=Prev(F.col("t")), n_ref=RunningSum(one), n_pred=RunningSum(1 - one)
     )
     cut = F.coalesce(F.col("t") - F.col("_p") > tolerance_s, F.lit(True)).cast("bigint")
     seen = ordered(
-        seen.withColumn("_cut", cut).drop("_p"), by, order, limit=limit, cluster=RunningSum(F.col("_cut"))
+        seen.withColumn("_cut", cut).drop("_p"), by, order, limit=limit, largest=largest, cluster=RunningSum(F.col("_cut"))
     )
     seen = seen.withColumn("index", F.when(F.col("side") == 0, F.col("n_ref")).otherwise(F.col("n_pred")))
     rows = seen.select(*by, "cluster", "t", "side", "index")

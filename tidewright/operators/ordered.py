@@ -73,15 +73,16 @@ def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
 
 
 def ordered(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], *, limit: int | None = None, **specs: Spec
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], *, limit: int | None = None, largest: int | None = None, **specs: Spec
 ) -> DataFrame:
     """Add one column per spec, computed over ``keys`` in ascending ``order``.
 
     ``order`` must be a total order within a key where ties would matter. Results do not
-    depend on which of the two plans runs.
+    depend on which of the two plans runs. ``largest`` is the size of the largest key where a
+    caller has measured it already (a bound is enough), which saves the counting pass.
     """
     limit = limit or rows_per_task(df.sparkSession)
-    if largest_group(df, keys) <= limit:
+    if (largest_group(df, keys) if largest is None else largest) <= limit:
         return _by_key(df, keys, order, specs)
     return _by_chunk(df, keys, order, specs)
 

@@ -191,10 +191,11 @@ def flat_line(
     """Runs of successive values equal within ``tolerance``; zero never fails, a gap breaks a run."""
     limit = limit or rows_per_task(df.sparkSession)
     base = df.withColumn("_us", micros(time)).withColumn("_v", finite(value))
-    seen = ordered(base, by, ["_us", tie], limit=limit, _p=Prev(F.col("_v")), _n=position())
+    largest = largest_group(base, by)
+    seen = ordered(base, by, ["_us", tie], limit=limit, largest=largest, _p=Prev(F.col("_v")), _n=position())
     same = F.coalesce(F.abs(F.col("_v") - F.col("_p")) <= tolerance, F.lit(False))
     seen = seen.withColumn("_start", F.when(~same, F.col("_n")))
-    seen = ordered(seen, by, ["_us", tie], limit=limit, _first=LastKnown(F.col("_start")))
+    seen = ordered(seen, by, ["_us", tie], limit=limit, largest=largest, _first=LastKnown(F.col("_start")))
     run = F.col("_n") - F.col("_first") + 1
     flag = (
         F.when(F.col("_v").isNull(), MISSING)

@@ -7,11 +7,17 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import rows_per_task
+from ..session import materialise, rows_per_task
 
 MAX_HOT_KEYS = 100_000
 
 
+def _broadcast_rows(df: DataFrame) -> int:
+    """Rows of this schema that are certainly small enough to broadcast (some tens of MB)."""
+    nested = any(f.dataType.typeName() in ("array", "map", "struct") for f in df.schema)
+    return 1_000 if nested else MAX_HOT_KEYS
+
+
 def _hot_keys(left: DataFrame, right: DataFrame, on: Sequence[str], limit: int) -> DataFrame | None:
     """Keys with more than ``limit`` rows on a side, with the number of slices for each side.
 
@@ -40,9 +46,16 @@ def salted_join(
 ) -> DataFrame:
     """Join on ``on`` (never NULL); a hot key becomes a grid of (left slice, right slice) tasks.
 
-    Both sides may be hot. ``how`` is ``inner``, or ``left`` where only the left side is split.
+    Both sides may be hot. ``how`` is ``inner``, or ``left``, which attaches a table with one row
+    per key: that table is computed once, and broadcast if its row count proves it small, so the
+    left side is not even shuffled; otherwise the left side is split where it is hot.
     """
+    asked = limit
     limit = limit or rows_per_task(left.sparkSession)
+    if how == "left":
+        right = materialise(right)
+        if asked is None and right.count() <= _broadcast_rows(right):
+            return left.join(F.broadcast(right), list(on), how)
     hot = _hot_keys(left, right, on, limit)
     if hot is None:
         return left.join(right, list(on), how)

@@ -145,9 +145,11 @@ WITH c AS (SELECT d.lang, CASE WHEN n_chars <= 500 THEN 0 WHEN n_chars <= 1500 T
 
 def class_pairs(t: Tables) -> DataFrame:
     blanks = F.length("text") - F.length(F.replace(F.col("text"), F.lit(" "), F.lit("")))
-    return t.documents.select(
+    # The text is read once per row; the class refers to the count several times.
+    d = t.documents.select("lang", "n_chars", blanks.alias("blanks"))
+    return d.select(
         "lang", classes.right_closed_class("n_chars", (500, 1500, 4000)).alias("a"),
-        classes.right_closed_class(blanks, (90, 250, 500)).alias("b"),
+        classes.right_closed_class("blanks", (90, 250, 500)).alias("b"),
     )
 
 

@@ -82,7 +82,7 @@ def clock_shift_scan(
 ) -> DataFrame:
     """Per key: the clock shift with the fewest images whose brightness disagrees with the sun."""
     moved = df.select("*", F.explode(F.array(*[F.lit(s) for s in shifts_min])).alias("shift_min"))
-    at = F.timestamp_micros(micros(time) + F.col("shift_min") * 60_000_000)
+    at = F.timestamp_micros(micros(time) + F.col("shift_min").cast("bigint") * 60_000_000)
     elevation, _ = solar_position(at, lat, lon)
     wrong = (F.col(brightness) >= threshold) != (elevation > 0)
     counts = moved.groupBy(*by, "shift_min").agg(F.count_if(wrong).alias("wrong"), F.count(F.lit(1)).alias("n"))

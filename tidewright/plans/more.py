@@ -129,7 +129,7 @@ def usable_views(t: Tables) -> DataFrame:
 
 @query(
     "difference_hash_bits",
-    """SELECT vec_id, CAST(len(list_filter(generate_series(0, 48), k -> embedding[k // 7 * 8 + k % 7 + 2] > embedding[k // 7 * 8 + k % 7 + 1])) AS INT) AS n_bits FROM embeddings""",
+    """SELECT vec_id, CAST(len(list_filter(generate_series(0, 48), lambda k: embedding[k // 7 * 8 + k % 7 + 2] > embedding[k // 7 * 8 + k % 7 + 1])) AS INT) AS n_bits FROM embeddings""",
 )
 def difference_hash_bits(t: Tables) -> DataFrame:
     """Seven rows of eight blocks from the 64 values: the number of set bits."""

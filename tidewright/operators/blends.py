@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.base import DAY_US, clip, divide, micros
 from ..functions.stats import seeded_hash
+from ..session import materialise
 from .ordered import ordered, position
 from .quantiles import quantiles
 from .skew import salted_join
@@ -31,6 +32,8 @@ def variance_weights(
     One row per (by, bin) with the three cuts; a bin below ``min_bin`` rows takes the pooled
     residuals. Four rows per fold, so the table may be broadcast when ``by`` is a fold.
     """
+    # The calibration columns are read by the cuts, the bins and the pooled values.
+    cal = materialise(cal.select(*dict.fromkeys([*by, observed, forecast, camera, total])))
     cuts = quantiles(cal, by, total, QUARTILES)
     rows = salted_join(cal, cuts, by, how="left")
     y2 = F.pow(F.col(observed), 2)
@@ -75,6 +78,7 @@ def reliability_weights(
     A cell weight is (cross + p c) / (square + p) with the constant weight c and
     p = ``penalty_rows`` mean squared disagreements, clipped to [0, 1].
     """
+    cal = materialise(cal.select(*dict.fromkeys([*by, observed, forecast, disagreement, *features])))
     cuts = None
     for f in features:
         q = quantiles(cal, by, f, {f"{f}_{k}": p for k, p in TERCILES.items()})

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.base import divide
 from ..functions.stats import seeded_hash
+from ..session import materialise
 from .metrics import complete_pairs
 from .ordered import ordered, position
 
@@ -55,7 +56,8 @@ def draws(spark, k: int, replicates: int, seed: int) -> DataFrame:
 def resample(
     stats: DataFrame, key: str, sums: Sequence[str], *, replicates: int, seed: int = 0
 ) -> DataFrame:
-    """Sums of each replicate: one row per replicate. ``stats`` has one row per group."""
+    """Sums of each replicate: one row per replicate. ``stats`` has one row per group and is
+    best materialised, as it is counted, numbered and joined."""
     numbered, k = indexed(stats, key)
     picked = draws(stats.sparkSession, k, replicates, seed).join(numbered, "_i")
     return picked.groupBy("replicate").agg(*[F.sum(F.col(s) * F.col("times")).alias(s) for s in sums])
@@ -82,6 +84,7 @@ def cluster_bootstrap(
     """Point estimate and percentile interval of each metric, resampling whole groups."""
     sums = regression_sums()
     stats = complete_pairs(df, true, pred).groupBy(group).agg(*[v.alias(k) for k, v in sums.items()])
+    stats = materialise(stats)
     point = stats.agg(*[F.sum(k).alias(k) for k in sums]).select(*[METRICS[m]().alias(m) for m in names])
     reps = resample(stats, group, list(sums), replicates=replicates, seed=seed)
     return _beside(point, percentile_interval(reps, {m: METRICS[m]() for m in names}, alpha))
@@ -98,8 +101,10 @@ def paired_bootstrap(
     rows = complete_pairs(df, true, pred_a).withColumn("_q", F.col(pred_b).cast("double"))
     rows = rows.where("_q is not null and not isnan(_q)")
     a, b = regression_sums("_y", "_p"), regression_sums("_y", "_q")
-    stats = rows.groupBy(group).agg(
-        *[v.alias(f"a_{k}") for k, v in a.items()], *[v.alias(f"b_{k}") for k, v in b.items()]
+    stats = materialise(
+        rows.groupBy(group).agg(
+            *[v.alias(f"a_{k}") for k, v in a.items()], *[v.alias(f"b_{k}") for k, v in b.items()]
+        )
     )
     if equal_groups:
         stats = stats.select(group, *[
@@ -166,7 +171,7 @@ def custom_bootstrap(
     replicates: int = 2000, alpha: float = 0.05, seed: int = 0,
 ) -> DataFrame:
     """Interval of any statistic that is an expression over named per-group sums."""
-    stats = df.groupBy(group).agg(*[v.alias(k) for k, v in sums.items()])
+    stats = materialise(df.groupBy(group).agg(*[v.alias(k) for k, v in sums.items()]))
     point = stats.agg(*[F.sum(k).alias(k) for k in sums]).select(statistic.alias("value"))
     reps = resample(stats, group, list(sums), replicates=replicates, seed=seed)
     return _beside(point, percentile_interval(reps, {"value": statistic}, alpha))

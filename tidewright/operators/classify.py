@@ -10,17 +10,30 @@ from pyspark.sql import functions as F
 from ..functions.base import divide
 from ..session import materialise
 
+MAX_WIDE_CLASSES = 12
+
 
 def confusion_matrix(df: DataFrame, true: str, pred: str, k: int, by: Sequence[str] = ()) -> DataFrame:
     """Counts of every (true, pred) cell of the k by k grid, zeros included."""
+    cells = [(i, j) for i in range(k) for j in range(k)]
+    if k <= MAX_WIDE_CLASSES:
+        # One pass with a counter per cell.
+        hits = [F.count_if((F.col(true) == i) & (F.col(pred) == j)) for i, j in cells]
+        wide = df.groupBy(*by).agg(*[h.alias(f"_{n}") for n, h in enumerate(hits)])
+        rows = [
+            F.struct(F.lit(i).alias("true"), F.lit(j).alias("pred"), F.col(f"_{n}").alias("n"))
+            for n, (i, j) in enumerate(cells)
+        ]
+        return wide.select(*by, F.inline(F.array(*rows)))
     counts = df.where(F.col(true).between(0, k - 1) & F.col(pred).between(0, k - 1))
-    counts = counts.groupBy(*by, F.col(true).cast("int").alias("true"), F.col(pred).cast("int").alias("pred")).agg(
-        F.count(F.lit(1)).alias("n")
+    counts = materialise(
+        counts.groupBy(*by, F.col(true).cast("int").alias("true"), F.col(pred).cast("int").alias("pred")).agg(
+            F.count(F.lit(1)).alias("n")
+        )
     )
-    cells = F.array(*[F.struct(F.lit(i).alias("true"), F.lit(j).alias("pred")) for i in range(k) for j in range(k)])
+    grid = F.array(*[F.struct(F.lit(i).alias("true"), F.lit(j).alias("pred")) for i, j in cells])
     groups = counts.select(*by).distinct() if by else df.sparkSession.range(1).select()
-    grid = groups.select(*by, F.inline(cells))
-    return grid.join(counts, [*by, "true", "pred"], "left").fillna(0, ["n"])
+    return groups.select(*by, F.inline(grid)).join(counts, [*by, "true", "pred"], "left").fillna(0, ["n"])
 
 
 def per_class(matrix: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -44,12 +44,34 @@ def threshold(
 def out_of_fold_thresholds(
     df: DataFrame, score: str, group: str, fold: str, n_folds: int, level: float = 0.9, *, limit=None
 ) -> DataFrame:
-    """(fold, threshold) with each fold calibrated on the rows of the other folds."""
-    others = F.filter(F.sequence(F.lit(0), F.lit(n_folds - 1)), lambda k: k != F.col(fold))
-    wide = df.select(group, score, F.explode(others).alias("_for"))
-    return threshold(wide, score, group, level, ["_for"], limit=limit).select(
-        F.col("_for").alias(fold), "threshold"
+    """(fold, threshold) with each fold calibrated on the rows of the other folds.
+
+    Every fold has its own running mass in one scan over the scores, and a fold's complement is
+    the sum of the others, so no row is copied per fold. A group must lie in one fold.
+    """
+    folds = range(n_folds)
+    ok = df.select(group, fold, finite(score).alias("_s")).where("_s is not null")
+    counts = materialise(ok.groupBy(group, fold).agg(F.count(F.lit(1)).alias("_n")))
+    if counts.groupBy(group).count().where("count > 1").limit(1).count():
+        raise ValueError(f"a {group} lies in more than one {fold}")
+    per_score = ok.groupBy(group, "_s").agg(F.count(F.lit(1)).alias("_m"))
+    joined = salted_join(per_score, counts, [group], how="left", limit=limit)
+    mass = F.col("_m") / F.col("_n")
+    wide = joined.groupBy("_s").agg(
+        *[F.sum(F.when(F.col(fold) == k, mass).otherwise(0.0)).alias(f"_w{k}") for k in folds]
     )
+    wide = materialise(wide)
+    run = ordered(wide, [], ["_s"], limit=limit, **{f"_c{k}": RunningSum(F.col(f"_w{k}")) for k in folds})
+    sizes = {r[0]: r[1] for r in counts.groupBy(fold).agg(F.count(F.lit(1))).collect()}  # n_folds rows
+    total = sum(sizes.values())
+    whole = sum((F.col(f"_c{k}") for k in folds), F.lit(0.0))
+    items = []
+    for k in folds:
+        others = total - sizes.get(k, 0)
+        hit = (whole - F.col(f"_c{k}")) / (others + 1) >= level - 1e-12
+        t = F.coalesce(F.min(F.when(hit, F.col("_s"))), F.lit(float("inf")))
+        items.append(F.struct(F.lit(k).alias(fold), t.alias("threshold")))
+    return run.agg(F.array(*items).alias("t")).select(F.inline("t"))
 
 
 def coverage(df: DataFrame, score: str, thresholds: DataFrame, fold: str, by: Sequence[str]) -> DataFrame:

@@ -46,8 +46,8 @@ def coefficient_spectrum(bands: DataFrame, keep: Sequence[str]) -> DataFrame:
 def mixed_grid_sizes(bands: DataFrame, record: Sequence[str]) -> DataFrame:
     """Numbers of bands per record, if there is more than one."""
     sizes = bands.groupBy(*record).agg(F.count(F.lit(1)).alias("n")).groupBy("n").agg(F.count(F.lit(1)).alias("records"))
-    kinds = sizes.agg(F.count(F.lit(1)).alias("k"))
-    return sizes.join(F.broadcast(kinds), F.col("k") > 1).drop("k")  # one row
+    kinds = F.broadcast(sizes.agg(F.count(F.lit(1)).alias("k")).withColumn("_1", F.lit(1)))  # one row
+    return sizes.withColumn("_1", F.lit(1)).join(kinds, "_1").where("k > 1").drop("k", "_1")
 
 
 def with_deployment(records: DataFrame, deployments: DataFrame, index: str, keys: Sequence[str]) -> DataFrame:

@@ -58,6 +58,7 @@ def apply_variance_weights(
     df: DataFrame, weights: DataFrame, by: Sequence[str], forecast: str, camera: str, total: str
 ) -> DataFrame:
     """``blend_total`` and ``blend``: energies combined by inverse mean squared residual."""
+    weights = materialise(weights)
     cuts = weights.where("bin = 0").select(*by, *QUARTILES)
     rows = salted_join(df, cuts, by, how="left").withColumn("bin", cut_index(total, list(QUARTILES)))
     rows = salted_join(rows.drop(*QUARTILES), weights.drop(*QUARTILES), [*by, "bin"], how="left")
@@ -114,6 +115,7 @@ def apply_reliability(
 ) -> DataFrame:
     """``reliability`` and ``constant_blend`` by the weights of each row's cell."""
     names = [f"{f}_{k}" for f in features for k in TERCILES]
+    weights = materialise(weights)
     cuts = weights.where("cell = 0").select(*by, *names)
     rows = salted_join(df, cuts, by, how="left").withColumn("cell", cell_index(features)).drop(*names)
     rows = salted_join(rows, weights.select(*by, "cell", "weight", "constant"), [*by, "cell"], how="left")

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import fingerprints, line_rules, sharding
+from . import byte_bpe, fingerprints, line_rules, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -113,3 +114,9 @@ FROM s
 @register("op5_quality_rules", OP5_SQL)
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     return line_rules.judge(table(spark, folder, "documents"))
+
+
+@register("op4_byte_bpe")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return byte_bpe.round_trip(table(spark, folder, "documents"), path, public_tokenizers.PATTERN)

@@ -84,7 +84,7 @@ BASE = (
     Kind("phone", "+", r"\+[0-9][\x20().0-9-]+[0-9]", is_phone),
 )
 FURTHER = (
-    Kind("iban", "", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{1,4}){3,8}(?![A-Za-z0-9])", is_account, 0.4, 0.5, ("iban", "account", "bank", "konto", "compte", "cuenta")),
+    Kind("iban", "", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?:\x20[A-Z0-9]{4}){2,7}(?:\x20[A-Z0-9]{1,3})?)(?![A-Za-z0-9])", is_account, 0.4, 0.5, ("iban", "account", "bank", "konto", "compte", "cuenta")),
     Kind("ssn", "-", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", is_social, 0.4, 0.2, ("ssn", "social", "security", "taxpayer")),
 )
 KINDS = BASE + FURTHER
@@ -131,13 +131,17 @@ def spans(text: str, threshold: float = THRESHOLD) -> list[tuple[int, int, str,
         if not digits or kind.needs not in text:
             continue
         for m in PATTERNS[kind.name].finditer(text):
+            start, end = m.span()
             if not kind.test(m[0]):
-                continue
+                # A word after an account number may look like its last group.
+                end = text.rfind(" ", start, end) if kind.name == "iban" else -1
+                if end < 0 or not kind.test(text[start:end]):
+                    continue
             score = kind.score + kind.passed
             if kind.context:
-                score += 0.3 * near(text, m.start(), m.end(), kind.context)
+                score += 0.3 * near(text, start, end, kind.context)
             if number < len(BASE) or score >= threshold:
-                found.append((m.start(), m.end(), number, min(score, 1.0)))
+                found.append((start, end, number, min(score, 1.0)))
     return [(a, b, KINDS[n].name, s) for a, b, n, s in sorted(found, key=lambda x: (x[0], x[2], x[1]))]
 
 

@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import table
-from . import byte_bpe, fingerprints, line_rules, packing, personal, sharding
+from . import byte_bpe, fingerprints, language, line_rules, lm_scores, packing, personal, resampling, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -130,3 +131,42 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
 @register("op10_personal_data")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return personal.report(table(spark, folder, "documents"))
+
+
+@register("op7_quality_classifier")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    return resampling.resample(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@register("op8_language_id")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    return language.identify(table(spark, folder, "documents"))
+
+
+OP9_SQL = f"""
+WITH g AS (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id HAVING bool_and(coalesce(quality = 1 AND coalesce(toxic, 0) = 0, false))),
+d AS (SELECT documents.doc_id, g.doc_id IS NOT NULL AS tgt, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w
+  FROM documents LEFT JOIN g USING (doc_id)),
+t AS (SELECT doc_id, tgt, i, w[i] AS x FROM (SELECT doc_id, tgt, w, unnest(range(1, len(w) + 1)) AS i FROM d)),
+n AS (SELECT count(*) AS nb, count(*) FILTER (tgt) AS nt FROM t),
+v AS (SELECT x, count(*) AS cb, count(*) FILTER (tgt) AS ct FROM t GROUP BY x HAVING count(*) >= greatest(2, {lm_scores.WORD_SHARE} * (SELECT nb FROM n))),
+s AS (SELECT count(*) AS sb, count(*) FILTER (tgt) AS st FROM d WHERE len(w) > 0),
+unk AS (SELECT nb - coalesce((SELECT sum(cb) FROM v), 0) AS ub, nt - coalesce((SELECT sum(ct) FROM v), 0) AS ut, nb, nt, (SELECT count(*) FROM v) + 1 AS size FROM n),
+k AS (SELECT t.doc_id, t.tgt, t.i, t.x, v.cb, v.ct FROM t LEFT JOIN v USING (x)),
+p AS (SELECT a.doc_id, a.i, a.tgt, a.x AS y, a.cb AS cb, a.ct AS ct, b.x AS h, b.cb AS hb, b.ct AS ht, a.i = 1 AS first, a.cb IS NOT NULL AND (a.i = 1 OR b.cb IS NOT NULL) AS known
+  FROM k a LEFT JOIN k b ON b.doc_id = a.doc_id AND b.i = a.i - 1),
+pc AS (SELECT first, coalesce(h, '') AS h, y, count(*) AS pb, count(*) FILTER (tgt) AS pt FROM p WHERE known GROUP BY ALL HAVING count(*) >= greatest(2, {lm_scores.PAIR_SHARE} * (SELECT nb FROM n))),
+l AS (SELECT p.doc_id,
+  -ln({lm_scores.MIX} * coalesce(pc.pb / greatest(CASE WHEN p.first THEN sb ELSE hb END, 1), 0) + (1 - {lm_scores.MIX}) * (coalesce(cb, ub) + 1) / (nb + size)) AS lb,
+  -ln({lm_scores.MIX} * coalesce(pc.pt / greatest(CASE WHEN p.first THEN st ELSE ht END, 1), 0) + (1 - {lm_scores.MIX}) * (coalesce(ct, ut) + 1) / (nt + size)) AS lt
+  FROM p CROSS JOIN unk CROSS JOIN s LEFT JOIN pc ON p.known AND pc.first = p.first AND pc.h = coalesce(p.h, '') AND pc.y = p.y)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, round(avg(lt) + 1e-10, 6) AS target_loss, round(avg(lb) + 1e-10, 6) AS background_loss, round(avg(lt) - avg(lb) + 1e-10, 6) AS difference
+FROM d LEFT JOIN l USING (doc_id) GROUP BY d.doc_id, d.w
+"""
+
+
+@register("op9_lm_scores", OP9_SQL)
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    good = resampling.labels_of_good(table(spark, folder, "labels"))
+    scored = lm_scores.score(table(spark, folder, "documents"), good)
+    return scored.withColumns({c: F.round(F.col(c) + 1e-10, 6) for c in ("target_loss", "background_loss", "difference")})

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import byte_bpe, fingerprints, language, line_rules, lm_scores, packing, personal, resampling, sharding
+from . import byte_bpe, fingerprints, jaccard_join, language, line_rules, lm_scores, packing, personal, resampling, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -62,6 +62,22 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprints.compare(table(spark, folder, "documents"))
 
 
+OP2_SQL = """
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + least(5, len(w)) - 1], ' ') AS x FROM (SELECT doc_id, w, unnest(range(1, len(w) - least(5, len(w)) + 2)) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b USING (x) WHERE a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 5 * c >= 4 * (x.n + y.n - c)),
+r AS (SELECT doc_id, doc_id AS root FROM documents UNION SELECT r.doc_id, l.b FROM r JOIN l ON l.a = r.root)
+SELECT doc_id, min(root) AS class_id, (SELECT count(*) FROM l WHERE l.a = r.doc_id) AS n_links FROM r GROUP BY doc_id
+"""
+
+
+@register("op2_jaccard_join", OP2_SQL)
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_join.join(table(spark, folder, "documents"))
+
+
 OP3_SIZE = sharding.prime_from(100 * len(SHARDS))
 #: One recursive step is one claim: the shard whose turn it is takes the first free slot of its order.
 OP3_SQL = f"""

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tidewright.operators import align, archive, conformal, metrics, qc, splits, stations
+from tidewright.operators import align, archive, conformal, crossings, metrics, qc, splits, stations
 from tidewright.operators.ordered import LastKnown, Next, NextKnown, Prev, RunningSum, ordered
 from tidewright.operators.quantiles import average_rank, quantiles
 from tidewright.operators.skew import salted_join
@@ -104,14 +104,48 @@ def test_conformal_threshold(events):
     assert conformal.threshold(few, "value", "user_id", 0.99).first()["threshold"] == float("inf")
 
 
-def test_grouped_split_beyond_the_local_table(events):
-    for cap in (100_000, 5):
-        out = splits.grouped_split(events, "user_id", (0.6, 0.2, 0.2), max_local=cap)
-        assert out.count() == events.count()
+def test_grouped_split_has_one_rule(events, spark):
+    plain = rows(splits.grouped_split(events, "user_id", (0.6, 0.2, 0.2)).select("event_id", "split"))
+    folds = rows(splits.assign_folds(events, ["user_id"], 3).select("event_id", "cv_fold"))
+    spark.conf.set("tidewright.rowsPerTask", "5")  # the group table is scanned in chunks
+    try:
+        out = splits.grouped_split(events, "user_id", (0.6, 0.2, 0.2))
+        assert rows(out.select("event_id", "split")) == plain
+        assert rows(splits.assign_folds(events, ["user_id"], 3).select("event_id", "cv_fold")) == folds
         assert out.groupBy("user_id").agg(F.count_distinct("split").alias("n")).where("n <> 1").count() == 0
-        again = splits.grouped_split(events, "user_id", (0.6, 0.2, 0.2), max_local=cap)
-        assert rows(out.select("event_id", "split")) == rows(again.select("event_id", "split"))
         assert {r[0] for r in out.select("split").distinct().collect()} == {"train", "val", "test"}
+    finally:
+        spark.conf.unset("tidewright.rowsPerTask")
+
+
+def test_constant_windows_pass_in_both_plans(spark):
+    values = [0.3, 5.0, 1.7] + [0.1] * 110 + [0.2]
+    series = spark.createDataFrame([(k, "a", v) for k, v in enumerate(values)], "i int, k string, v double")
+    series = series.withColumn("t", F.timestamp_seconds(F.col("i") * 3600))
+    for limit in (None, 10):
+        out = qc.mean_std(series, by=["k"], time="t", value="v", window="24h", limit=limit)
+        flags = {r["i"]: r["mean_std_flag"] for r in out.collect()}
+        assert {flags[i] for i in range(40, 113)} == {qc.PASS} and flags[113] == qc.SUSPECT
+
+
+def test_records_with_gaps_have_no_waves(spark):
+    import math
+
+    rows = [(r, float(t), None if r == "gap" and t in (13, 14) else math.sin(2 * math.pi * (t + 0.5) / 10)) for r in ("ok", "gap") for t in range(60)]
+    series = spark.createDataFrame(rows, "r string, t double, v double")
+    waves = crossings.zero_crossing_waves(series, ["r"], time="t", value="v")
+    assert {r["r"] for r in waves.collect()} == {"ok"}
+    assert [tuple(r) for r in crossings.incomplete_records(series, ["r"], "v").collect()] == [("gap", 2)]
+
+
+def test_matrix_keeps_groups_without_cells(spark):
+    from tidewright.operators import classify
+
+    df = spark.createDataFrame([("a", 0, 1), ("a", 0, 1), ("b", 99, 0), ("b", None, 0)], "g string, t int, p int")
+    for k in (12, 13):
+        m = classify.confusion_matrix(df, "t", "p", k, ["g"])
+        assert m.count() == 2 * k * k and m.where("n > 0").collect()[0]["n"] == 2
+        assert {r["g"]: r["n_out_of_range"] for r in classify.out_of_range(df, "t", "p", k, ["g"]).collect()} == {"a": 0, "b": 2}
 
 
 def test_spatial_groups_against_brute_force(spark):

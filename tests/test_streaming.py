@@ -45,6 +45,33 @@ def test_trailing_quality_is_the_batch_result(spark, small, tmp_path):
     assert late and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select("event_id", "mean_std_flag").collect()))
 
 
+def test_replayed_batch_gives_the_same_flags(spark, small, tmp_path):
+    events = load(spark, small)
+    each = jobs.trailing_quality(f"{tmp_path}/h", ["user_id"], "ts", "value", "3d", 1.5)
+    first, second = events.where("event_id % 2 = 0"), events.where("event_id % 2 = 1")
+    flags = lambda k: sorted(map(tuple, spark.read.parquet(f"{tmp_path}/h/flags/batch={k}").select("event_id", "mean_std_flag").collect()))
+    each(first, 0)
+    each(second, 1)
+    before = flags(0), flags(1)
+    each(first, 0)
+    each(second, 1)
+    assert (flags(0), flags(1)) == before
+
+
+def test_ledger_lines_that_do_not_fit_are_kept(spark, tmp_path):
+    from tidewright.sources.ledgers import LEDGER
+
+    fields = spark.createDataFrame([], LEDGER).schema.fields
+    names = [f.name for f in fields]
+    good = ",".join("2024-01-01T00:00:00Z" if f.dataType.typeName() == "timestamp" else "1" for f in fields)
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "l.csv").write_text("\n".join([",".join(names), good, "cut,row"]) + "\n")
+    seen = []
+    each = jobs.split_rejects(lambda rows, k: seen.append(rows.count()), f"{tmp_path}/rejects")
+    jobs.run_batches(jobs.open_ledger(spark, f"{tmp_path}/in"), each, f"{tmp_path}/state")
+    assert seen == [1] and [r[0] for r in spark.read.parquet(f"{tmp_path}/rejects").select("rejected").collect()] == ["cut,row"]
+
+
 def test_hourly_counts_and_late_rows(spark, tmp_path):
     def rows(*times):
         return spark.createDataFrame([(t,) for t in times], "t string").select(F.to_timestamp("t").alias("ts"), F.lit("a").alias("k"))

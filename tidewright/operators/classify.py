@@ -10,30 +10,25 @@ from pyspark.sql import functions as F
 from ..functions.base import divide
 from ..session import materialise
 
-MAX_WIDE_CLASSES = 12
+def confusion_matrix(df: DataFrame, true: str, pred: str, k: int, by: Sequence[str] = ()) -> DataFrame:
+    """Counts of every (true, pred) cell of the k by k grid, zeros included, for every group of the input.
+
+    Rows with a class outside 0 to k - 1 are in no cell; ``out_of_range`` counts them.
+    """
+    cell = F.when(F.col(true).between(0, k - 1) & F.col(pred).between(0, k - 1), F.col(true).cast("int") * k + F.col(pred).cast("int"))
+    counts = df.groupBy(*by, cell.alias("cell")).agg(F.count(F.lit(1)).alias("n"))
+    # One row for each group, its counts by cell: at most k * k entries.
+    wide = counts.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.when(F.col("cell").isNotNull(), F.struct("cell", "n")))).alias("m"))
+    cells = wide.select(*by, "m", F.explode(F.sequence(F.lit(0), F.lit(k * k - 1))).alias("c"))
+    return cells.select(
+        *by, F.expr(f"int(c div {k})").alias("true"), F.pmod("c", F.lit(k)).cast("int").alias("pred"), F.coalesce(F.try_element_at("m", "c"), F.lit(0)).alias("n")
+    )
 
 
-def confusion_matrix(df: DataFrame, true: str, pred: str, k: int, by: Sequence[str] = ()) -> DataFrame:
-    """Counts of every (true, pred) cell of the k by k grid, zeros included."""
-    cells = [(i, j) for i in range(k) for j in range(k)]
-    if k <= MAX_WIDE_CLASSES:
-        # One pass with a counter per cell.
-        hits = [F.count_if((F.col(true) == i) & (F.col(pred) == j)) for i, j in cells]
-        wide = df.groupBy(*by).agg(*[h.alias(f"_{n}") for n, h in enumerate(hits)])
-        rows = [
-            F.struct(F.lit(i).alias("true"), F.lit(j).alias("pred"), F.col(f"_{n}").alias("n"))
-            for n, (i, j) in enumerate(cells)
-        ]
-        return wide.select(*by, F.inline(F.array(*rows)))
-    counts = df.where(F.col(true).between(0, k - 1) & F.col(pred).between(0, k - 1))
-    counts = materialise(
-        counts.groupBy(*by, F.col(true).cast("int").alias("true"), F.col(pred).cast("int").alias("pred")).agg(
-            F.count(F.lit(1)).alias("n")
-        )
-    )
-    grid = F.array(*[F.struct(F.lit(i).alias("true"), F.lit(j).alias("pred")) for i, j in cells])
-    groups = counts.select(*by).distinct() if by else df.sparkSession.range(1).select()
-    return groups.select(*by, F.inline(grid)).join(counts, [*by, "true", "pred"], "left").fillna(0, ["n"])
+def out_of_range(df: DataFrame, true: str, pred: str, k: int, by: Sequence[str] = ()) -> DataFrame:
+    """Rows of each group that are in no cell of the matrix."""
+    inside = F.col(true).between(0, k - 1) & F.col(pred).between(0, k - 1)
+    return df.groupBy(*by).agg(F.count_if(~F.coalesce(inside, F.lit(False))).alias("n_out_of_range"))
 
 
 def per_class(matrix: DataFrame, by: Sequence[str] = ()) -> DataFrame:

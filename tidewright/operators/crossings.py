@@ -27,6 +27,12 @@ def detrend(df: DataFrame, record: Sequence[str], time: str, value: str, how: st
     return joined.withColumn("_eta", v - (F.col("_a") + F.col("_b") * t)).drop("_a", "_b")
 
 
+def incomplete_records(df: DataFrame, record: Sequence[str], value: str) -> DataFrame:
+    """Records with missing samples and how many; ``zero_crossing_waves`` leaves them out as a whole."""
+    missing = F.col(value).isNull() | F.isnan(F.col(value).cast("double"))
+    return df.groupBy(*record).agg(F.count_if(missing).alias("n_missing")).where("n_missing > 0")
+
+
 def zero_crossing_waves(
     df: DataFrame,
     record: Sequence[str],
@@ -40,9 +46,10 @@ def zero_crossing_waves(
     """One row per complete wave: height, period, crest, trough and interpolated start.
 
     ``time`` is in seconds. A wave runs from one crossing to the next; the part after the last
-    crossing is not complete.
+    crossing is not complete. A record with a missing sample has no waves; see ``incomplete_records``.
     """
-    base = detrend(df, record, time, value, how, limit).select(
+    whole = df.join(incomplete_records(df, record, value), list(record), "left_anti")
+    base = detrend(whole, record, time, value, how, limit).select(
         *record, F.col(time).cast("double").alias("_t"), "_eta"
     )
     largest = largest_group(base, record)

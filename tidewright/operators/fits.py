@@ -230,21 +230,43 @@ def geometric_ratio_out_of_fold(df: DataFrame, x: str, y: str, fold: str) -> Dat
     return both.select(fold, F.exp(divide(F.col("ts") - F.col("s"), F.col("tn") - F.col("n"))).alias("ratio"))
 
 
+def _assembled(df: DataFrame, features: Sequence[str]) -> DataFrame:
+    from pyspark.ml.feature import VectorAssembler
+
+    return VectorAssembler(inputCols=list(features), outputCol="_x", handleInvalid="keep").transform(df)
+
+
+def _complete(features: Sequence[str]) -> Column:
+    known = F.lit(True)
+    for f in features:
+        known = known & F.col(f).isNotNull() & ~F.isnan(F.col(f).cast("double"))
+    return known
+
+
 def fit_logistic(df: DataFrame, features: Sequence[str], cls: str, weight: str | None = None, l2: float = 1e-3):
-    """Weighted multinomial logistic model on standardised features (``pyspark.ml``).
+    """Weighted multinomial logistic model on standardised features (``pyspark.ml``), of rows with all features.
 
     The solver minimises mean loss + regParam/2 |coef|^2, so regParam is twice ``l2``.
     """
     from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import VectorAssembler
 
-    data = VectorAssembler(inputCols=list(features), outputCol="_x", handleInvalid="skip").transform(df)
     lr = LogisticRegression(
         featuresCol="_x", labelCol=cls, family="multinomial", regParam=2 * l2, standardization=True, maxIter=200
     )
     if weight:
         lr = lr.setWeightCol(weight)
-    return lr.fit(data), data
+    return lr.fit(_assembled(df.where(_complete(features)), features))
+
+
+def predict_logistic(model, df: DataFrame, features: Sequence[str]) -> DataFrame:
+    """Every row with ``prediction`` and the ``probability`` of each class; NULL where a feature is missing."""
+    from pyspark.ml.functions import vector_to_array
+
+    out = model.transform(_assembled(df, features))
+    known = _complete(features)
+    return out.select(
+        *df.columns, F.when(known, F.col("prediction")).cast("int").alias("prediction"), F.when(known, vector_to_array("probability")).alias("probability")
+    )
 
 
 def site_alignment(df: DataFrame, vector: str, site: str, output: str = "aligned") -> DataFrame:

@@ -14,7 +14,10 @@ from .skew import salted_join
 
 
 def view_statistics(blocks: str | Column, n_views: int) -> Column:
-    """Mean and population deviation of each of ``n_views`` equal parts of a block array."""
+    """Mean and population deviation of each of ``n_views`` equal parts of a block array.
+
+    An array that doesn't divide into equal parts can't be read: NULL.
+    """
     b = F.col(blocks) if isinstance(blocks, str) else blocks
     width = F.floor(F.size(b) / n_views).cast("int")
 
@@ -33,7 +36,7 @@ def view_statistics(blocks: str | Column, n_views: int) -> Column:
 
         return F.aggregate(part, zero, add, finish)
 
-    return F.transform(F.sequence(F.lit(0), F.lit(n_views - 1)), one)
+    return F.when((F.size(b) > 0) & (F.size(b) % n_views == 0), F.transform(F.sequence(F.lit(0), F.lit(n_views - 1)), one))
 
 
 def usable_views(stats: str | Column, min_mean: float, min_std: float) -> Column:
@@ -78,45 +81,57 @@ def light_contradicts_time(brightness: Column, elevation: Column, dark: float, b
 
 
 def clock_shift_scan(
-    df: DataFrame, *, time: str, brightness: str, lat: str, lon: str, shifts_min: Sequence[int], threshold: float, by: Sequence[str]
-) -> DataFrame:
-    """Per key: the clock shift with the fewest images whose brightness disagrees with the sun."""
+    df: DataFrame, *, time: str, brightness: str, lat: str, lon: str, shifts_min: Sequence[int], threshold: float, by: Sequence[str],
+    elevations: Sequence[float] = (-10.0, -8.0, -6.0, -4.0, -2.0, 0.0, 2.0),
+) -> DataFrame:
+    """Per key: the clock shift with the fewest images whose brightness disagrees with the sun.
+
+    Day begins at each of ``elevations`` in turn; the best shift over all of them is reported with the
+    range of the shifts that are best for one of them. The sun is computed once for each shift.
+    """
     moved = df.select("*", F.explode(F.array(*[F.lit(s) for s in shifts_min])).alias("shift_min"))
     at = F.timestamp_micros(micros(time) + F.col("shift_min").cast("bigint") * 60_000_000)
     elevation, _ = solar_position(at, lat, lon)
-    wrong = (F.col(brightness) >= threshold) != (elevation > 0)
-    counts = moved.groupBy(*by, "shift_min").agg(F.count_if(wrong).alias("wrong"), F.count(F.lit(1)).alias("n"))
-    best = F.min_by(F.struct("shift_min", "wrong", "n"), F.struct("wrong", F.abs("shift_min"), "shift_min"))
-    return counts.groupBy(*by).agg(best.alias("b")).select(*by, "b.shift_min", "b.wrong", "b.n")
+    lit = moved.select(*by, "shift_min", (F.col(brightness) >= threshold).alias("_bright"), elevation.alias("_sun"))
+    wrong = [F.struct(F.lit(e).alias("elevation"), F.count_if(F.col("_bright") != (F.col("_sun") > e)).alias("wrong")) for e in elevations]
+    counts = lit.groupBy(*by, "shift_min").agg(F.array(*wrong).alias("w"), F.count(F.lit(1)).alias("n"))
+    counts = counts.select(*by, "shift_min", "n", F.inline("w"))
+    order = F.struct("wrong", F.abs("shift_min"), "shift_min")
+    each = counts.groupBy(*by, "elevation").agg(F.min_by(F.struct("shift_min", "wrong", "n"), order).alias("b"))
+    first = F.min_by("b", F.struct("b.wrong", F.abs("b.shift_min"), "b.shift_min", "elevation"))
+    out = each.groupBy(*by).agg(first.alias("b"), F.min("b.shift_min").alias("lowest_shift"), F.max("b.shift_min").alias("highest_shift"))
+    return out.select(*by, "b.shift_min", "b.wrong", "b.n", "lowest_shift", "highest_shift")
 
 
 def rank_interleave(df: DataFrame, strata: Sequence[str], within: str, order: Sequence[Column], site: str, day: str, apart_days: int) -> DataFrame:
-    """Round-robin over strata and groups, then one date per site and spell.
+    """Dates in turns from the queues of all strata, one for each site and spell, with their ``rank`` at the site.
 
-    Each (stratum, ``within``) group is ranked, the k-th of every group comes before any
-    (k+1)-th, and going down that list a date is kept if it is more than ``apart_days`` from
-    every date kept at its site. The last step is sequential per site over at most one row per
-    calendar day.
+    In a stratum the best of every ``within`` group come first, then the second best, and so on; that is
+    the stratum's queue. Queues are read abreast, and a date is kept if it is more than ``apart_days`` from
+    every date kept at its site. This last step is sequential over at most one row per calendar day of a site.
     """
     import pandas as pd
 
     from .ordered import ordered, position
 
     named = df.withColumns({f"_o{i}": o for i, o in enumerate(order)})
-    ranked = ordered(named, [*strata, within], [f"_o{i}" for i in range(len(order))], k=position())
-    ranked = ranked.drop(*[f"_o{i}" for i in range(len(order))])
-    columns = ["k", within, *strata]
+    ranked = ordered(named, [*strata, within], [f"_o{i}" for i in range(len(order))], _k=position())
+    queued = ordered(ranked.drop(*[f"_o{i}" for i in range(len(order))]), list(strata), ["_k", within], rank=position()).drop("_k")
+    columns = ["rank", *strata, day]
 
     def keep(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values([*columns, day])
-        days = pd.to_datetime(rows[day])
-        chosen: list[int] = []
-        for i, d in enumerate(days):
-            if all(abs((d - days.iloc[j]).days) > apart_days for j in chosen):
-                chosen.append(i)
-        return rows.iloc[chosen]
-
-    return ranked.groupBy(site).applyInPandas(keep, ranked.schema)
+        rows = rows.sort_values(columns)
+        days = pd.to_datetime(rows[day]).dt.normalize().astype("datetime64[s]").astype("int64") // 86_400
+        near: set[int] = set()
+        chosen = []
+        for d in days:
+            chosen.append(d not in near)
+            if chosen[-1]:
+                near.update(range(d - apart_days, d + apart_days + 1))
+        rows = rows[chosen]
+        return rows.assign(rank=range(1, len(rows) + 1))
+
+    return queued.groupBy(site).applyInPandas(keep, queued.schema)
 
 
 def since_first(df: DataFrame, site: str, time: str, output: str = "age_days") -> DataFrame:

@@ -21,6 +21,9 @@ FLAG_NAMES = {1: "PASS", 2: "NOT_EVALUATED", 3: "SUSPECT", 4: "FAIL", 9: "MISSIN
 
 Span = tuple[float, float]
 
+#: Relative error that a mean of doubles may carry.
+ROUNDING = 1e-9
+
 
 def _outside(v: Column, span: Span) -> Column:
     return (v < span[0]) | (v > span[1])
@@ -284,9 +287,14 @@ def mean_std(
     limit: int | None = None,
     output: str = "mean_std_flag",
 ) -> DataFrame:
-    """SUSPECT outside mean +/- n_std deviations of the preceding window."""
+    """SUSPECT outside mean +/- n_std deviations of the preceding window.
+
+    A difference from the mean below ``ROUNDING`` of the values is rounding of the mean, not a deviation;
+    so a window of equal values passes values equal to them, whichever plan computed its moments.
+    """
     seen = trailing_moments(df, by=by, time=time, value=value, window=window, limit=limit)
     v = finite(value)
-    far = (F.col("_n") >= min_periods) & (F.abs(v - F.col("_mu")) > n_std * F.col("_sd"))
+    rounding = ROUNDING * F.greatest(F.abs(v), F.abs(F.col("_mu")))
+    far = (F.col("_n") >= min_periods) & (F.abs(v - F.col("_mu")) > F.greatest(n_std * F.col("_sd"), rounding))
     flag = F.when(v.isNull(), MISSING).when(far, SUSPECT).otherwise(PASS)
     return seen.withColumn(output, flag.cast("tinyint")).drop("_n", "_mu", "_sd")

@@ -75,11 +75,11 @@ def average_rank(
 
 
 def spearman(
-    df: DataFrame, by: Sequence[str], x: str, y: str, *, output: str = "spearman", limit: int | None = None
+    df: DataFrame, by: Sequence[str], x: str, y: str, *, output: str = "spearman", limit: int | None = None, min_pairs: int = 3
 ) -> DataFrame:
-    """Rank correlation of complete pairs; NULL below three pairs or for a constant side."""
+    """Rank correlation of complete pairs; NULL below ``min_pairs`` or for a constant side."""
     pairs = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     pairs = average_rank(average_rank(pairs, by, x, "_rx", limit=limit), by, y, "_ry", limit=limit)
-    usable = (F.count(F.lit(1)) > 2) & (F.max("_rx") > F.min("_rx")) & (F.max("_ry") > F.min("_ry"))
+    usable = (F.count(F.lit(1)) >= min_pairs) & (F.max("_rx") > F.min("_rx")) & (F.max("_ry") > F.min("_ry"))
     rho = F.when(usable, F.corr("_rx", "_ry")).alias(output)
     return pairs.groupBy(*by).agg(rho) if by else pairs.agg(rho)

@@ -44,7 +44,7 @@ def distance_pairs(stations: DataFrame, *, max_km: float, id_col: str = "station
     )
 
 
-def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, label): the lowest id of each connected component.
 
     Every round takes the lowest label among a node and its neighbours and then jumps to the
@@ -55,7 +55,7 @@ def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> Data
     )
     both = materialise(both)
     labels = materialise(nodes.select("id", F.col("id").alias("label")))
-    for _ in range(max_rounds):
+    while True:
         seen = salted_join(both, labels.select(F.col("id").alias("n"), F.col("label").alias("l")), ["n"], how="left")
         low = seen.groupBy("id").agg(F.min("l").alias("m"))
         step = labels.join(low, "id", "left").select(
@@ -70,7 +70,6 @@ def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> Data
         labels = step.select("id", "label")
         if not moved:
             return labels
-    raise RuntimeError("components did not settle")
 
 
 def spatial_groups(stations: DataFrame, *, km: float, id_col: str = "station_id", limit=None) -> DataFrame:

@@ -10,31 +10,22 @@ from ..operators import blends, leakage, manifest, splits, stations
 from ..operators.quantiles import quantiles
 from .registry import Tables, query, r6, rounded, sql_r6
 
-SQL_GREEDY = """
-WITH RECURSIVE z AS (SELECT CAST({key} AS VARCHAR) AS g, count(*) AS n FROM {source} GROUP BY 1),
-g AS (SELECT g, n, row_number() OVER (ORDER BY CAST('0x' || substr(md5('{seed}|' || g), 1, 15) AS BIGINT), g) AS k FROM z),
-t AS (SELECT {a} * sum(n) AS t0, {b} * sum(n) AS t1, {c} * sum(n) AS t2 FROM z),
-w(k, f0, f1, f2, g, label) AS (
-  SELECT CAST(0 AS BIGINT), 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR)
-  UNION ALL
-  SELECT g.k, f0 + CASE WHEN p = 0 THEN g.n ELSE 0 END, f1 + CASE WHEN p = 1 THEN g.n ELSE 0 END,
-    f2 + CASE WHEN p = 2 THEN g.n ELSE 0 END, g.g, CASE p WHEN 0 THEN 'train' WHEN 1 THEN 'val' ELSE 'test' END
-  FROM (SELECT w.*, CASE WHEN d0 >= d1 AND d0 >= d2 THEN 0 WHEN d1 >= d2 THEN 1 ELSE 2 END AS p
-        FROM (SELECT w.*, CASE WHEN t0 > 0 THEN (t0 - f0) / greatest(t0, 1) ELSE -1e300 END AS d0,
-                CASE WHEN t1 > 0 THEN (t1 - f1) / greatest(t1, 1) ELSE -1e300 END AS d1,
-                CASE WHEN t2 > 0 THEN (t2 - f2) / greatest(t2, 1) ELSE -1e300 END AS d2 FROM w, t) w) w
-  JOIN g ON g.k = w.k + 1)
+SQL_ALONG = """
+WITH z AS (SELECT CAST({key} AS VARCHAR) AS g, count(*) AS n FROM {source} GROUP BY 1),
+m AS (SELECT g, (sum(n) OVER (ORDER BY CAST('0x' || substr(md5('{seed}|' || g), 1, 15) AS BIGINT), g) - n / 2) / (SELECT sum(n) FROM z) AS x FROM z),
+w AS (SELECT g, {label} AS label FROM m)
 """
 
 
-def greedy(key: str, source: str, a: float, b: float, c: float, seed: int = 0) -> str:
-    f = {"a": f"{a}::DOUBLE", "b": f"{b}::DOUBLE", "c": f"{c}::DOUBLE"}
-    return SQL_GREEDY.format(key=key, source=source, seed=seed, **f)
+def along(key: str, source: str, a: float, b: float, c: float, seed: int = 0) -> str:
+    """The parts of a line of all groups in hash order."""
+    label = f"CASE WHEN x < {a} THEN 'train' WHEN x < {a + b} THEN 'val' ELSE 'test' END" if c else f"CASE WHEN x < {a} THEN 'train' ELSE 'val' END"
+    return SQL_ALONG.format(key=key, source=source, seed=seed, label=label)
 
 
 @query(
     "split_grouped",
-    greedy("o_custkey", "orders", 0.7, 0.15, 0.15)
+    along("o_custkey", "orders", 0.7, 0.15, 0.15)
     + "SELECT o_orderkey, label AS split FROM orders JOIN w ON CAST(o_custkey AS VARCHAR) = w.g",
 )
 def split_grouped(t: Tables) -> DataFrame:
@@ -43,7 +34,7 @@ def split_grouped(t: Tables) -> DataFrame:
 
 @query(
     "split_by_day",
-    greedy("strftime(ts, '%Y-%m-%d')", "events", 0.6, 0.2, 0.2, 3)
+    along("strftime(ts, '%Y-%m-%d')", "events", 0.6, 0.2, 0.2, 3)
     + "SELECT event_id, label AS split FROM events JOIN w ON strftime(ts, '%Y-%m-%d') = w.g",
 )
 def split_by_day(t: Tables) -> DataFrame:
@@ -90,10 +81,10 @@ def holdout_groups_absent(t: Tables) -> DataFrame:
 
 @query(
     "split_extreme",
-    """WITH RECURSIVE q AS (SELECT quantile_cont(o_totalprice, 0.999) AS q FROM orders),
+    """WITH q AS (SELECT quantile_cont(o_totalprice, 0.999) AS q FROM orders),
     x AS (SELECT o_custkey, max(o_totalprice) > (SELECT q FROM q) AS ext FROM orders GROUP BY 1),
     r AS (SELECT o.* FROM orders o JOIN x ON o.o_custkey = x.o_custkey WHERE NOT ext),"""
-    + greedy("o_custkey", "r", 0.85, 0.15, 0.0).replace("WITH RECURSIVE", "", 1)
+    + along("o_custkey", "r", 0.85, 0.15, 0.0).replace("WITH", "", 1)
     + """SELECT o_orderkey, CASE WHEN ext THEN 'test' ELSE w.label END AS split FROM orders
     JOIN x ON orders.o_custkey = x.o_custkey LEFT JOIN w ON CAST(orders.o_custkey AS VARCHAR) = w.g""",
 )
@@ -117,7 +108,7 @@ SQL_WEEK = "strftime(o_orderdate, '%G') || '-W' || strftime(o_orderdate, '%V')"
 
 @query(
     "split_by_year",
-    greedy(SQL_WEEK, "(SELECT * FROM orders WHERE year(o_orderdate) IN (1995, 1996, 1997))", 0.8, 0.2, 0.0, 1)
+    along(SQL_WEEK, "(SELECT * FROM orders WHERE year(o_orderdate) IN (1995, 1996, 1997))", 0.8, 0.2, 0.0, 1)
     + f"""SELECT o_orderkey, CASE
       WHEN year(o_orderdate) = 1998 AND o_orderdate < (SELECT min(date_trunc('day', o_orderdate)) FROM orders
         WHERE year(o_orderdate) = 1998) + INTERVAL 5 DAYS THEN 'excluded'
@@ -148,15 +139,10 @@ def calendar_columns(t: Tables) -> DataFrame:
 
 @query(
     "fold_packing",
-    """WITH RECURSIVE z AS (SELECT CAST(o_custkey AS VARCHAR) AS g, count(*) AS n FROM orders GROUP BY 1),
-    g AS (SELECT g, n, row_number() OVER (ORDER BY n DESC, g) AS k FROM z),
-    w(k, f0, f1, f2, g, fold) AS (SELECT CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT),
-        CAST(NULL AS VARCHAR), CAST(NULL AS INT)
-      UNION ALL SELECT g.k, f0 + CASE WHEN p = 0 THEN g.n ELSE 0 END, f1 + CASE WHEN p = 1 THEN g.n ELSE 0 END,
-        f2 + CASE WHEN p = 2 THEN g.n ELSE 0 END, g.g, p
-      FROM (SELECT w.*, CASE WHEN f0 <= f1 AND f0 <= f2 THEN 0 WHEN f1 <= f2 THEN 1 ELSE 2 END AS p FROM w) w
-      JOIN g ON g.k = w.k + 1)
-    SELECT o_orderkey, fold AS cv_fold FROM orders JOIN w ON CAST(o_custkey AS VARCHAR) = w.g""",
+    """WITH z AS (SELECT CAST(o_custkey AS VARCHAR) AS g, count(*) AS n FROM orders GROUP BY 1),
+    k AS (SELECT g, (row_number() OVER (ORDER BY n DESC, g) - 1) % 6 AS k FROM z)
+    SELECT o_orderkey, CAST(CASE WHEN k < 3 THEN k ELSE 5 - k END AS INT) AS cv_fold
+    FROM orders JOIN k ON CAST(o_custkey AS VARCHAR) = k.g""",
 )
 def fold_packing(t: Tables) -> DataFrame:
     return splits.assign_folds(t.orders, ["o_custkey"], 3).select("o_orderkey", "cv_fold")

@@ -118,15 +118,15 @@ def geometric_ratio_out_of_fold(t: Tables) -> DataFrame:
 
 @query("logistic_combiner")
 def logistic_combiner(t: Tables) -> DataFrame:
-    """Quality of a document from its length and blanks, weighted by inverse class frequency."""
+    """Quality of every document from its length and blanks, fitted on the labelled ones by inverse class frequency."""
     from ..operators.classify import inverse_frequency_weights
 
     blanks = F.length("text") - F.length(F.replace(F.col("text"), F.lit(" "), F.lit("")))
-    d = t.documents.join(t.labels, "doc_id").select(
-        "doc_id", "quality", F.log1p("n_chars").alias("a"), F.log1p(blanks).alias("b")
-    )
-    model, rows = fits.fit_logistic(inverse_frequency_weights(d, "quality"), ["a", "b"], "quality", "weight")
-    return model.transform(rows).select("doc_id", "quality", F.col("prediction").cast("int").alias("prediction"))
+    d = t.documents.select("doc_id", F.log1p("n_chars").alias("a"), F.log1p(blanks).alias("b"))
+    labelled = d.join(t.labels.select("doc_id", "quality"), "doc_id")
+    model = fits.fit_logistic(inverse_frequency_weights(labelled, "quality"), ["a", "b"], "quality", "weight")
+    out = fits.predict_logistic(model, d, ["a", "b"])
+    return out.select("doc_id", "prediction", F.round(F.col("probability")[1], 3).alias("p_quality"))
 
 
 @query(

@@ -129,11 +129,13 @@ def usable_views(t: Tables) -> DataFrame:
 
 @query(
     "difference_hash_bits",
-    """SELECT vec_id, CAST(len(list_filter(generate_series(0, 48), lambda k: embedding[k // 7 * 8 + k % 7 + 2] > embedding[k // 7 * 8 + k % 7 + 1])) AS INT) AS n_bits FROM embeddings""",
+    """SELECT vec_id, array_to_string(list_transform(generate_series(0, 63), lambda k: CASE WHEN g[k // 8 * 9 + k % 8 + 2] > g[k // 8 * 9 + k % 8 + 1] THEN '1' ELSE '0' END), '') AS bits
+    FROM (SELECT vec_id, list_concat(embedding, embedding[1:8]) AS g FROM embeddings)""",
 )
 def difference_hash_bits(t: Tables) -> DataFrame:
-    """Seven rows of eight blocks from the 64 values: the number of set bits."""
-    return t.embeddings.select("vec_id", F.bit_count(images.difference_hash("embedding", 7)).alias("n_bits"))
+    """Eight rows of nine blocks, the 64 values and the first eight again: all bits."""
+    grid = F.concat("embedding", F.slice("embedding", 1, 8))
+    return t.embeddings.select("vec_id", F.lpad(F.bin(images.difference_hash(grid)), 64, "0").alias("bits"))
 
 
 @query(
@@ -186,13 +188,27 @@ def clock_shift_scan(t: Tables) -> DataFrame:
     )
 
 
-@query("storm_dates")
+@query(
+    "storm_dates",
+    """WITH RECURSIVE d AS (SELECT CAST(user_id % 20 AS BIGINT) AS site, strftime(ts, '%Y-%m-%d') AS local_day, max(value) AS hs FROM events GROUP BY 1, 2),
+    b AS (SELECT *, CASE WHEN hs > 60 THEN 'high' ELSE 'mid' END AS band, CAST(least((day(CAST(local_day AS DATE)) - 1) // 10, 2) AS VARCHAR) AS period FROM d),
+    k AS (SELECT *, row_number() OVER (PARTITION BY site, band, period ORDER BY -hs, local_day) AS k FROM b),
+    p AS (SELECT *, row_number() OVER (PARTITION BY site, band ORDER BY k, period) AS place FROM k),
+    o AS (SELECT site, local_day, hs, band, period, row_number() OVER (PARTITION BY site ORDER BY place, band, local_day) AS n FROM p),
+    r(site, n, kept) AS (SELECT DISTINCT site, CAST(0 AS BIGINT), CAST([] AS DATE[]) FROM o
+      UNION ALL SELECT r.site, o.n, CASE WHEN len(list_filter(kept, lambda x: abs(date_diff('day', x, CAST(o.local_day AS DATE))) <= 3)) = 0
+        THEN list_append(kept, CAST(o.local_day AS DATE)) ELSE kept END FROM r JOIN o ON o.site = r.site AND o.n = r.n + 1),
+    f AS (SELECT site, arg_max(kept, n) AS kept FROM r GROUP BY site)
+    SELECT o.site, local_day, hs, band, period, CAST(list_position(kept, CAST(local_day AS DATE)) AS BIGINT) AS rank
+    FROM o JOIN f ON o.site = f.site WHERE list_contains(kept, CAST(local_day AS DATE))""",
+)
 def storm_dates(t: Tables) -> DataFrame:
-    """The rankings of daily largest values, at least four days apart per site."""
+    """The rankings of daily largest values, at least four days apart per site; thirds of a month stand for seasons."""
     day = F.date_format("ts", "yyyy-MM-dd")
     d = t.events.groupBy((F.col("user_id") % 20).alias("site"), day.alias("local_day")).agg(F.max("value").alias("hs"))
-    d = d.withColumns({"band": F.when(F.col("hs") > 60, "high").otherwise("mid"), "season": F.substring("local_day", 9, 1)})
-    return images.rank_interleave(d, ["site", "band"], "season", [-F.col("hs"), F.col("local_day")], "site", "local_day", 3)
+    third = F.least(F.floor((F.substring("local_day", 9, 2).cast("int") - 1) / 10), F.lit(2)).cast("string")
+    d = d.withColumns({"band": F.when(F.col("hs") > 60, "high").otherwise("mid"), "period": third})
+    return images.rank_interleave(d, ["site", "band"], "period", [-F.col("hs"), F.col("local_day")], "site", "local_day", 3)
 
 
 @query("lag_scan")

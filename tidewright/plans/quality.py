@@ -57,7 +57,7 @@ def qc_flat_line(t: Tables) -> DataFrame:
     s AS (SELECT *, count(v) OVER w AS n, avg(v) OVER w AS mu, stddev_samp(v) OVER w AS sd FROM e
       WINDOW w AS (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 10 DAYS PRECEDING
                    AND INTERVAL 1 MICROSECOND PRECEDING))
-    SELECT event_id, CAST(CASE WHEN v IS NULL THEN 9 WHEN n >= 6 AND abs(v - mu) > 2 * sd THEN 3 ELSE 1 END
+    SELECT event_id, CAST(CASE WHEN v IS NULL THEN 9 WHEN n >= 6 AND abs(v - mu) > greatest(2 * sd, 1e-9 * greatest(abs(v), abs(mu))) THEN 3 ELSE 1 END
       AS TINYINT) AS mean_std_flag FROM s""",
 )
 def qc_mean_std(t: Tables) -> DataFrame:

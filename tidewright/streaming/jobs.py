@@ -31,10 +31,24 @@ def open_table(spark: SparkSession, folder: str, glob: str, schema: StructType,
 
 
 def open_ledger(spark: SparkSession, folder: str) -> DataFrame:
-    """An append-only CSV ledger as a stream."""
+    """An append-only CSV ledger as a stream; a line that doesn't fit the columns keeps its text in ``rejected``."""
     from ..sources.ledgers import LEDGER
 
-    return spark.readStream.schema(LEDGER).option("header", True).option("mode", "DROPMALFORMED").csv(folder)
+    reader = spark.readStream.schema(f"{LEDGER}, rejected string").option("header", True).option("mode", "PERMISSIVE")
+    return reader.option("columnNameOfCorruptRecord", "rejected").csv(folder)
+
+
+def split_rejects(each: Callable[[DataFrame, int], None], rejects: str) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function that writes rejected lines to a table and passes on the others."""
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        rows = batch.persist()
+        bad = rows.where("rejected is not null").select("rejected")
+        bad.write.mode("overwrite").parquet(f"{rejects}/batch={batch_id}")
+        each(rows.where("rejected is null").drop("rejected"), batch_id)
+        rows.unpersist()
+
+    return run
 
 
 def run_batches(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
@@ -139,8 +153,8 @@ def trailing_quality(
 ) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` function: each batch tested against the ``window`` before its rows.
 
-    Only the rows of the history that can matter are read (its time column is in the Parquet
-    statistics), and the same skew-proof batch test runs on both together.
+    History is kept by batch and day. A batch reads earlier batches only, so a replayed one gives the
+    same flags, and only the days its window reaches, which are folders; older days are never opened.
     """
 
     def each(batch: DataFrame, batch_id: int) -> None:
@@ -150,12 +164,14 @@ def trailing_quality(
         if first is not None:
             both = rows.withColumn("_new", F.lit(True))
             if _has_files(spark, f"{history}/rows"):
-                old = spark.read.option("recursiveFileLookup", True).parquet(f"{history}/rows")
                 start = F.lit(first) - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(duration_us(window) / 1e6))
-                both = both.unionByName(old.where(F.col(time) >= start).withColumn("_new", F.lit(False)))
+                old = spark.read.option("basePath", f"{history}/rows").parquet(f"{history}/rows")
+                old = old.where((F.col("batch") < batch_id) & (F.col("day") >= F.to_date(start)) & (F.col(time) >= start))
+                both = both.unionByName(old.drop("batch", "day").withColumn("_new", F.lit(False)))
             flagged = mean_std(both, by=by, time=time, value=value, window=window, n_std=n_std, **kw)
             flagged.where("_new").drop("_new").write.mode("overwrite").parquet(f"{history}/flags/batch={batch_id}")
-            rows.write.mode("overwrite").parquet(f"{history}/rows/batch={batch_id}")
+            days = rows.withColumn("day", F.to_date(time))
+            days.write.mode("overwrite").partitionBy("day").parquet(f"{history}/rows/batch={batch_id}")
         rows.unpersist()
 
     return each

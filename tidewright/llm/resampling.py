@@ -33,7 +33,7 @@ MAX_LABELLED = 20_000
 #: one that all but ten times this share of bad ones stay below; at the former if the two overlap.
 LOST = 0.002
 #: Words whose hash and shape a worker remembers.
-MAX_WORDS = 300_000
+MAX_WORDS = 100_000
 
 
 class Features:

@@ -11,7 +11,7 @@ from ..functions.base import DAY_US, clip, divide, micros
 from ..functions.stats import seeded_hash
 from ..session import materialise
 from .ordered import ordered, position
-from .quantiles import quantiles
+from .quantiles import quantiles, quantiles_of
 from .skew import salted_join
 
 QUARTILES = {"q1": 0.25, "q2": 0.5, "q3": 0.75}
@@ -80,10 +80,8 @@ def reliability_weights(
     p = ``penalty_rows`` mean squared disagreements, clipped to [0, 1].
     """
     cal = materialise(cal.select(*dict.fromkeys([*by, observed, forecast, disagreement, *features])))
-    cuts = None
-    for f in features:
-        q = quantiles(cal, by, f, {f"{f}_{k}": p for k, p in TERCILES.items()})
-        cuts = q if cuts is None else cuts.join(q, list(by))
+    cuts = quantiles_of(cal, by, {f: {f"{f}_{k}": p for k, p in TERCILES.items()} for f in features})
+    cuts = materialise(cuts)  # read for the cells and for the grid
     rows = salted_join(cal, cuts, by, how="left").withColumn("cell", cell_index(features))
     d, r = F.col(disagreement), F.col(observed) - F.col(forecast)
     cells = rows.groupBy(*by, "cell").agg(
@@ -115,14 +113,16 @@ def apply_reliability(
 ) -> DataFrame:
     """``reliability`` and ``constant_blend`` by the weights of each row's cell."""
     names = [f"{f}_{k}" for f in features for k in TERCILES]
-    weights = materialise(weights)
-    cuts = weights.where("cell = 0").select(*by, *names)
-    rows = salted_join(df, cuts, by, how="left").withColumn("cell", cell_index(features)).drop(*names)
-    rows = salted_join(rows, weights.select(*by, "cell", "weight", "constant"), [*by, "cell"], how="left")
+    # One row for each key: its cuts, and the weights of its 3^d cells in order.
+    cells = F.array_sort(F.collect_list(F.struct("cell", "weight", "constant"))).alias("_cells")
+    packed = weights.groupBy(*by).agg(*[F.first(n).alias(n) for n in names], cells)
+    rows = salted_join(df, packed, by, how="left").withColumn("_cell", F.get("_cells", cell_index(features)))
     f, d = F.col(forecast), F.col(disagreement)
     return rows.withColumns(
+        {"weight": F.col("_cell.weight"), "constant": F.col("_cell.constant"), "cell": F.col("_cell.cell")}
+    ).withColumns(
         {"reliability": f + F.col("weight") * d, "constant_blend": f + F.col("constant") * d}
-    )
+    ).drop(*names, "_cells", "_cell")
 
 
 def degraded_control(

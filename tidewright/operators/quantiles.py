@@ -53,6 +53,20 @@ def quantiles(
     return seen.where(wanted).groupBy(*keys).agg(*out).drop(WHOLE)
 
 
+def quantiles_of(df: DataFrame, by: Sequence[str], wanted: dict[str, dict[str, float]], *, limit: int | None = None) -> DataFrame:
+    """Quantiles per group of several columns (column to name to probability), in one aggregate while groups are small."""
+    limit = limit or rows_per_task(df.sparkSession)
+    clean = {v: F.when(~F.isnan(F.col(v).cast("double")), F.col(v)) for v in wanted}
+    rows, keys = _keyed(df.select(*by, *[c.alias(v) for v, c in clean.items()]), by)
+    if largest_group(rows, keys) <= max(limit // 10, 1):
+        return rows.groupBy(*keys).agg(*[F.percentile(v, p).alias(k) for v, probs in wanted.items() for k, p in probs.items()])
+    out = None
+    for value, probs in wanted.items():
+        one = quantiles(df, by, value, probs, limit=limit)
+        out = one if out is None else out.join(one, list(by), "full")
+    return out
+
+
 def median(df: DataFrame, by: Sequence[str], value: str, name: str, **kw) -> DataFrame:
     return quantiles(df, by, value, {name: 0.5}, **kw)
 

@@ -147,8 +147,11 @@ def local_calibration(
     """Each station's weight shifted by its first days, applied after an embargo.
 
     The offset is d.(observed - blend) / (d.d + p mean_d2) over the first ``fit_days``; stations
-    with fewer than ``min_rows`` early rows are left out, as their offset is not known.
+    with fewer than ``min_rows`` early rows are left out, as their offset is not known; ``calibration_coverage``
+    lists them. ``mean_d2`` must be one value for each station.
     """
+    if df.groupBy(station).agg(F.count_distinct(mean_d2).alias("n")).where("n > 1").limit(1).count():
+        raise ValueError(f"a station has several values of {mean_d2}")
     us = micros(time)
     d, blend = F.col(disagreement), F.col(forecast) + F.col(weight) * F.col(disagreement)
     starts = df.groupBy(station).agg(F.min(us).alias("_t0"))
@@ -168,6 +171,16 @@ def local_calibration(
     return out.withColumn("local_blend", F.col(forecast) + shifted * d)
 
 
+def calibration_coverage(df: DataFrame, *, station: str, time: str, fit_days: float = 7, later_days: float = 9, min_rows: int = 24) -> DataFrame:
+    """Each station's rows in its first days and after the embargo, and whether it can be calibrated."""
+    us = micros(time)
+    starts = df.groupBy(station).agg(F.min(us).alias("_t0"))
+    age = (us - F.col("_t0")) / DAY_US
+    rows = salted_join(df.select(station, time), starts, [station], how="left")
+    out = rows.groupBy(station).agg(F.count_if(age < fit_days).alias("n_early"), F.count_if(age >= later_days).alias("n_later"))
+    return out.withColumn("calibrated", F.col("n_early") >= min_rows)
+
+
 def gated_swap(
     df: DataFrame, coefficients: DataFrame, by: Sequence[str], gate: Sequence[str], *, total: str, forecast: str, camera: str
 ) -> DataFrame:

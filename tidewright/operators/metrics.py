@@ -192,7 +192,7 @@ def energy_mean(value: str | Column) -> Column:
 
 
 def merge_seeds(df: DataFrame, by: Sequence[str], point: str, mu: str, sigma: str, seeds: int) -> DataFrame:
-    """Geometric-mean point and mixture of the seeds; only samples every seed covers."""
+    """Geometric-mean point and mixture of the seeds; only samples every seed covers, see ``uneven_seeds`` for the others."""
     m, s = F.col(mu), F.col(sigma)
     out = df.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n_seeds"), geometric_mean(point).alias("point"), F.avg(m).alias("mu"),
@@ -201,6 +201,11 @@ def merge_seeds(df: DataFrame, by: Sequence[str], point: str, mu: str, sigma: st
     return out.where(F.col("n_seeds") == seeds).drop("n_seeds")
 
 
+def uneven_seeds(df: DataFrame, by: Sequence[str], seeds: int) -> DataFrame:
+    """``n_seeds`` of the samples that not every seed covers, or one covers twice."""
+    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n_seeds")).where(F.col("n_seeds") != seeds)
+
+
 def ensemble_class(df: DataFrame, by: Sequence[str], cls: str, proba: str) -> DataFrame:
     """Mean probability per class over members; the arg-max, ties to the lower class."""
     mean = df.groupBy(*by, cls).agg(F.avg(proba).alias("_p"))

@@ -230,6 +230,16 @@ def local_calibration(t: Tables) -> DataFrame:
     return rounded(out.select("l_orderkey", "l_linenumber", "obs", "local_blend"), "local_blend")
 
 
+@query(
+    "calibration_coverage",
+    """WITH s AS (SELECT l_suppkey, l_shipdate, min(l_shipdate) OVER (PARTITION BY l_suppkey) AS t0 FROM lineitem)
+    SELECT l_suppkey, count(*) FILTER (l_shipdate < t0 + INTERVAL 7 DAYS) AS n_early, count(*) FILTER (l_shipdate >= t0 + INTERVAL 9 DAYS) AS n_later,
+      count(*) FILTER (l_shipdate < t0 + INTERVAL 7 DAYS) >= 2 AS calibrated FROM s GROUP BY 1""",
+)
+def calibration_coverage(t: Tables) -> DataFrame:
+    return blends.calibration_coverage(t.lineitem, station="l_suppkey", time="l_shipdate", min_rows=2)
+
+
 @query(
     "gated_swap",
     f"""{SQL_BLEND}, g AS (SELECT *, 1 / (1 + exp(-(0.2 * fold - 0.3 * fc + 0.1 * dis))) AS w FROM b)

@@ -398,7 +398,24 @@ def image_names(t: Tables) -> DataFrame:
     FROM orders, range(7) h(h) WHERE o_orderkey % 9 <> 0 GROUP BY 1, 2, 3""",
 )
 def forecast_bulletins(t: Tables) -> DataFrame:
-    """One bulletin per order; every ninth skips an hour and is left out."""
+    rows = listings.parse_bulletins(bulletins(t), "doc")
+    return rows.groupBy("station_id", F.unix_micros("issue_utc").alias("issue_us"), "lead_h").agg(
+        F.count(F.lit(1)).alias("n"), r6(F.sum("hs_m"), 3).alias("hs"), F.max("systems").alias("systems"),
+        F.max(F.col("wave_systems")[0]["wind"]).alias("wind"),
+    )
+
+
+@query(
+    "forecast_bulletins_rejected",
+    "SELECT DISTINCT 'S' || o_custkey AS station_id, epoch_us(date_trunc('day', o_orderdate)) AS issue_us FROM orders WHERE o_orderkey % 9 = 0",
+)
+def forecast_bulletins_rejected(t: Tables) -> DataFrame:
+    bad = listings.bad_bulletins(bulletins(t), "doc")
+    return bad.select("station_id", F.unix_micros("issue_utc").alias("issue_us"))
+
+
+def bulletins(t: Tables) -> DataFrame:
+    """One bulletin per order; every ninth skips an hour and is rejected."""
     day = F.date_trunc("day", "o_orderdate")
     hours = F.transform(
         F.sequence(F.lit(0), F.lit(8)),
@@ -410,11 +427,7 @@ def forecast_bulletins(t: Tables) -> DataFrame:
     )
     head = F.concat(F.lit(" Location : S"), F.col("o_custkey").cast("string"), F.lit("\n Cycle : "), F.date_format(day, "yyyyMMdd"), F.lit(" 0 UTC\n"))
     doc = F.concat(head, F.array_join(hours, "\n"), F.lit("\n"))
-    rows = listings.parse_bulletins(t.orders.select(doc.alias("doc")), "doc")
-    return rows.groupBy("station_id", F.unix_micros("issue_utc").alias("issue_us"), "lead_h").agg(
-        F.count(F.lit(1)).alias("n"), r6(F.sum("hs_m"), 3).alias("hs"), F.max("systems").alias("systems"),
-        F.max(F.col("wave_systems")[0]["wind"]).alias("wind"),
-    )
+    return t.orders.select(doc.alias("doc"))
 
 
 @query(

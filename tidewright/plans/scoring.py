@@ -455,6 +455,14 @@ def merge_seeds(t: Tables) -> DataFrame:
     return rounded(rounded(rounded(out, "point", digits=3), "mu"), "sigma", digits=4)
 
 
+@query(
+    "uneven_seeds",
+    "SELECT l_orderkey, count(*) AS n_seeds FROM lineitem GROUP BY 1 HAVING count(*) <> 4",
+)
+def uneven_seeds(t: Tables) -> DataFrame:
+    return metrics.uneven_seeds(t.lineitem, ["l_orderkey"], 4)
+
+
 @query(
     "ensemble_class",
     f"""WITH m AS (SELECT l_orderkey, l_linenumber AS c, avg(l_extendedprice / 1e5) AS p FROM lineitem GROUP BY 1, 2)

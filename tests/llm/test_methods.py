@@ -180,7 +180,7 @@ def test_packing_equals_the_library(spark, small, texts):
 
     path = public_tokenizers.path("word_bpe_49k.json")
     tokenizer = Tokenizer.from_file(path)
-    more = ["Ärger áb \x1c x　y 12ab'll \x85 <|startoftext|>x ΣΑΣ ẞ", "<|STARTOFTEXT|> IT'S E\u0301 İI", "IT'S E\u0301 \u0130I K\u212a", ""]
+    more = ["Ärger áb \x1c x　y 12ab'll \x85 <|startoftext|>x ΣΑΣ ẞ", "<|STARTOFTEXT|> IT'S E\u0301 İI", "IT'S E\u0301 \u0130I K\u212a", "a~b ~ ~~ c~ ~d x", ""]
     rows = list(enumerate(texts + more))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     out = packing.pack(docs, path).collect()

@@ -40,7 +40,10 @@ GROUPS = (24, 128, 256)
 #: Pieces above capacity / LARGE are large.
 LARGE = 3
 #: White-space separated words whose ids a worker remembers, about 0.2 kB each.
-MAX_WORDS = 400_000
+MAX_WORDS = 450_000
+#: A word of one token that stands between words that are encoded together; words with it are encoded alone.
+MARK = "~"
+ENDS = b".,"
 
 
 class WordIds:
@@ -57,18 +60,56 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
+        self.recent: set[bytes] = set()
+        self.ends_piece = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.ends_piece[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
+        self.mark = self.ids([MARK])[0]
+        if len(self.mark) != 1:
+            raise ValueError(f"{MARK} must be one token")
+
+    def ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn(self, new: list[bytes]) -> None:
+        """Many words are one call. A word of letters alone ends with the first token that ends a piece; a
+        mark stands between others, and its only token shows where they end."""
+        texts = [w.decode() for w in new]
+        letters, marked, alone = [], [], []
+        for w, t in zip(new, texts, strict=True):
+            (letters if t.lower().isalpha() else alone if MARK in t or "<|" in t else marked).append((w, t))
+        for start in range(0, len(letters), 500):
+            part = letters[start : start + 500]
+            ids = self.ids([" ".join([t for _, t in part])])[0]
+            ends = np.flatnonzero(self.ends_piece[ids]) + 1
+            if len(ends) != len(part):  # what is a letter differs
+                alone += part
+                continue
+            text, places = ids.tobytes(), [0, *(ends * 4).tolist()]
+            self.known.update([(w, text[places[k] : places[k + 1]]) for k, (w, _) in enumerate(part)])
+        for start in range(0, len(marked), 500):
+            part = marked[start : start + 500]
+            ids = self.ids([f" {MARK} ".join([t for _, t in part])])[0]
+            ends = np.append(np.flatnonzero(ids == self.mark[0]), len(ids))
+            text, places = ids.tobytes(), zip(np.append(0, ends[:-1] + 1) * 4, ends * 4, strict=True)
+            self.known.update((w, text[a:b]) for (w, _), (a, b) in zip(part, places, strict=True))
+        self.known.update((w, ids.tobytes()) for (w, _), ids in zip(alone, self.ids([t for _, t in alone]), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         # Bytes are split at ASCII white space only, and only ASCII letters are lowered.
         split = [(b if b"<|" in b else b.lower()).split() for b in map(str.encode, texts)]
-        if len(self.known) > MAX_WORDS:
-            self.known.clear()
-        new = list(set().union(*split).difference(self.known))
-        for start in range(0, len(new), 10_000):
-            part = new[start : start + 10_000]
-            made = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-            self.known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, made, strict=True))
-        return [b"".join(map(self.known.__getitem__, words)) for words in split]
+        words = set().union(*split)
+        if len(self.known) > MAX_WORDS:  # keep what both this run and the last one use
+            self.known = {w: self.known[w] for w in (words & self.recent).intersection(self.known)}
+        self.recent = words
+        new = words.difference(self.known)
+        # A mark after a letter is a piece of its own: such a word is its stem and the mark.
+        ended = [w for w in new if w[-1] in ENDS and w[-2:-1].islower()]
+        new.difference_update(ended)
+        new.update({w[:-1] for w in ended}.union(w[-1:] for w in ended).difference(self.known))
+        self.learn(list(new))
+        known = self.known
+        known.update([(w, known[w[:-1]] + known[w[-1:]]) for w in ended])
+        return [b"".join(map(known.__getitem__, words)) for words in split]
 
 
 @lru_cache(maxsize=1)

@@ -2,6 +2,7 @@
 
 import random
 import re
+import unicodedata
 import zlib
 from collections import Counter
 from hashlib import md5
@@ -206,6 +207,26 @@ def test_packing_equals_the_library(spark, small, texts):
     assert len(sequences) <= 1.03 * sum(r["length"] for r in out) / 4096 + 1
 
 
+def test_capitals_compose_before_they_are_lowered():
+    """Marks that compose with the small letter only: the library composes first and lowers after."""
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokenizer = Tokenizer.from_file(path)
+    pairs = ["J̌", "H̱", "T̈", "W̊", "Y̊"]
+    texts = [*pairs, *(f"Ab{p}cD, {p.lower()} {p}. PLAIN {p}{p}" for p in pairs)]
+    for text, ids in zip(texts, packing.WordIds(path).encode(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
+
+
+def test_only_known_marks_compose_with_ascii_letters():
+    letters = [chr(97 + k) for k in range(26)]
+    marks = [c for c in map(chr, range(0x80, 0x110000)) if not "\ud800" <= c <= "\udfff" and (unicodedata.combining(c) or unicodedata.decomposition(c))]
+    for c in marks:
+        if c.encode()[:1] not in packing.MARKS:
+            assert all(unicodedata.normalize("NFC", x + c)[0] == x for a in letters for x in (a, a.upper())), hex(ord(c))
+
+
 def test_kth_largest(spark):
     rnd = random.Random(7)
     values = [rnd.randint(-(10**12), 10**12) for _ in range(500)] + [5] * 50

@@ -44,6 +44,15 @@ MAX_WORDS = 450_000
 #: A word of one token that stands between words that are encoded together; words with it are encoded alone.
 MARK = "~"
 ENDS = b".,"
+#: First bytes of U+0300 to U+037F; all marks that compose with an ASCII letter are among them.
+MARKS = (b"\xcc", b"\xcd")
+
+
+def lowered(text: bytes) -> list[bytes]:
+    """The words, ASCII letters lowered but for words with a mark that ASCII letters compose with (``MARKS``)."""
+    if MARKS[0] not in text and MARKS[1] not in text:
+        return text.lower().split()
+    return [w if MARKS[0] in w or MARKS[1] in w else w.lower() for w in text.split()]
 
 
 class WordIds:
@@ -51,7 +60,8 @@ class WordIds:
 
     The tokenizer drops white space and never joins across it, so the ids of a text are those of its
     space-separated words in a row; each run of texts asks the library only for words not seen before. It
-    also lower-cases what isn't a special token, so ASCII letters can be lowered first, which halves the words.
+    also composes and then lower-cases what isn't a special token, so ASCII letters without a mark to compose
+    with can be lowered first, which halves the words.
     """
 
     def __init__(self, path: str):
@@ -95,8 +105,9 @@ class WordIds:
         self.known.update((w, ids.tobytes()) for (w, _), ids in zip(alone, self.ids([t for _, t in alone]), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        # Bytes are split at ASCII white space only, and only ASCII letters are lowered.
-        split = [(b if b"<|" in b else b.lower()).split() for b in map(str.encode, texts)]
+        # Bytes are split at ASCII white space only. A capital may compose with a mark after it in another way
+        # than its small letter (J and U+030C), so words with such a mark aren't lowered.
+        split = [b.split() if b"<|" in b else lowered(b) for b in map(str.encode, texts)]
         words = set().union(*split)
         if len(self.known) > MAX_WORDS:  # keep what both this run and the last one use
             self.known = {w: self.known[w] for w in (words & self.recent).intersection(self.known)}

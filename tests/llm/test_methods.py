@@ -259,6 +259,23 @@ def test_classifier_agrees_with_labels(spark):
     assert sum(good) >= 0.98 * len(good) and sum(bad) <= 0.1 * len(bad)
 
 
+def test_toxic_documents_that_read_well_go(spark):
+    """Toxic documents of quality 1 whose words are those of good ones but for a few."""
+    rnd = random.Random(9)
+    docs, labels = [], []
+    for k in range(600):
+        words = [f"w{(k // 6 + j) % 40}" for j in range(80)]
+        if toxic := k % 6 == 0:
+            words[rnd.randrange(80)] = rnd.choice(["Vile,", "vile", "rotten!"])
+        docs.append((k, " ".join(words)))
+        if k % 3 == 0:
+            labels.append((k, 1, int(toxic)))
+    rows = resampling.resample(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
+    kept = {r["doc_id"]: r["kept"] for r in rows}
+    assert not any(kept[k] for k in range(0, 600, 6))
+    assert sum(kept[k] for k in range(600) if k % 6) >= 0.97 * 500
+
+
 def test_bundles_are_sums_of_bound_vectors():
     space = language.Space(64, 3)
     grams = language.trigrams("Ab1 ba?")

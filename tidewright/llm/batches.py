@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 from functools import partial
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 ROWS = 256
@@ -17,6 +19,18 @@ def runs(batches: Iterable[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.Rec
             yield batch.slice(start, rows)
 
 
+def sized_runs(batches: Iterable[pa.RecordBatch], column: int, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Runs of rows whose texts together have about ``most`` bytes, one row at least."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        start = 0
+        while start < batch.num_rows:
+            taken = ends[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, taken + most, "right")))
+            yield batch.slice(start, stop - start)
+            start = stop
+
+
 def _each(batches: Iterable[pa.RecordBatch], make: Callable[[], Callable[[str], tuple]], names: list[str], kinds: list[str]) -> Iterator[pa.RecordBatch]:
     work = make()
     types = [pa.type_for_alias(k) for k in kinds]

@@ -9,7 +9,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import byte_bpe, fingerprints, jaccard_join, language, line_rules, lm_scores, packing, personal, resampling, sharding
+from . import (
+    byte_bpe,
+    fill_in_middle,
+    fingerprints,
+    jaccard_join,
+    language,
+    line_rules,
+    lm_scores,
+    packing,
+    personal,
+    phrases,
+    resampling,
+    sharding,
+    token_files,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -186,3 +200,55 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
     good = resampling.labels_of_good(table(spark, folder, "labels"))
     scored = lm_scores.score(table(spark, folder, "documents"), good)
     return scored.withColumns({c: F.round(F.col(c) + 1e-10, 6) for c in ("target_loss", "background_loss", "difference")})
+
+
+OP11_SQL = r"""
+WITH p AS (SELECT doc_id, lang, unnest(range(1, len(x) + 1)) AS piece, unnest(x) AS t FROM (SELECT doc_id, coalesce(lang, 'und') AS lang,
+  regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS x FROM documents)),
+w AS (SELECT lang, list_filter(regexp_split_to_array(t, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p),
+c1 AS (SELECT lang, x AS phrase, count(*) AS n FROM (SELECT lang, unnest(w) AS x FROM w) GROUP BY 1, 2),
+c2 AS (SELECT lang, x AS phrase, count(*) AS n FROM (SELECT lang, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS x FROM w) GROUP BY 1, 2),
+c3 AS (SELECT lang, x AS phrase, count(*) AS n FROM (SELECT lang, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS x FROM w) GROUP BY 1, 2),
+f AS (SELECT * FROM c1 UNION ALL SELECT * FROM c2),
+cand AS (SELECT lang, phrase, n AS a, string_split(phrase, ' ') AS v FROM (SELECT * FROM c2 UNION ALL SELECT * FROM c3) WHERE n >= 10),
+inside AS (SELECT lang, unnest([v[1] || ' ' || v[2], v[2] || ' ' || v[3]]) AS phrase, a AS longer FROM cand WHERE len(v) = 3),
+kept AS (SELECT * FROM cand WHERE NOT EXISTS (SELECT 1 FROM inside i WHERE i.lang = cand.lang AND i.phrase = cand.phrase AND 100 * i.longer >= 50 * cand.a)),
+cut AS (SELECT lang, phrase, a, v, unnest(range(1, len(v))) AS k FROM kept),
+s AS (SELECT cut.lang, cut.phrase, a, k, x.n AS l, y.n AS r, CAST(CAST(1000000 AS HUGEINT) * a * a // (CAST(x.n AS HUGEINT) * y.n) AS BIGINT) AS score FROM cut
+  JOIN f x ON x.lang = cut.lang AND x.phrase = array_to_string(v[1:k], ' ') JOIN f y ON y.lang = cut.lang AND y.phrase = array_to_string(v[k + 1:], ' ')),
+lowest AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+total AS (SELECT lang, CAST(sum(n) AS BIGINT) AS n FROM c1 GROUP BY 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM lowest JOIN total USING (lang) QUALIFY rank <= 2000
+"""
+
+
+@register("op11_collocations", OP11_SQL)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return phrases.collocations(table(spark, folder, "documents"))
+
+
+OP12_SQL = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || CAST(doc_id AS VARCHAR)) AS x FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[A-Za-z]+|[^A-Za-z]') AS w,
+  CAST('0x' || x[1:8] AS BIGINT) AS h1, CAST('0x' || x[9:16] AS BIGINT) AS h2, CAST('0x' || x[17:24] AS BIGINT) AS h3, CAST('0x' || x[25:32] AS BIGINT) AS h4 FROM d),
+c AS (SELECT *, len(w) AS n, least(h1 % (len(w) + 1), h2 % (len(w) + 1)) AS a, greatest(h1 % (len(w) + 1), h2 % (len(w) + 1)) AS b FROM w),
+f AS (SELECT *, CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+    WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form,
+  coalesce(array_to_string(w[1:a], ''), '') AS p, coalesce(array_to_string(w[a + 1:b], ''), '') AS m, coalesce(array_to_string(w[b + 1:], ''), '') AS s FROM c)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM f
+"""
+
+
+@register("op12_fill_in_middle", OP12_SQL)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return fill_in_middle.digests(table(spark, folder, "documents"))
+
+
+@register("op13_token_files")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return token_files.round_trip(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))

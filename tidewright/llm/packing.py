@@ -17,11 +17,10 @@ sequence and offset from its number. Only the plan and the table of lengths are
 
 from __future__ import annotations
 
-import os
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterable, Iterator
-from functools import lru_cache, partial
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -31,108 +30,22 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..session import materialise, shuffle_partitions
-from .batches import runs
+from .batches import sized_runs
 from .text import plain
+from .word_ids import word_ids
 
 CAPACITY = 4096
 #: Each of these numbers of groups is planned; the plan with the fewest sequences is used.
 GROUPS = (24, 128, 256)
 #: Pieces above capacity / LARGE are large.
 LARGE = 3
-#: White-space separated words whose ids a worker remembers, about 0.2 kB each.
-MAX_WORDS = 450_000
-#: A word of one token that stands between words that are encoded together; words with it are encoded alone.
-MARK = "~"
-ENDS = b".,"
-#: First bytes of U+0300 to U+037F; all marks that compose with an ASCII letter are among them.
-MARKS = (b"\xcc", b"\xcd")
-
-
-def lowered(text: bytes) -> list[bytes]:
-    """The words, ASCII letters lowered but for words with a mark that ASCII letters compose with (``MARKS``)."""
-    if MARKS[0] not in text and MARKS[1] not in text:
-        return text.lower().split()
-    return [w if MARKS[0] in w or MARKS[1] in w else w.lower() for w in text.split()]
-
-
-class WordIds:
-    """Ids of texts as unsigned 32-bit little-endian bytes, from the library's ids of their words.
-
-    The tokenizer drops white space and never joins across it, so the ids of a text are those of its
-    space-separated words in a row; each run of texts asks the library only for words not seen before. It
-    also composes and then lower-cases what isn't a special token, so ASCII letters without a mark to compose
-    with can be lowered first, which halves the words.
-    """
-
-    def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
-        self.recent: set[bytes] = set()
-        self.ends_piece = np.zeros(self.tokenizer.get_vocab_size(), bool)
-        self.ends_piece[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
-        self.mark = self.ids([MARK])[0]
-        if len(self.mark) != 1:
-            raise ValueError(f"{MARK} must be one token")
-
-    def ids(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def learn(self, new: list[bytes]) -> None:
-        """Many words are one call. A word of letters alone ends with the first token that ends a piece; a
-        mark stands between others, and its only token shows where they end."""
-        texts = [w.decode() for w in new]
-        letters, marked, alone = [], [], []
-        for w, t in zip(new, texts, strict=True):
-            (letters if t.lower().isalpha() else alone if MARK in t or "<|" in t else marked).append((w, t))
-        for start in range(0, len(letters), 500):
-            part = letters[start : start + 500]
-            ids = self.ids([" ".join([t for _, t in part])])[0]
-            ends = np.flatnonzero(self.ends_piece[ids]) + 1
-            if len(ends) != len(part):  # what is a letter differs
-                alone += part
-                continue
-            text, places = ids.tobytes(), [0, *(ends * 4).tolist()]
-            self.known.update([(w, text[places[k] : places[k + 1]]) for k, (w, _) in enumerate(part)])
-        for start in range(0, len(marked), 500):
-            part = marked[start : start + 500]
-            ids = self.ids([f" {MARK} ".join([t for _, t in part])])[0]
-            ends = np.append(np.flatnonzero(ids == self.mark[0]), len(ids))
-            text, places = ids.tobytes(), zip(np.append(0, ends[:-1] + 1) * 4, ends * 4, strict=True)
-            self.known.update((w, text[a:b]) for (w, _), (a, b) in zip(part, places, strict=True))
-        self.known.update((w, ids.tobytes()) for (w, _), ids in zip(alone, self.ids([t for _, t in alone]), strict=True))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        # Bytes are split at ASCII white space only. A capital may compose with a mark after it in another way
-        # than its small letter (J and U+030C), so words with such a mark aren't lowered.
-        split = [b.split() if b"<|" in b else lowered(b) for b in map(str.encode, texts)]
-        words = set().union(*split)
-        if len(self.known) > MAX_WORDS:  # keep what both this run and the last one use
-            self.known = {w: self.known[w] for w in (words & self.recent).intersection(self.known)}
-        self.recent = words
-        new = words.difference(self.known)
-        # A mark after a letter is a piece of its own: such a word is its stem and the mark.
-        ended = [w for w in new if w[-1] in ENDS and w[-2:-1].islower()]
-        new.difference_update(ended)
-        new.update({w[:-1] for w in ended}.union(w[-1:] for w in ended).difference(self.known))
-        self.learn(list(new))
-        known = self.known
-        known.update([(w, known[w[:-1]] + known[w[-1:]]) for w in ended])
-        return [b"".join(map(known.__getitem__, words)) for words in split]
-
-
-@lru_cache(maxsize=1)
-def word_ids(path: str) -> WordIds:
-    return WordIds(path)
 
 
 def _cut(batches: Iterable[pa.RecordBatch], path: str, end: int, capacity: int) -> Iterator[pa.RecordBatch]:
     last = np.array([end], "<u4").tobytes()
-    for part in runs(batches):
+    for part in sized_runs(batches, 1):
         rows, pieces, starts, lengths, sums = [], [], [], [], []
-        for row, ids in enumerate(word_ids(path).encode([t or "" for t in part.column(1).to_pylist()])):
+        for row, ids in enumerate(word_ids(path).encode(part.column(1))):
             ids += last
             for k, start in enumerate(range(0, len(ids), 4 * capacity)):
                 piece = ids[start : start + 4 * capacity]

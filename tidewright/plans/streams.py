@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir, table
-from ..streaming import jobs
+from ..streaming import jobs, timers
 from .registry import Tables, query, r6, sql_r6
 
 
@@ -110,3 +110,38 @@ def stream_merged_snapshots(t: Tables) -> DataFrame:
     jobs.run_to_parquet(rows, f"{base}/out", f"{base}/state")
     log = t.spark.read.schema(rows.schema).parquet(f"{base}/out")
     return merge_snapshots(log, ["user_id", "us"], ["hs"], "hs").select("user_id", "us", r6("hs").alias("hs"), "n_snapshots", "snapshots_disagree")
+
+
+def _timed(t: Tables, stream: DataFrame) -> DataFrame:
+    with timers.keyed_state(t.spark):
+        return _sink(t, stream)
+
+
+@query(
+    "stream_coverage_codes",
+    """WITH a AS (SELECT date_trunc('millisecond', max(ts)) AS as_of FROM events),
+    h AS (SELECT user_id, date_trunc('hour', ts) AS hour, min(ts) FILTER (event_type <> 'error') AS t FROM events GROUP BY 1, 2),
+    c AS (SELECT user_id, unnest(generate_series(min(hour), date_trunc('hour', (SELECT as_of FROM a)), INTERVAL 1 HOUR)) AS hour FROM h GROUP BY 1)
+    SELECT CAST(c.user_id AS VARCHAR) AS key, epoch_us(c.hour) AS hour_us, CASE WHEN h.t IS NOT NULL THEN CAST(minute(h.t) // 10 AS VARCHAR) WHEN h.user_id IS NOT NULL THEN 'x'
+      WHEN c.hour + INTERVAL 50 MINUTES <= as_of THEN '?' ELSE '.' END AS code
+    FROM c CROSS JOIN a LEFT JOIN h ON h.user_id = c.user_id AND h.hour = c.hour""",
+)
+def stream_coverage_codes(t: Tables) -> DataFrame:
+    """Every user is a station, an error an hour that wasn't published; gaps are found by timers."""
+    kind = F.when(F.col("event_type") == "error", "not_found").otherwise("image")
+    changes = _timed(t, timers.coverage_changes(event_stream(t), "user_id", "ts", kind))
+    as_of = t.events.agg(F.max("ts").cast("timestamp").alias("as_of")).first()["as_of"]
+    return timers.coverage_now(changes, F.lit(as_of))
+
+
+@query(
+    "stream_freshness_alerts",
+    """WITH a AS (SELECT epoch_us(date_trunc('millisecond', max(ts))) - 3600000000 AS now FROM events),
+    e AS (SELECT user_id, epoch_us(ts) AS us, lead(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) AS nxt, now FROM events CROSS JOIN a WHERE epoch_us(ts) <= now)
+    SELECT CAST(user_id AS VARCHAR) AS key, us AS last_us, us + 86400000000 AS alert_us, us + 71 * 3600000000 AS lost_us, nxt AS back_us
+    FROM e WHERE nxt - us > 86400000000 OR nxt IS NULL AND now - us >= 86400000000""",
+)
+def stream_freshness_alerts(t: Tables) -> DataFrame:
+    """Users silent for more than a day, as known an hour after the fact."""
+    changes = _timed(t, timers.silence_changes(event_stream(t), "user_id", "ts", "24h"))
+    return timers.alerts(changes, "24h", timers.BACKFILL)

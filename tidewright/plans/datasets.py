@@ -139,10 +139,11 @@ def calendar_columns(t: Tables) -> DataFrame:
 
 @query(
     "fold_packing",
-    """WITH z AS (SELECT CAST(o_custkey AS VARCHAR) AS g, count(*) AS n FROM orders GROUP BY 1),
-    k AS (SELECT g, (row_number() OVER (ORDER BY n DESC, g) - 1) % 6 AS k FROM z)
-    SELECT o_orderkey, CAST(CASE WHEN k < 3 THEN k ELSE 5 - k END AS INT) AS cv_fold
-    FROM orders JOIN k ON CAST(o_custkey AS VARCHAR) = k.g""",
+    """WITH RECURSIVE z AS (SELECT CAST(o_custkey AS VARCHAR) AS g, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, CAST(o_custkey AS VARCHAR)) AS i FROM orders GROUP BY 1),
+    r(i, load, fold) AS (SELECT CAST(0 AS BIGINT), [0, 0, 0]::BIGINT[], CAST(-1 AS BIGINT)
+      UNION ALL SELECT z.i, list_transform(load, lambda x, k: CASE WHEN k = list_position(load, list_min(load)) THEN x + z.n ELSE x END), CAST(list_position(load, list_min(load)) - 1 AS BIGINT)
+      FROM r JOIN z ON z.i = r.i + 1)
+    SELECT o_orderkey, CAST(fold AS INT) AS cv_fold FROM orders JOIN z ON CAST(o_custkey AS VARCHAR) = z.g JOIN r ON r.i = z.i""",
 )
 def fold_packing(t: Tables) -> DataFrame:
     return splits.assign_folds(t.orders, ["o_custkey"], 3).select("o_orderkey", "cv_fold")

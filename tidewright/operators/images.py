@@ -7,9 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.base import DAY_US, divide, micros
+from ..functions.base import DAY_US, HOUR_US, divide, finite, micros
 from ..functions.geo import solar_position
-from .quantiles import quantiles
+from .ordered import Prev, ordered
+from .quantiles import median, quantiles, spearman
 from .skew import salted_join
 
 
@@ -163,3 +164,24 @@ def third_gap(df: DataFrame, by: str, rank_by: str, flag: str, tie: str, min_row
         (F.avg(F.when(x > 2 / 3, f)) - F.avg(F.when(x <= 1 / 3, f))).alias("gap"), F.max("_n").alias("n")
     )
     return g.agg(divide(F.sum(F.col("gap") * F.col("n")), F.sum("n")).alias("gap"), F.count(F.lit(1)).alias("n_groups"))
+
+
+def hourly_changes(
+    df: DataFrame, *, by: Sequence[str], time: str, value: str, height: str, local_time: str | None = None, low_h: float = 0.75, high_h: float = 1.25, limit: int | None = None
+) -> DataFrame:
+    """(by..., pairs, rho): rank correlation of changes between consecutive rows about an hour apart.
+
+    From the change of ``value`` the median change of its hour of day and month is removed, which takes out the
+    light; ``height`` is known at the rows' times. Medians and ranks are exact and split where a station is hot.
+    """
+    local = F.col(local_time or time)
+    rows = df.select(*by, micros(time).alias("_us"), F.hour(local).alias("_hour"), F.month(local).alias("_month"), finite(value).alias("_v"), finite(height).alias("_h"))
+    seen = ordered(rows, list(by), ["_us", "_v", "_h"], limit=limit, _us0=Prev(F.col("_us")), _v0=Prev(F.col("_v")), _h0=Prev(F.col("_h")))
+    gap = (F.col("_us") - F.col("_us0")) / HOUR_US
+    pairs = seen.where((gap > low_h) & (gap < high_h)).select(*by, "_hour", "_month", (F.col("_v") - F.col("_v0")).alias("_dv"), (F.col("_h") - F.col("_h0")).alias("_dh"))
+    cell = [*by, "_hour", "_month"]
+    usual = median(pairs, cell, "_dv", "_usual", limit=limit)
+    rest = salted_join(pairs, usual, cell, how="left", limit=limit).withColumn("_rest", F.col("_dv") - F.col("_usual"))
+    whole = rest.where("_rest is not null and _dh is not null")
+    counts = whole.groupBy(*by).agg(F.count(F.lit(1)).alias("pairs"))
+    return counts.join(spearman(whole, list(by), "_rest", "_dh", output="rho", limit=limit), list(by))

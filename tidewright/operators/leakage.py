@@ -10,7 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.base import US, duration_us
+from ..functions.stats import seeded_hash
 from .align import pair_nearest
+from .ordered import ordered, position
+from .quantiles import quantiles
 from .skew import salted_join
 from .splits import TEST, TRAIN, VAL
 
@@ -145,3 +148,25 @@ def adjacent_days(df: DataFrame, day: str, split: str = "split") -> DataFrame:
     train = df.where(F.col(split) == TRAIN).select(F.to_date(day).alias("d")).distinct()
     around = train.select(F.explode(F.array(F.date_sub("d", 1), "d", F.date_add("d", 1))).alias("d"))
     return test.join(around, "d", "left_semi").agg(F.count(F.lit(1)).alias("adjacent_days"))
+
+
+def random_pair_distances(
+    df: DataFrame, *, by: str, day: str, hashes: str, order: Sequence[str], pairs: int = 20_000, seed: int = 0, near: int = 4,
+    probs: dict[str, float] | None = None, limit: int | None = None,
+) -> DataFrame:
+    """(by, pairs, q05, q50, q95, near_share) of bit distances between random rows of a camera on different days.
+
+    Both rows of a pair are numbers drawn by hash and looked up by their place in ``order``, so rows never meet all
+    others. Pairs on one day are dropped after the draw, as are rows without a hash before it.
+    """
+    probs = probs or {"q05": 0.05, "q50": 0.5, "q95": 0.95}
+    rows = df.where(F.col(hashes).isNotNull()).select(by, *[c for c in order if c != by], F.col(day).alias("_day"), F.col(hashes).alias("_hash"))
+    placed = ordered(rows, [by], list(order), limit=limit, _place=position()).select(by, (F.col("_place") - 1).alias("_place"), "_day", "_hash")
+    sizes = rows.groupBy(by).agg(F.count(F.lit(1)).alias("_n"))
+    drawn = sizes.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(pairs - 1))))
+    drawn = drawn.select(by, *[F.pmod(seeded_hash(seed, side, by, "_k"), F.col("_n")).alias(f"_{name}") for name, side in (("i", F.lit("i")), ("j", F.lit("j")))])
+    first = placed.select(by, F.col("_place").alias("_i"), F.col("_day").alias("_d1"), F.col("_hash").alias("_h1"))
+    second = placed.select(by, F.col("_place").alias("_j"), F.col("_day").alias("_d2"), F.col("_hash").alias("_h2"))
+    met = drawn.join(first, [by, "_i"]).join(second, [by, "_j"]).where("_d1 <> _d2").select(by, hamming("_h1", "_h2").alias("distance"))
+    shares = met.groupBy(by).agg(F.count(F.lit(1)).alias("pairs"), F.avg((F.col("distance") <= near).cast("double")).alias("near_share"))
+    return shares.join(quantiles(met, [by], "distance", probs, limit=limit), by)

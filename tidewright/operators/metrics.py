@@ -201,6 +201,19 @@ def merge_seeds(df: DataFrame, by: Sequence[str], point: str, mu: str, sigma: st
     return out.where(F.col("n_seeds") == seeds).drop("n_seeds")
 
 
+def merge_seed_fields(df: DataFrame, by: Sequence[str], seeds: int, *, points: Sequence[str] = (), cos: str | None = None, sin: str | None = None, shapes: dict[str, int] | None = None) -> DataFrame:
+    """Seeds merged: geometric means of points, the mean vector's direction and its length ``agreement`` (1 if the
+    seeds agree), and arrays (name to length) bin by bin. Only samples that every seed covers, as ``merge_seeds``.
+    """
+    made = [geometric_mean(p).alias(p) for p in points]
+    if cos and sin:
+        x, y = F.avg(cos), F.avg(sin)
+        made += [F.degrees(F.atan2(y, x)).alias("direction_deg"), F.hypot(x, y).alias("agreement")]
+    made += [F.array(*[F.avg(F.col(name)[k]) for k in range(n)]).alias(name) for name, n in (shapes or {}).items()]
+    out = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n_seeds"), *made)
+    return out.where(F.col("n_seeds") == seeds)
+
+
 def uneven_seeds(df: DataFrame, by: Sequence[str], seeds: int) -> DataFrame:
     """``n_seeds`` of the samples that not every seed covers, or one covers twice."""
     return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n_seeds")).where(F.col("n_seeds") != seeds)

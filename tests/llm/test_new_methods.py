@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from odd import odd_documents
 
-from tidewright.llm import fill_in_middle, phrases, token_files
+from tidewright.llm import byte_bpe, fill_in_middle, phrases, token_files
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
 
@@ -233,3 +233,70 @@ def test_token_files_of_odd_documents(spark):
     assert token_files.round_trip(docs.limit(0), WORDS).count() == 0
     named = docs.select(docs.doc_id.cast("string").alias("key"), docs.text.alias("body"))
     assert token_files.round_trip(named, WORDS, "key", "body").where("key = '7'").count() == 1
+
+
+# ------------------------------------------------------------------ byte-level codec on runs of texts
+@pytest.fixture(scope="module")
+def library():
+    import tiktoken
+
+    ranks = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return ranks, tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def plain_digests(library, texts):
+    out = []
+    for t in texts:
+        ids = library[1].encode_ordinary(t)
+        out.append((len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(t.encode()).hexdigest()))
+    return out
+
+
+def test_runs_of_texts_equal_the_library(library, small):
+    import pyarrow.parquet as pq
+
+    codec = byte_bpe.Codec(library[0], public_tokenizers.PATTERN)
+    texts = [t or "" for t in pq.read_table(f"{small}/documents.parquet")["text"].to_pylist()]
+    assert codec.digests(pa.array(texts)) == plain_digests(library, texts)
+    rnd = random.Random(6)
+    parts = ["a", "b", " ", " ", "é", "the", "ing", " in", "\n", "  ", "1", "--", "=", "漢", "🙂", "'s", "　", "\x1c", "\x85", "́", "ſ", "\xa0", "\t", "<|endoftext|>", "'", "ll", ".", " \n", "\n "]
+    for _ in range(60):
+        texts = ["".join(rnd.choice(parts) for _ in range(rnd.randint(0, 25))) for _ in range(rnd.randint(1, 80))]
+        array = pa.array(["skipped", *texts]).slice(1)
+        assert codec.digests(array) == plain_digests(library, texts)
+
+
+@pytest.mark.parametrize("text", ["", " ", "  ", " a", "a ", "a  b", "a \n b", "a\n", "\na b", "a b\n", "\n", " \n", "\n ", "a b \n", "x's 's", "a\x1c b", "a　 b", "é è", "🙂 🙂"])
+def test_spaces_at_borders(library, text):
+    codec = byte_bpe.Codec(library[0], public_tokenizers.PATTERN)
+    assert codec.digests(pa.array([text, "plain text", text])) == plain_digests(library, [text, "plain text", text])
+
+
+def test_other_pattern_and_forgotten_chunks(library, monkeypatch):
+    import tiktoken
+
+    pattern = r"[^ ]+ ?| +"  # pieces end with a space, so texts may not be cut before one
+    own = tiktoken.Encoding("other", pat_str=pattern, mergeable_ranks=library[0], special_tokens={})
+    texts = ["one two  three", "four five"]
+    assert [d[0] for d in byte_bpe.Codec(library[0], pattern).digests(pa.array(texts))] == [len(own.encode_ordinary(t)) for t in texts]
+    monkeypatch.setattr(byte_bpe, "MAX_PIECES", 3)
+    codec = byte_bpe.Codec(library[0], public_tokenizers.PATTERN)
+    for _ in range(3):
+        texts = [f"word{k} again word{k % 3}, and" for k in range(20)]
+        assert codec.digests(pa.array(texts)) == plain_digests(library, texts)
+
+
+def test_decoder_takes_any_cuts(library):
+    decoder = byte_bpe.Decoder({i: b for b, i in library[0].items()})
+    rnd = random.Random(12)
+    for _ in range(200):
+        text = "".join(rnd.choice("aé漢🙂 ſ\n") for _ in range(rnd.randint(0, 30)))
+        ids, got, k = [library[0][bytes([x])] for x in text.encode()], "", 0
+        while k < len(ids):
+            n = rnd.randint(0, 4)
+            got += decoder.feed(ids[k : k + n])
+            k += n
+        decoder.end()
+        assert got == text
+    with pytest.raises(ValueError):
+        decoder.feed([library[0][b"\xe2"], library[0][b"a"]])

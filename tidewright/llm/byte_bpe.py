@@ -19,20 +19,26 @@ import base64
 from collections.abc import Iterable, Iterator
 from functools import lru_cache, partial
 from hashlib import sha256
-from itertools import chain
+from struct import iter_unpack, pack
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from .batches import per_text
+from .batches import sized_runs
 from .text import plain
 
-#: What a worker remembers at most: states (about 0.7 kB each), pairs of tokens (0.1 kB), pieces (0.4 kB).
-MAX_STATES = 150_000
+#: What a worker remembers at most: states (about 0.7 kB each), pairs of tokens (0.1 kB), pieces and chunks of them
+#: in each of two generations (0.3 kB).
+MAX_STATES = 250_000
 MAX_PAIRS = 500_000
-MAX_PIECES = 200_000
+MAX_PIECES = 250_000
 #: Longer pieces run through the transducer each time instead of being remembered.
 LONG_PIECE = 48
+#: Fixed value: a public pattern whose pieces begin at a space between two characters that aren't white space.
+SPACE_LED = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 ROOT = 0
 #: Bytes after which a long piece gives out what is settled.
 WINDOW = 4096
@@ -223,12 +229,24 @@ def utf8_step(state: int, byte: int) -> int:
 
 
 class Decoder:
-    """Text from token ids as they come; a character that is cut between tokens waits for its rest."""
+    """Text from token ids as they come; a character that is cut between tokens waits for its rest.
+
+    Tokens of whole characters leave the machine closed as they find it, so it takes steps only at the others.
+    """
 
     def __init__(self, bytes_of: dict[int, bytes]):
         self.bytes_of = bytes_of
         self.moves: list[dict[int, int]] = [{} for _ in range(8)]
-        self.state, self.held = CLOSED, []
+        self.table = pa.array([bytes_of.get(i) for i in range(max(bytes_of) + 1)], pa.large_binary())
+        self.whole = np.array([i in bytes_of and self.closes(bytes_of[i]) for i in range(len(self.table))])
+        self.state, self.held = CLOSED, np.empty(0, np.int64)
+
+    @staticmethod
+    def closes(token: bytes) -> bool:
+        at = CLOSED
+        for byte in token:
+            at = at if at == BROKEN else utf8_step(at, byte)
+        return at == CLOSED
 
     def move(self, state: int, token: int) -> int:
         at = state
@@ -239,20 +257,32 @@ class Decoder:
         self.moves[state][token] = at
         return at
 
+    def take(self, ids: Iterable[int]) -> bytes:
+        """The bytes of the characters that are complete after these ids."""
+        ids = np.asarray(ids if isinstance(ids, np.ndarray) else list(ids), np.int64)
+        state, last, opened = self.state, -1, 0
+        for k in np.flatnonzero(~self.whole[ids]).tolist():
+            if state == CLOSED:
+                opened = k
+            elif k != last + 1:
+                break
+            token = int(ids[k])
+            after = self.moves[state].get(token)
+            state, last = self.move(state, token) if after is None else after, k
+        if state != CLOSED and last != len(ids) - 1:
+            raise ValueError("a character is cut short")
+        every = np.concatenate([self.held, ids])
+        done = len(every) if state == CLOSED else len(self.held) + opened if self.state == CLOSED or opened else 0
+        self.state, self.held = state, every[done:]
+        found = self.table.take(pa.array(every[:done]))
+        return found.buffers()[2].to_pybytes() if done else b""
+
     def feed(self, ids: Iterable[int]) -> str:
         """The text that is complete after these ids."""
-        held, state, whole, moves = self.held, self.state, len(self.held), self.moves
-        for token in ids:
-            after = moves[state].get(token)
-            state = self.move(state, token) if after is None else after
-            held.append(token)
-            if state == CLOSED:
-                whole = len(held)
-        self.state, self.held = state, held[whole:]
-        return b"".join(map(self.bytes_of.__getitem__, held[:whole])).decode()
+        return self.take(ids).decode()
 
     def end(self) -> None:
-        if self.held:
+        if len(self.held):
             raise ValueError("the ids end within a character")
 
 
@@ -261,24 +291,24 @@ class Codec:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.transducer, self.split = Transducer(ranks), regex.compile(pattern).findall
-        self.known: dict[str, tuple[tuple[int, ...], str]] = {}
+        self.cut_at_spaces = pattern == SPACE_LED
+        self.young: dict[str, tuple[bytes, bytes]] = {}
+        self.old: dict[str, tuple[bytes, bytes]] = {}
         self.decoder = Decoder(self.transducer.bytes_of)
 
-    def piece(self, piece: str) -> tuple[tuple[int, ...], str]:
-        ids = tuple(self.transducer.encode(piece.encode()))
-        made = (ids, " ".join(map(str, ids)))
+    def piece(self, piece: str) -> tuple[bytes, bytes]:
+        """The ids as unsigned 32-bit numbers, and as text with a space before each; long pieces aren't remembered."""
+        made = self.young.get(piece) or self.old.get(piece)
+        if made is None:
+            ids = self.transducer.encode(piece.encode())
+            made = pack(f"<{len(ids)}I", *ids), (" %d" * len(ids) % tuple(ids)).encode()
         if len(piece) <= LONG_PIECE:
-            if len(self.known) >= MAX_PIECES:
-                self.known.clear()
-            self.known[piece] = made
+            self.young[piece] = made
         return made
 
-    def pieces(self, text: str) -> list[tuple[tuple[int, ...], str]]:
-        get, piece = self.known.get, self.piece
-        return [get(p) or piece(p) for p in self.split(text)]
-
     def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable(ids for ids, _ in self.pieces(text)))
+        self.age()
+        return [i for p in self.split(text) for i, in iter_unpack("<I", self.piece(p)[0])]
 
     def decode(self, ids: Iterable[int], chunk: int = 1 << 16) -> Iterator[str]:
         """The text in parts, from ids taken in chunks."""
@@ -287,14 +317,82 @@ class Codec:
             yield self.decoder.feed(ids[start : start + chunk])
         self.decoder.end()
 
-    def digests(self, text: str) -> tuple[int, str, str]:
+    def age(self) -> None:
+        """What is remembered is that of two generations."""
+        if len(self.young) > MAX_PIECES:
+            self.young, self.old = {}, self.young
+
+    def chunk(self, chunk: str) -> tuple[bytes, bytes]:
+        """The same of a text of any number of pieces."""
+        pieces = self.split(chunk)
+        if len(pieces) == 1:
+            return self.piece(chunk)
+        made = [self.piece(p) for p in pieces]
+        made = b"".join([i for i, _ in made]), b"".join([t for _, t in made])
+        if len(chunk) <= LONG_PIECE:
+            self.young[chunk] = made
+        return made
+
+    def of_chunks(self, chunks: list[str]) -> list[tuple[bytes, bytes]]:
+        self.age()
+        young, old = self.young, self.old
+        found = list(map(young.get, chunks))
+        for k in [k for k, x in enumerate(found) if x is None]:
+            c = chunks[k]
+            if c in old:
+                found[k] = young[c] = old[c]
+            else:
+                found[k] = self.chunk(c)
+        return found
+
+    def digest(self, ids: bytes, text: bytes) -> tuple[int, str, str]:
         """Number of ids, and the hashes of the ids and of what they decode to."""
-        made = self.pieces(text)
-        ids = list(chain.from_iterable([i for i, _ in made]))
+        numbers = np.frombuffer(ids, "<u4")
         back = sha256()
-        for part in self.decode(ids):
-            back.update(part.encode())
-        return len(ids), sha256(" ".join([s for _, s in made]).encode()).hexdigest(), back.hexdigest()
+        for start in range(0, len(numbers), 1 << 16):
+            back.update(self.decoder.take(numbers[start : start + (1 << 16)]))
+        self.decoder.end()
+        return len(numbers), sha256(text[1:]).hexdigest(), back.hexdigest()
+
+    def digests(self, texts: pa.Array) -> list[tuple[int, str, str]]:
+        """Of each text. Texts are cut before single spaces into chunks, each different chunk is looked up once.
+
+        A piece of the pattern never goes on beyond a space between two characters that aren't white space, and
+        begins there, so the chunks are matched by themselves. Texts with other white space beside a space, and
+        those of other patterns, are matched whole.
+        """
+        lists = pc.split_pattern(texts, " ")
+        coded = lists.flatten().dictionary_encode()
+        unlike = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        offsets = np.asarray(lists.offsets) - lists.offsets[0].as_py()
+        first, last = offsets[:-1], offsets[1:] - 1
+        codes = coded.indices.to_numpy().astype(np.int64)
+        begins = np.array([x[:1].isspace() for x in unlike])[codes]
+        ends = np.array([not x or x[-1].isspace() for x in unlike])[codes]
+        begins[first] = False
+        ends[last] = False
+        ends[first] &= np.array([bool(x) for x in unlike])[codes[first]]
+        uneven = np.add.reduceat(begins | ends, first) > 0 if self.cut_at_spaces else np.ones(len(texts), bool)
+        starts, codes[first] = np.unique(codes[first], return_inverse=True)
+        led = np.ones(len(codes), bool)
+        led[first] = False
+        codes[led] += len(starts)
+        if uneven.all():
+            made = [(b"", b"")] * (len(starts) + len(unlike))
+        else:
+            made = self.of_chunks([unlike[k] for k in starts] + [" " + x for x in unlike])
+        columns = []
+        for side in (0, 1):
+            whole = pa.array([m[side] for m in made], pa.large_binary()).take(pa.array(codes))
+            columns.append((np.frombuffer(whole.buffers()[1], "<i8", len(whole) + 1)[offsets].tolist(), whole.buffers()[2] or b""))
+        (id_ends, ids), (text_ends, text) = columns
+        out = []
+        for k, odd in enumerate(uneven.tolist()):
+            if odd:
+                out.append(self.digest(*self.chunk(texts[k].as_py())))
+            else:
+                out.append(self.digest(bytes(ids[id_ends[k] : id_ends[k + 1]]), bytes(text[text_ends[k] : text_ends[k + 1]])))
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -303,8 +401,11 @@ def codec(path: str, pattern: str) -> Codec:
     return Codec(read_ranks(path), pattern)
 
 
-def _digests(path: str, pattern: str):
-    return codec(path, pattern).digests
+def _digests(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Iterator[pa.RecordBatch]:
+    for run in sized_runs(batches, 1):
+        found = codec(path, pattern).digests(pc.fill_null(run.column(1), ""))
+        columns = [pa.array(x, kind) for x, kind in zip(zip(*found, strict=True), (pa.int64(), pa.string(), pa.string()), strict=True)]
+        yield pa.RecordBatch.from_arrays([run.column(0), *columns], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -313,5 +414,6 @@ def round_trip(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id",
     A null text counts as empty: no ids. Repeated rows give repeated results, an empty table an empty one;
     other columns aren't read. Special tokens are not known: their text is ordinary text.
     """
-    columns = {"n_tokens": "int64", "ids_sha256": "string", "decoded_sha256": "string"}
-    return per_text(plain(docs, doc_id=doc_id, text=text), partial(_digests, path, pattern), columns).withColumnRenamed("doc_id", doc_id)
+    d = plain(docs, doc_id=doc_id, text=text)
+    schema = f"doc_id {d.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    return d.mapInArrow(partial(_digests, path=path, pattern=pattern), schema).withColumnRenamed("doc_id", doc_id)

@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from odd import odd_documents
 
-from tidewright.llm import byte_bpe, fill_in_middle, phrases, token_files
+from tidewright.llm import byte_bpe, fill_in_middle, line_rules, phrases, token_files
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
 
@@ -300,3 +300,42 @@ def test_decoder_takes_any_cuts(library):
         assert got == text
     with pytest.raises(ValueError):
         decoder.feed([library[0][b"\xe2"], library[0][b"a"]])
+
+
+# ------------------------------------------------------------------ line rules on groups of near copies and numbers
+def prose(rnd, n):
+    return " ".join("".join(rnd.choice("abcdeghilmnorstu") for _ in range(rnd.randint(2, 9))) for _ in range(n))
+
+
+def test_one_of_many_near_copies_stays(spark):
+    """200 near copies (nine of ten lines shared) beside 300 other documents of their host."""
+    rnd = random.Random(4)
+    shared = [prose(rnd, 9) for _ in range(10)]
+    near = []
+    for k in range(200):
+        lines = list(shared)
+        lines[k % 10] = prose(rnd, 9)
+        near.append((k, "\n".join(lines), "h", 0))
+    others = [(1000 + k, "\n".join(prose(rnd, 9) for _ in range(10)), "h", 0) for k in range(300)]
+    docs = spark.createDataFrame(near + others, "doc_id long, text string, source string, n_chars long")
+    judged = {r["doc_id"]: r for r in line_rules.judge(docs).collect()}
+    kept = [k for k in range(200) if judged[k]["kept"]]
+    assert len(kept) == 1 and all(judged[1000 + k]["kept"] for k in range(300)) and not any(judged[k]["base_failed"] for k in range(200))
+    cleaned = {r["doc_id"]: r["text"] for r in line_rules.clean(docs).collect()}
+    assert set(cleaned) == {*kept, *range(1000, 1300)}
+    left = "\n".join(cleaned[k] for k in kept).split("\n")
+    assert all(left.count(line) <= 1 for line in shared) and cleaned[1007] == others[7][1]
+
+
+def test_share_is_an_option(spark):
+    rows = [(k, f"Read more on page {k}\nown {prose(random.Random(k), 60)}", "h", 0) for k in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
+    removed = lambda **kw: line_rules.judge(docs, limits=line_rules.Limits(**kw)).where("removed_words > 0").count()
+    assert removed() == 100 and removed(max_documents=100) == 0 and removed(share_percent=99) == 100 and removed(share_percent=100) == 0
+
+
+def test_rows_of_numbers_stay_different(spark):
+    rnd = random.Random(5)
+    rows = [(k, "\n".join(" ".join(f"x{rnd.randint(1000, 9999)}" for _ in range(10)) for _ in range(8)), "h", 0) for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
+    assert line_rules.clean(docs).count() == 300

@@ -1,9 +1,11 @@
 """Quality rules: counts within a text, and how often its lines occur across the documents of a host.
 
-Lines are normalised (lower case, runs of digits as 0, runs of white space as one space) and hashed.
-For every host the distinct documents with a line are counted; copies of one text count once. A line
-above the limits is removed, and a document that loses too many words is rejected. All of it is
-DataFrame functions. Documents are first reduced to hashes of lines, one array per distinct text of a
+Lines are normalised (lower case, runs of white space as one space, and runs of digits as 0 where letters
+outnumber digits, so rows of numbers stay different) and hashed. For every host the distinct documents with
+a line are counted; copies of one text count once. A line above the limit is removed, and a document that
+would lose too many words is rejected. But every frequent line has one holder, the text with the smallest
+digest, and a document that would be depleted loses only the lines that others hold: of a group of near
+copies one stays. All of it is DataFrame functions. Documents are first reduced to hashes of lines, one array per distinct text of a
 host, with partial aggregation; the count of a line combines map-side too. What is joined back are
 hashes, never texts, and Spark splits a join key that is very common.
 """
@@ -20,19 +22,27 @@ from .text import SPACES, plain, text_of, windows, words
 
 @dataclass(frozen=True)
 class Limits:
-    """``min_documents`` and ``share``: a line is removed if it is in more distinct documents of its
-    host than both say. ``min_words`` and ``repeat_percent``: the base rule. ``depleted_percent``: a
+    """``max_documents``: a line that is in more distinct documents of its host is removed.
+    ``share_percent``: if given, only lines in more than this share of the host's documents are. ``min_words`` and ``repeat_percent``: the base rule. ``depleted_percent``: a
     document is rejected if more than this share of its words is in removed lines."""
 
-    min_documents: int = 10
-    share_percent: int = 10
+    max_documents: int = 10
+    share_percent: int | None = None
     min_words: int = 50
     repeat_percent: int = 50
     depleted_percent: int = 50
 
 
 def normal_line(line: Column) -> Column:
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(line), "[0-9]+", "0"), SPACES, " "))
+    digits = F.char_length(F.regexp_replace(line, "[^0-9]", ""))
+    worded = F.char_length(F.regexp_replace(line, "[^\\p{L}]", "")) > digits
+    folded = F.when(line.rlike("[0-9]") & worded, F.regexp_replace(F.lower(line), "[0-9]+", "0")).otherwise(F.lower(line))
+    return F.trim(F.regexp_replace(folded, SPACES, " "))
+
+
+def holder(digest: str | Column) -> Column:
+    """The number by which one text of a host is chosen to keep a frequent line."""
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
 
 
 def has_word(line: Column) -> Column:
@@ -71,29 +81,45 @@ def text_lines(docs: DataFrame, host: str, text: str) -> DataFrame:
 
 
 def frequent_lines(lines: DataFrame, limits: Limits) -> DataFrame:
-    """``host, h, n_documents`` of the lines above the limits."""
-    each = lines.select("host", F.explode(F.array_distinct(F.col("lines.h"))).alias("h"))
-    counted = each.groupBy("host", "h").agg(F.count("*").alias("n_documents")).where(F.col("n_documents") > limits.min_documents)
-    hosts = lines.groupBy("host").agg(F.count("*").alias("n_host"))
-    return counted.join(hosts, "host").where(F.col("n_documents") * 100 > F.col("n_host") * limits.share_percent).drop("n_host")
+    """``host, h, holder`` of the lines above the limits, with the text that keeps the line."""
+    each = lines.select("host", holder("digest").alias("holder"), F.explode(F.array_distinct(F.col("lines.h"))).alias("h"))
+    counted = each.groupBy("host", "h").agg(F.count("*").alias("n_documents"), F.min("holder").alias("holder")).where(F.col("n_documents") > limits.max_documents)
+    if limits.share_percent is not None:
+        hosts = lines.groupBy("host").agg(F.count("*").alias("n_host"))
+        counted = counted.join(hosts, "host").where(F.col("n_documents") * 100 > F.col("n_host") * limits.share_percent)
+    return counted.select("host", "h", "holder")
 
 
 def removals(docs: DataFrame, host: str, text: str, limits: Limits) -> DataFrame:
-    """``host, digest, removed_words, removed``: for each text with frequent lines, their words and hashes."""
+    """For each text with frequent lines ``host, digest`` and the words and hashes of all of them (``all_words, all_lines``)
+    and of those that others hold (``foreign_words, foreign_lines``)."""
     lines = text_lines(docs, host, text)
     each = lines.select("host", "digest", F.explode("lines").alias("line")).select("host", "digest", "line.h", "line.w")
-    hit = each.join(frequent_lines(lines, limits), ["host", "h"], "left_semi")
-    return hit.groupBy("host", "digest").agg(F.sum("w").alias("removed_words"), F.collect_set("h").alias("removed"))
+    hit = each.join(frequent_lines(lines, limits), ["host", "h"])
+    foreign = holder("digest") != F.col("holder")
+    return hit.groupBy("host", "digest").agg(
+        F.sum("w").alias("all_words"), F.collect_set("h").alias("all_lines"),
+        F.sum(F.when(foreign, F.col("w")).otherwise(0)).alias("foreign_words"), F.collect_set(F.when(foreign, F.col("h"))).alias("foreign_lines"),
+    )
 
 
 def with_removals(docs: DataFrame, host: str, text: str, limits: Limits) -> DataFrame:
-    """The documents with ``removed_words, removed`` (null if they lose no line), joined on host and text."""
+    """The documents with the columns of ``removals`` (null without a frequent line), joined on host and text."""
     found = removals(docs, host, text, limits)
     keyed = docs.withColumns({"_host": F.coalesce(F.col(host).cast("string"), F.lit("")), "_digest": F.md5(text_of(text).cast("binary"))})
     found = found.withColumnsRenamed({"host": "_host", "digest": "_digest"})
     return keyed.join(found, ["_host", "_digest"], "left").drop("_host", "_digest")
 
 
+def depleting(limits: Limits) -> Column:
+    """Whether a document would lose too many words with all its frequent lines."""
+    return F.coalesce(F.col("all_words") * 100 > F.col("n_words") * limits.depleted_percent, F.lit(False))
+
+
+def removed_words(limits: Limits) -> Column:
+    return F.coalesce(F.when(depleting(limits), F.col("foreign_words")).otherwise(F.col("all_words")), F.lit(0)).cast("long")
+
+
 def verdict(limits: Limits) -> tuple[Column, Column]:
     """Of rows with the counts and ``removed_words``: whether the base rule fails, and whether the document is kept."""
     n = F.col("n_words")
@@ -113,8 +139,8 @@ def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str
     d = d.withColumn("digest", F.md5(text_of("text").cast("binary"))).withColumn("host_key", F.coalesce(F.col("host").cast("string"), F.lit("")))
     counts = statistics(d, "text", "doc_id", "host_key", "digest")
     found = removals(plain(docs, text=text, host=host), "host", "text", limits)
-    joined = counts.join(found.select(F.col("host").alias("host_key"), "digest", "removed_words"), ["host_key", "digest"], "left")
-    joined = joined.withColumn("removed_words", F.coalesce("removed_words", F.lit(0)))
+    joined = counts.join(found.select(F.col("host").alias("host_key"), "digest", "all_words", "foreign_words"), ["host_key", "digest"], "left")
+    joined = joined.withColumn("removed_words", removed_words(limits))
     failed, kept = verdict(limits)
     return joined.select(
         F.col("doc_id").alias(doc_id), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "removed_words", failed.alias("base_failed"), kept.alias("kept")
@@ -130,7 +156,9 @@ def clean(docs: DataFrame, text: str = "text", host: str = "source", limits: Lim
     columns = docs.columns
     packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"), F.col(f"`{text}`").alias("t"), F.col(f"`{host}`").alias("hst"))
     marked = with_removals(packed, "hst", "t", limits)
-    counted = statistics(marked, "t", "row", "removed", "removed_words").withColumn("removed_words", F.coalesce("removed_words", F.lit(0)))
+    counted = statistics(marked, "t", "row", "all_words", "all_lines", "foreign_words", "foreign_lines").withColumns(
+        {"removed_words": removed_words(limits), "removed": F.when(depleting(limits), F.col("foreign_lines")).otherwise(F.col("all_lines"))}
+    )
     # The partition number keeps the optimizer from copying the counts into a filter on the scan, once for each use.
     stay = counted.withColumn("stay", verdict(limits)[1] & (F.spark_partition_id() >= 0)).where("stay")
     left = F.filter(F.split(F.col("row")[text], "\n"), lambda x: ~(has_word(x) & F.array_contains("removed", F.xxhash64(normal_line(x)))))

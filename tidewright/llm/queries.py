@@ -126,15 +126,16 @@ w AS (SELECT doc_id, t, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+')
 grams AS (SELECT doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
 again AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS c FROM grams) WHERE c > 1),
 covered AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM again) GROUP BY 1),
-line AS (SELECT host, t, trim(regexp_replace(regexp_replace(lower(l), '[0-9]+', '0', 'g'), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS x,
+line AS (SELECT host, t, trim(regexp_replace(CASE WHEN length(regexp_replace(l, '[^\p{L}]', '', 'g')) > length(regexp_replace(l, '[^0-9]', '', 'g'))
+      THEN regexp_replace(lower(l), '[0-9]+', '0', 'g') ELSE lower(l) END, '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS x,
     len(list_filter(regexp_split_to_array(l, '[\x20\x09-\x0D]+'), lambda y: y <> '')) AS nw
   FROM (SELECT host, t, unnest(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))) AS l FROM (SELECT DISTINCT host, t FROM d))),
-often AS (SELECT host, x FROM line JOIN (SELECT host, count(DISTINCT t) AS n_host FROM d GROUP BY 1) USING (host)
-  GROUP BY host, x, n_host HAVING count(DISTINCT t) > 10 AND count(DISTINCT t) * 100 > n_host * 10),
-gone AS (SELECT host, t, CAST(sum(nw) AS BIGINT) AS n FROM line SEMI JOIN often USING (host, x) GROUP BY 1, 2),
+often AS (SELECT host, x, min(CAST('0x' || md5(t)[1:15] AS BIGINT)) AS holder FROM line GROUP BY host, x HAVING count(DISTINCT t) > 10),
+gone AS (SELECT line.host, t, CAST(sum(nw) AS BIGINT) AS n, CAST(sum(nw) FILTER (CAST('0x' || md5(t)[1:15] AS BIGINT) <> holder) AS BIGINT) AS n_foreign
+  FROM line JOIN often USING (host, x) GROUP BY 1, 2),
 s AS (SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(regexp_replace(w.t, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
     CAST(length(w.t) - length(translate(w.t, '#*$%&|<>', '')) AS BIGINT) AS n_symbols,
-    CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words, coalesce(gone.n, 0) AS removed_words
+    CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words, coalesce(CASE WHEN gone.n * 100 > len(ws) * 50 THEN coalesce(gone.n_foreign, 0) ELSE gone.n END, 0) AS removed_words
   FROM w JOIN d USING (doc_id) LEFT JOIN covered USING (doc_id) LEFT JOIN gone ON gone.host = d.host AND gone.t = d.t)
 SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
   NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND NOT removed_words * 100 > n_words * 50 AS kept

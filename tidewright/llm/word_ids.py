@@ -10,7 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: White-space separated words whose ids a worker remembers in each of two generations, about 0.2 kB each.
-MAX_WORDS = 400_000
+MAX_WORDS = 250_000
 #: A word of one token that stands between words that are encoded together; words with it are encoded alone.
 MARK = "~"
 ENDS = b".,"

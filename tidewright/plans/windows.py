@@ -88,8 +88,9 @@ def triple_match(t: Tables) -> DataFrame:
 
 @query(
     "triple_leg_counts",
-    f"""{TRIPLES}, y AS (SELECT * FROM x WHERE excluded_by IS NULL OR excluded_by NOT IN ('no_first', 'no_second'))
-    SELECT cam, count(*) AS stamps, count(*) FILTER (inside) AS still_inside, count(*) FILTER (inside AND coalesce(excluded_by, '') IN ('', 'low_sun')) AS paired, count(*) FILTER (excluded_by IS NULL) AS daylight FROM y GROUP BY 1""",
+    f"""{TRIPLES}, y AS (SELECT *, excluded_by IS NULL OR excluded_by NOT IN ('no_first', 'no_second') AS two FROM x)
+    SELECT cam, count(*) FILTER (two) AS stamps, count(*) FILTER (two AND inside) AS still_inside, count(*) FILTER (two AND inside AND coalesce(excluded_by, '') IN ('', 'low_sun')) AS paired,
+      count(*) FILTER (excluded_by IS NULL) AS daylight FROM y GROUP BY 1""",
 )
 def triple_leg_counts(t: Tables) -> DataFrame:
     return window_labels.leg_counts(_triples(t), ["cam"])

@@ -92,6 +92,8 @@ KINDS = BASE + FURTHER
 DIGIT = re.compile("[0-9]")
 #: An email is looked for in runs without other characters, so a long run without @ is passed once.
 PATTERNS = {k.name: re.compile(k.pattern) for k in KINDS}
+#: The same matches as the pattern of addresses gives: they begin where a run of digits begins and take whole runs.
+PATTERNS["ip"] = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 WORD = re.compile(r"[^\W\d_]+")
 
 

@@ -1,8 +1,10 @@
 """Collocations, fill-in-the-middle and token files against plain Python versions."""
 
 import hashlib
+import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -12,7 +14,7 @@ import pyarrow as pa
 import pytest
 from odd import odd_documents
 
-from tidewright.llm import byte_bpe, fill_in_middle, line_rules, phrases, token_files
+from tidewright.llm import byte_bpe, fill_in_middle, line_rules, lm_scores, personal, phrases, token_files
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
 
@@ -339,3 +341,64 @@ def test_rows_of_numbers_stay_different(spark):
     rows = [(k, "\n".join(" ".join(f"x{rnd.randint(1000, 9999)}" for _ in range(10)) for _ in range(8)), "h", 0) for k in range(300)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
     assert line_rules.clean(docs).count() == 300
+
+
+def plain_losses(texts, in_target, least):
+    """Losses of the words of each text, from the definition."""
+    words = [(t or "").encode().split() for t in texts]
+    counts = []
+    for target in (False, True):
+        chosen = [w for w, own in zip(words, in_target, strict=True) if own or not target]
+        counts.append((Counter(x for w in chosen for x in w), Counter(p for w in chosen for p in zip([None, *w], w)), sum(bool(w) for w in chosen)))
+    known = {w for w, n in counts[0][0].items() if n >= least}
+    kept = {p for p, n in counts[0][1].items() if n >= least}
+    out = []
+    for w in words:
+        both = []
+        for single, pairs, starts in counts:
+            total = single.total()
+            unknown = total - sum(single[x] for x in known)
+            loss = 0.0
+            for a, b in zip([None, *w], w):
+                alone = ((single[b] if b in known else unknown) + 1) / (total + len(known) + 1)
+                share = pairs[a, b] / max(starts if a is None else single[a], 1) if (a, b) in kept else 0
+                loss -= math.log(lm_scores.MIX * share + (1 - lm_scores.MIX) * alone)
+            both.append(loss / len(w) if w else None)
+        out.append((len(w), both[1], both[0]))
+    return out
+
+
+@pytest.mark.parametrize(("least", "block_bytes"), [(2, 300), (3, 4000), (2, 1 << 22)])
+def test_losses_follow_the_definition_in_any_blocks(spark, least, block_bytes):
+    """Nulls, empty and repeated texts, rows without an id and repeated ids, in many blocks that are counted in small parts."""
+    rnd = random.Random(6)
+    some = prose(rnd, 90).split()
+    text = lambda n: " ".join(rnd.choice(some) if rnd.random() < 0.9 else prose(rnd, 1) for _ in range(n))
+    texts = [text(40) for _ in range(120)]
+    texts += [texts[0]] * 30 + [None, "", " \n", "once", text(3000)]
+    ids = [None if k % 9 == 0 else k % 110 for k in range(len(texts))]
+    docs = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id int, text string").repartition(7)
+    target = spark.createDataFrame([(k,) for k in range(0, 200, 3)] + [(None,), (3,)], "doc_id long")
+    in_target = [k is not None and k % 3 == 0 for k in ids]
+    want = plain_losses(texts, in_target, least)
+    got = lm_scores.score(docs, target, least=least, block_bytes=block_bytes, max_tokens=150).collect()
+    key = lambda r: tuple("" if x is None else f"{x:.8f}" for x in r)
+    assert sorted(key(r[:4]) for r in got) == sorted(key((k, *w)) for k, w in zip(ids, want, strict=True))
+
+
+def test_long_runs_of_digits_and_dots_take_linear_time():
+    started = time.monotonic()
+    million = "7" * 1_000_000
+    assert [x[:3] for x in personal.spans(f"{million}. 10.0.0.1") if x[2] == "ip"] == [(1_000_002, 1_000_010, "ip")]
+    assert sum(x[2] == "ip" for x in personal.spans("1." * 400_000)) == 100_000
+    assert not [x for x in personal.spans(f"{million}.{million}.1.2") if x[2] == "ip"]
+    assert time.monotonic() - started < 20
+
+
+def test_addresses_equal_plain_search():
+    rnd = random.Random(7)
+    plain = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+    for _ in range(3000):
+        text = "".join(rnd.choice("0125.. a") for _ in range(rnd.randint(1, 40)))
+        want = [m.span() for m in plain.finditer(text) if all(int(p) <= 255 for p in m[0].split("."))]
+        assert [x[:2] for x in personal.spans(text) if x[2] == "ip"] == want

@@ -1,174 +1,225 @@
 """Cross-entropy difference: a target and a background bigram model over one vocabulary score every document.
 
-Both models have the same form. The vocabulary is all words that make up at least ``WORD_SHARE`` of the
-words of the corpus; the rest are one unknown word. Pairs of known words (and the start of a document before
-its first word) that make up at least ``PAIR_SHARE`` of all words are kept. By their definition there are at
-most 1 / WORD_SHARE words and 1 / PAIR_SHARE pairs in a model, at any size of the corpus, so the models can
-go to every task; the counts behind them are taken over all documents and shuffled. A probability mixes the
-share of the pair among those that follow its first word with the smoothed share of the word.
+Both models have the same form. The vocabulary is all words seen at least ``LEAST`` times in the corpus; the
+rest are one unknown word. Pairs of words (and the start of a document before its first word) seen at least
+``LEAST`` times are kept; their words are then known, too. The rule is the same at every size, so the models
+grow with the corpus: they are tables, and no task and no driver holds one. A probability mixes the share of
+the pair among those that follow its first word with the smoothed share of the word.
+
+Documents are dealt to blocks of about ``BLOCK_BYTES`` of text by a hash of their id. A block counts its
+words and pairs (so a frequent pair is one row per block, not per occurrence), the counts of all blocks are
+added up, and those of the words and pairs that a block holds go back to it. A task reads the counts of one
+block, then its documents one after the other. Words and pairs are known by 64-bit hashes.
 
 The score is the loss per word of the target model minus that of the background model: low for text that is
-like the target.
+like the target. Documents are rated with models that counted them, target documents, too; leave a document
+out of ``target`` to rate it as an outsider.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import uuid
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .batches import runs
+from ..session import ensure_checkpoint_dir
+from .batches import sized_runs
+from .jaccard_join import mixed
 from .text import plain
 
-WORD_SHARE = 1e-5
-PAIR_SHARE = 2e-6
+LEAST = 2
 #: The part of the pair's share in a probability.
 MIX = 0.7
-#: Rows of (id, flag) that are broadcast at most, about 32 MB; a longer list of target documents is joined by a shuffle.
-BROADCAST_ROWS = 2_000_000
-#: Distinct words, and words, a task counts before it hands the counts on.
-MAX_WORDS, MAX_TOKENS = 300_000, 4_000_000
-#: Numbers of the unknown word and of the start of a document.
-UNKNOWN, START = 0, 1
+BLOCK_BYTES = 4 << 20
+#: Words a task holds before it hands their counts on, as those of a block with a very long text or many repeated rows.
+MAX_TOKENS = 2_000_000
+#: Keys of words are odd, those of pairs even; these two are the start of a document and the sum over all words.
+START, TOTAL = 1, 3
+FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
-def marked(docs: DataFrame, target: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """``target, text``: whether a document's id is in the column ``doc_id`` of ``target``."""
-    d = plain(docs, doc_id=doc_id, text=text)
-    ids = target.select("doc_id").where("doc_id is not null").distinct().withColumn("target", F.lit(True))
-    small = ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    joined = d.join(F.broadcast(ids) if small else ids, "doc_id", "left")
-    return joined.select(F.coalesce("target", F.lit(False)).alias("target"), "text")
+def word_keys(text: str | None) -> np.ndarray:
+    found = (text or "").encode().split()
+    return np.fromiter(map(xxhash.xxh64_intdigest, found), np.uint64, len(found)) | np.uint64(1)
 
 
-def _words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    every: Counter[bytes] = Counter()
-    target: Counter[bytes] = Counter()
+def pair_keys(before: np.ndarray, words: np.ndarray) -> np.ndarray:
+    return mixed(before * FACTOR + words) & ~np.uint64(1)
 
-    def out() -> pa.RecordBatch:
-        arrays = [pa.array([w.decode() for w in every], pa.string()), pa.array(every.values(), pa.int64()), pa.array([target[w] for w in every], pa.int64())]
-        return pa.RecordBatch.from_arrays(arrays, names=["word", "n", "n_target"])
 
-    for part in runs(batches):
-        for is_target, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-            words = (text or "").encode().split()
-            every.update(words)
-            if is_target:
-                target.update(words)
-        if len(every) > MAX_WORDS:
-            yield out()
-            every.clear()
-            target.clear()
-    yield out()
+def befores(words: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The key before each word; ``starts`` are the places of the first words of texts."""
+    out = np.empty_like(words)
+    out[1:] = words[:-1]
+    out[starts] = START
+    return out
 
 
-class Numbers:
-    """Numbers of the words of a text."""
+def block_of(doc_id: Column, text: Column, blocks: int) -> Column:
+    """Rows without an id can't be target documents and are dealt by their text."""
+    return F.pmod(F.coalesce(F.xxhash64(doc_id.cast("string")), F.lit(0)) + F.when(doc_id.isNull(), F.xxhash64(text)).otherwise(F.lit(0)), F.lit(blocks))
 
-    def __init__(self, words: list[str]):
-        self.of = {w.encode(): k for k, w in enumerate(words, 2)}
 
-    def __call__(self, text: str | None) -> np.ndarray:
-        of = self.of
-        return np.array([START, *(of.get(w, UNKNOWN) for w in (text or "").encode().split())], np.int64)
+def segments(part: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """Runs of rows with one number in the first column."""
+    place = part.column(0).to_numpy()
+    cuts = [0, *(np.flatnonzero(np.diff(place)) + 1).tolist(), len(place)]
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        if b > a:
+            yield int(place[a]), part.slice(a, b - a)
 
 
-def _pairs(batches: Iterable[pa.RecordBatch], words: list[str]) -> Iterator[pa.RecordBatch]:
-    numbers = Numbers(words)
-    held: list[np.ndarray] = []
-    tokens = 0
+def _counts(batches: Iterable[pa.RecordBatch], max_tokens: int) -> Iterator[pa.RecordBatch]:
+    """Rows ``place, id, text``, ids of target documents (even places) before the documents of a block (odd)."""
+    block, targets, tokens = -1, set(), 0
+    held: tuple[list, list] = ([], [])
 
     def out() -> pa.RecordBatch:
-        # The last bit tells pairs of the target apart.
-        keys, n = np.unique(np.concatenate(held) if held else np.empty(0, np.int64), return_counts=True)
-        pair, first = np.unique(keys >> 1, return_index=True)
-        every = np.add.reduceat(n, first) if len(n) else n
-        target = np.add.reduceat(n * (keys & 1), first) if len(n) else n
-        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (pair, every, target)], names=["pair", "n", "n_target"])
-
-    for part in runs(batches):
-        for is_target, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-            ids = numbers(text)
-            pair = ids[:-1] << 32 | ids[1:]
-            held.append((pair[(ids[:-1] > 0) & (ids[1:] > 0)] << 1) | int(is_target))
-            tokens += len(ids)
-        if tokens > MAX_TOKENS:
-            yield out()
-            held, tokens = [], 0
-    yield out()
-
-
-class Models:
-    """Counts of words and pairs in the background (column 0) and the target (column 1)."""
-
-    def __init__(self, words: list[str], counts: np.ndarray, totals: np.ndarray, starts: np.ndarray, pairs: np.ndarray, pair_counts: np.ndarray):
-        order = np.argsort(pairs)
-        self.words, self.pairs = words, pairs[order]
-        known = np.vstack([totals - counts.sum(axis=0), np.zeros(2), counts])  # unknown, start, words
-        size = len(words) + 1
-        alone = (known + 1) / (totals + size)
-        before = known.copy()
-        before[START] = starts
-        pair_counts = pair_counts[order]
-        share = pair_counts / np.maximum(before[self.pairs >> 32], 1)
-        rest = (1 - MIX) * alone
-        self.loss_alone = -np.log(rest)
-        self.loss_pair = -np.log(MIX * share + rest[self.pairs & 0xFFFFFFFF])
-
-    def losses(self, ids: np.ndarray) -> np.ndarray:
-        """Summed loss of the words after the start, background and target."""
-        loss = self.loss_alone[ids[1:]]
-        if len(self.pairs):
-            keys = ids[:-1] << 32 | ids[1:]
-            at = np.minimum(np.searchsorted(self.pairs, keys), len(self.pairs) - 1)
-            hit = self.pairs[at] == keys
-            loss[hit] = self.loss_pair[at[hit]]
-        return loss.sum(axis=0)
-
-
-def fit(rows: DataFrame) -> Models:
-    """The two models of rows ``target, text``; what is collected is bounded by the shares."""
-    counted = rows.mapInArrow(_words, "word string, n long, n_target long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target"))
-    counted = counted.persist()
-    total = counted.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("n_target"), F.lit(0))).first()
-    table = counted.where(F.col("n") >= max(2, WORD_SHARE * total[0])).orderBy("word").toArrow()
-    counted.unpersist()
-    words = table.column("word").to_pylist()
-    paired = rows.mapInArrow(partial(_pairs, words=words), "pair long, n long, n_target long")
-    paired = paired.groupBy("pair").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target")).where(F.col("n") >= max(2, PAIR_SHARE * total[0])).toArrow()
-    starts = rows.where(F.col("text").rlike("[^\\x20\\x09-\\x0D]")).agg(F.count("*"), F.count_if("target")).first()
-    both = lambda t: np.stack([t.column(c).to_numpy() for c in ("n", "n_target")], axis=1).astype(float).reshape(-1, 2)
-    return Models(words, both(table), np.array(total, float), np.array(starts, float), paired.column("pair").to_numpy(), both(paired))
-
-
-def _score(batches: Iterable[pa.RecordBatch], models: Models) -> Iterator[pa.RecordBatch]:
-    numbers = Numbers(models.words)
-    for part in runs(batches):
-        n, background, target = [], [], []
-        for text in part.column(1).to_pylist():
-            ids = numbers(text)
-            n.append(len(ids) - 1)
-            loss = models.losses(ids) / n[-1] if n[-1] else (None, None)
-            background.append(loss[0])
-            target.append(loss[1])
-        made = [pa.array(n, pa.int64()), pa.array(target, pa.float64()), pa.array(background, pa.float64())]
-        yield pa.RecordBatch.from_arrays([part.column(0), *made], names=["doc_id", "n_words", "target_loss", "background_loss"])
-
-
-def score(docs: DataFrame, target: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+        keys, n = np.unique(np.concatenate(held[0]), return_counts=True)
+        n_target = np.zeros_like(n)
+        if held[1]:
+            own, count = np.unique(np.concatenate(held[1]), return_counts=True)
+            n_target[np.searchsorted(keys, own)] = count
+        keys = np.append(keys, np.uint64(TOTAL))
+        words = [sum(int(np.count_nonzero(x & np.uint64(1))) - int(np.count_nonzero(x == START)) for x in h) for h in held]
+        columns = [np.full(len(keys), block), keys.view(np.int64), np.append(n, words[0]), np.append(n_target, words[1])]
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["block", "key", "n", "n_target"])
+
+    for part in sized_runs(batches, 2):
+        for place, rows in segments(part):
+            if place >> 1 != block:
+                if held[0]:
+                    yield out()
+                block, targets, tokens, held = place >> 1, set(), 0, ([], [])
+            if place % 2 == 0:
+                targets.update(rows.column(1).to_pylist())
+                continue
+            for doc_id, text in zip(rows.column(1).to_pylist(), rows.column(2).to_pylist(), strict=True):
+                words = word_keys(text)
+                if not len(words):
+                    continue
+                found = np.concatenate([words, pair_keys(befores(words, np.zeros(1, np.int64)), words), np.array([START], np.uint64)])
+                held[0].append(found)
+                if doc_id in targets:
+                    held[1].append(found)
+                tokens += len(words)
+                if tokens > max_tokens:
+                    yield out()
+                    tokens, held = 0, ([], [])
+    if held[0]:
+        yield out()
+
+
+def counts(docs: DataFrame, target: DataFrame, blocks: int, least: int, max_tokens: int) -> DataFrame:
+    """``block, key, n, n_target, first``: the corpus counts of the keys of each block; ``first`` in one row of a key."""
+    ids = target.select(F.col("doc_id").cast("string").alias("id")).where("id is not null").distinct()
+    ids = ids.select((2 * block_of(F.col("id"), F.lit(""), blocks)).alias("place"), "id", F.lit(None).cast("string").alias("text"))
+    rows = docs.select((2 * block_of(F.col("doc_id"), F.col("text"), blocks) + 1).alias("place"), F.col("doc_id").cast("string").alias("id"), "text")
+    rows = ids.unionByName(rows).repartition(F.floor(F.col("place") / 2)).sortWithinPartitions("place")
+    counted = rows.mapInArrow(partial(_counts, max_tokens=max_tokens), "block long, key long, n long, n_target long")
+    by_key = Window.partitionBy("key")
+    everywhere = counted.select(
+        "block", "key", F.sum("n").over(by_key).alias("n"), F.sum("n_target").over(by_key).alias("n_target"),
+        (F.row_number().over(by_key.orderBy("block")) == 1).alias("first"),
+    )
+    return everywhere.where((F.col("n") >= least) | F.col("key").isin(START, TOTAL))
+
+
+@dataclass(frozen=True)
+class Totals:
+    """Sums over the corpus, background and target: all words, words outside the vocabulary; and the size of the vocabulary."""
+
+    words: tuple[int, int]
+    unknown: tuple[int, int]
+    size: int
+
+
+def totals(counted: DataFrame) -> Totals:
+    word = (F.col("key").bitwiseAND(F.lit(1)) == 1) & ~F.col("key").isin(START, TOTAL)
+    sums = [F.coalesce(F.sum(F.when(c, F.col(n))), F.lit(0)) for c in (F.col("key") == TOTAL, word) for n in ("n", "n_target")]
+    nb, nt, kb, kt, size = counted.where("first").agg(*sums, F.count_if(word)).first()
+    return Totals((nb, nt), (nb - kb, nt - kt), size + 1)
+
+
+class Lookup:
+    """The counts of the keys of one block, background (column 0) and target (column 1)."""
+
+    def __init__(self, keys: list[np.ndarray], counts: list[np.ndarray]):
+        every = np.concatenate([*keys, np.empty(0, np.uint64)])
+        order = np.argsort(every)
+        self.keys = every[order]
+        self.counts = np.concatenate([*counts, np.empty((0, 2), np.int64)])[order]
+
+    def __call__(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each key has counts, and the counts (zeros if not)."""
+        if not len(self.keys):
+            return np.zeros(len(keys), bool), np.zeros((len(keys), 2))
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        hit = self.keys[at] == keys
+        return hit, self.counts[at] * hit[:, None]
+
+
+def losses(words: np.ndarray, starts: np.ndarray, of: Lookup, sums: Totals) -> np.ndarray:
+    """The loss of each word in the background and the target model."""
+    known, alone = of(words)
+    alone = np.where(known[:, None], alone, sums.unknown)
+    alone = (alone + 1) / (np.array(sums.words) + sums.size)
+    before = befores(words, starts)
+    share = of(pair_keys(before, words))[1] / np.maximum(of(before)[1], 1)
+    return -np.log(MIX * share + (1 - MIX) * alone)
+
+
+def _score(batches: Iterable[pa.RecordBatch], sums: Totals) -> Iterator[pa.RecordBatch]:
+    """Rows ``place, doc_id, text, key, n, n_target``, the counts of a block (even places) before its documents (odd)."""
+    block, keys, values, of = -1, [], [], None
+    for part in sized_runs(batches, 2, 1 << 20):
+        for place, rows in segments(part):
+            if place >> 1 != block:
+                block, keys, values, of = place >> 1, [], [], None
+            if place % 2 == 0:
+                keys.append(rows.column(3).to_numpy().view(np.uint64))
+                values.append(np.stack([rows.column(c).to_numpy() for c in (4, 5)], axis=1))
+                continue
+            if of is None:
+                of = Lookup(keys, values)
+                keys, values = [], []
+            texts = [word_keys(t) for t in rows.column(2).to_pylist()]
+            n = np.array([len(t) for t in texts])
+            full = np.flatnonzero(n)
+            starts = (np.cumsum(n) - n)[full]
+            mean = np.full((len(n), 2), np.nan)
+            if len(full):
+                mean[full] = np.add.reduceat(losses(np.concatenate(texts), starts, of, sums), starts) / n[full, None]
+            made = [pa.array(n, pa.int64()), *(pa.array(mean[:, c], pa.float64(), mask=n == 0) for c in (1, 0))]
+            yield pa.RecordBatch.from_arrays([rows.column(1), *made], names=["doc_id", "n_words", "target_loss", "background_loss"])
+
+
+def score(docs: DataFrame, target: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = LEAST, block_bytes: int = BLOCK_BYTES, max_tokens: int = MAX_TOKENS) -> DataFrame:
     """``doc_id, n_words, target_loss, background_loss, difference`` of every document.
 
-    A text that is null or without words has null losses. Without target documents the target model knows
-    no words, all alike. Repeated rows count as often as they occur; an empty table gives an empty result;
-    other columns aren't read.
+    Target documents are those whose id is in the column ``doc_id`` of ``target``; null ids never are. A text
+    that is null or without words has null losses. Without target documents the target model knows no words,
+    all alike. Repeated rows count as often as they occur, and ties have equal scores; an empty table gives an
+    empty result; other columns aren't read. The counts are a table below ``spark.checkpoint.dir``.
     """
-    models = fit(marked(docs, target, doc_id, text))
     d = plain(docs, doc_id=doc_id, text=text)
+    size = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = -(-size // block_bytes) or 1
+    folder = f"{ensure_checkpoint_dir(d.sparkSession).rstrip('/')}/word-counts-{uuid.uuid4().hex}"
+    counts(d, target, blocks, least, max_tokens).write.parquet(folder)
+    counted = d.sparkSession.read.parquet(folder)
     kind = d.schema["doc_id"].dataType.simpleString()
-    rows = d.mapInArrow(partial(_score, models=models), f"doc_id {kind}, n_words long, target_loss double, background_loss double")
+    tables = counted.where(F.col("key") != TOTAL).select((2 * F.col("block")).alias("place"), F.lit(None).cast(kind).alias("doc_id"), F.lit(None).cast("string").alias("text"), "key", "n", "n_target")
+    none = [F.lit(None).cast("long").alias(c) for c in ("key", "n", "n_target")]
+    texts = d.select((2 * block_of(F.col("doc_id"), F.col("text"), blocks) + 1).alias("place"), "doc_id", "text", *none)
+    rows = tables.unionByName(texts).repartition(F.floor(F.col("place") / 2)).sortWithinPartitions("place")
+    rows = rows.mapInArrow(partial(_score, sums=totals(counted)), f"doc_id {kind}, n_words long, target_loss double, background_loss double")
     return rows.withColumn("difference", F.col("target_loss") - F.col("background_loss")).withColumnRenamed("doc_id", doc_id)

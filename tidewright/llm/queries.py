@@ -180,13 +180,13 @@ d AS (SELECT documents.doc_id, g.doc_id IS NOT NULL AS tgt, list_filter(regexp_s
   FROM documents LEFT JOIN g USING (doc_id)),
 t AS (SELECT doc_id, tgt, i, w[i] AS x FROM (SELECT doc_id, tgt, w, unnest(range(1, len(w) + 1)) AS i FROM d)),
 n AS (SELECT count(*) AS nb, count(*) FILTER (tgt) AS nt FROM t),
-v AS (SELECT x, count(*) AS cb, count(*) FILTER (tgt) AS ct FROM t GROUP BY x HAVING count(*) >= greatest(2, {lm_scores.WORD_SHARE} * (SELECT nb FROM n))),
+v AS (SELECT x, count(*) AS cb, count(*) FILTER (tgt) AS ct FROM t GROUP BY x HAVING count(*) >= {lm_scores.LEAST}),
 s AS (SELECT count(*) AS sb, count(*) FILTER (tgt) AS st FROM d WHERE len(w) > 0),
 unk AS (SELECT nb - coalesce((SELECT sum(cb) FROM v), 0) AS ub, nt - coalesce((SELECT sum(ct) FROM v), 0) AS ut, nb, nt, (SELECT count(*) FROM v) + 1 AS size FROM n),
 k AS (SELECT t.doc_id, t.tgt, t.i, t.x, v.cb, v.ct FROM t LEFT JOIN v USING (x)),
 p AS (SELECT a.doc_id, a.i, a.tgt, a.x AS y, a.cb AS cb, a.ct AS ct, b.x AS h, b.cb AS hb, b.ct AS ht, a.i = 1 AS first, a.cb IS NOT NULL AND (a.i = 1 OR b.cb IS NOT NULL) AS known
   FROM k a LEFT JOIN k b ON b.doc_id = a.doc_id AND b.i = a.i - 1),
-pc AS (SELECT first, coalesce(h, '') AS h, y, count(*) AS pb, count(*) FILTER (tgt) AS pt FROM p WHERE known GROUP BY ALL HAVING count(*) >= greatest(2, {lm_scores.PAIR_SHARE} * (SELECT nb FROM n))),
+pc AS (SELECT first, coalesce(h, '') AS h, y, count(*) AS pb, count(*) FILTER (tgt) AS pt FROM p WHERE known GROUP BY ALL HAVING count(*) >= {lm_scores.LEAST}),
 l AS (SELECT p.doc_id,
   -ln({lm_scores.MIX} * coalesce(pc.pb / greatest(CASE WHEN p.first THEN sb ELSE hb END, 1), 0) + (1 - {lm_scores.MIX}) * (coalesce(cb, ub) + 1) / (nb + size)) AS lb,
   -ln({lm_scores.MIX} * coalesce(pc.pt / greatest(CASE WHEN p.first THEN st ELSE ht END, 1), 0) + (1 - {lm_scores.MIX}) * (coalesce(ct, ut) + 1) / (nt + size)) AS lt

@@ -9,7 +9,8 @@ the pair among those that follow its first word with the smoothed share of the w
 Documents are dealt to blocks of about ``BLOCK_BYTES`` of text by a hash of their id. A block counts its
 words and pairs (so a frequent pair is one row per block, not per occurrence), the counts of all blocks are
 added up, and those of the words and pairs that a block holds go back to it. A task reads the counts of one
-block, then its documents one after the other. Words and pairs are known by 64-bit hashes.
+block, then its documents one after the other. Words and pairs are known by 64-bit hashes, and travel as
+arrays of the hashes with the same first bits (a range), which are single rows only while they are added up.
 
 The score is the loss per word of the target model minus that of the background model: low for text that is
 like the target. Documents are rated with models that counted them, target documents, too; leave a document
@@ -77,7 +78,11 @@ def segments(part: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch]]:
             yield int(place[a]), part.slice(a, b - a)
 
 
-def _counts(batches: Iterable[pa.RecordBatch], max_tokens: int) -> Iterator[pa.RecordBatch]:
+def lists(cuts: np.ndarray, *columns: tuple[np.ndarray, pa.DataType]) -> list[pa.ListArray]:
+    return [pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(values, kind)) for values, kind in columns]
+
+
+def _counts(batches: Iterable[pa.RecordBatch], max_tokens: int, bits: int) -> Iterator[pa.RecordBatch]:
     """Rows ``place, id, text``, ids of target documents (even places) before the documents of a block (odd)."""
     block, targets, tokens = -1, set(), 0
     held: tuple[list, list] = ([], [])
@@ -88,10 +93,11 @@ def _counts(batches: Iterable[pa.RecordBatch], max_tokens: int) -> Iterator[pa.R
         if held[1]:
             own, count = np.unique(np.concatenate(held[1]), return_counts=True)
             n_target[np.searchsorted(keys, own)] = count
-        keys = np.append(keys, np.uint64(TOTAL))
         words = [sum(int(np.count_nonzero(x & np.uint64(1))) - int(np.count_nonzero(x == START)) for x in h) for h in held]
-        columns = [np.full(len(keys), block), keys.view(np.int64), np.append(n, words[0]), np.append(n_target, words[1])]
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["block", "key", "n", "n_target"])
+        keys, n, n_target = np.insert(keys, 0, TOTAL), np.insert(n, 0, words[0]), np.insert(n_target, 0, words[1])
+        ranges, first = np.unique(keys >> np.uint64(64 - bits), return_index=True)
+        made = lists(np.append(first, len(keys)), (keys.view(np.int64), pa.int64()), (n, pa.int32()), (n_target, pa.int32()))
+        return pa.RecordBatch.from_arrays([pa.array(ranges.astype(np.int64)), pa.array(np.full(len(ranges), block)), *made], names=["range", "block", "key", "n", "n_target"])
 
     for part in sized_runs(batches, 2):
         for place, rows in segments(part):
@@ -118,19 +124,54 @@ def _counts(batches: Iterable[pa.RecordBatch], max_tokens: int) -> Iterator[pa.R
         yield out()
 
 
+SUMS = ("words", "target_words", "known", "known_target", "vocabulary")
+
+
+def _packed(batches: Iterable[pa.RecordBatch], rows: int = 1_000_000) -> Iterator[pa.RecordBatch]:
+    """Rows ``block, key, n, n_target, first`` as arrays of a block, with sums over keys that are marked as first."""
+    held: list[pa.RecordBatch] = []
+
+    def out() -> pa.RecordBatch:
+        block, key, n, n_target, first = (c.to_numpy() for c in pa.Table.from_batches(held).columns)
+        order = np.argsort(block, kind="stable")
+        blocks, cuts = np.unique(block[order], return_index=True)
+        total = first & (key == TOTAL)
+        word = first & (key & 1 == 1) & (key != TOTAL) & (key != START)
+        sums = (n[total].sum(), n_target[total].sum(), n[word].sum(), n_target[word].sum(), np.count_nonzero(word))
+        made = lists(np.append(cuts, len(order)), *((c[order], pa.int64()) for c in (key, n, n_target)))
+        # The sums of all rows are in the first one.
+        once = [pa.array([int(x)] + [0] * (len(blocks) - 1), pa.int64()) for x in sums]
+        return pa.RecordBatch.from_arrays([pa.array(blocks), *made, *once], names=["block", "key", "n", "n_target", *SUMS])
+
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+        if sum(b.num_rows for b in held) > rows:
+            yield out()
+            held = []
+    if held:
+        yield out()
+
+
 def counts(docs: DataFrame, target: DataFrame, blocks: int, least: int, max_tokens: int) -> DataFrame:
-    """``block, key, n, n_target, first``: the corpus counts of the keys of each block; ``first`` in one row of a key."""
+    """``block, key, n, n_target`` as arrays: the corpus counts of the keys of each block; and parts of the sums over the corpus."""
     ids = target.select(F.col("doc_id").cast("string").alias("id")).where("id is not null").distinct()
     ids = ids.select((2 * block_of(F.col("id"), F.lit(""), blocks)).alias("place"), "id", F.lit(None).cast("string").alias("text"))
     rows = docs.select((2 * block_of(F.col("doc_id"), F.col("text"), blocks) + 1).alias("place"), F.col("doc_id").cast("string").alias("id"), "text")
     rows = ids.unionByName(rows).repartition(F.floor(F.col("place") / 2)).sortWithinPartitions("place")
-    counted = rows.mapInArrow(partial(_counts, max_tokens=max_tokens), "block long, key long, n long, n_target long")
-    by_key = Window.partitionBy("key")
+    bits = min(max(blocks.bit_length(), 6), 14)
+    arrays = "range long, block long, key array<long>, n array<int>, n_target array<int>"
+    counted = rows.mapInArrow(partial(_counts, max_tokens=max_tokens, bits=bits), arrays).repartition("range")
+    counted = counted.select("range", "block", F.inline(F.arrays_zip("key", "n", "n_target")))
+    by_key = Window.partitionBy("key", "range").orderBy("block")
+    whole = by_key.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     everywhere = counted.select(
-        "block", "key", F.sum("n").over(by_key).alias("n"), F.sum("n_target").over(by_key).alias("n_target"),
-        (F.row_number().over(by_key.orderBy("block")) == 1).alias("first"),
+        "block", "key", F.sum("n").over(whole).alias("n"), F.sum("n_target").over(whole).alias("n_target"),
+        (F.row_number().over(by_key) == 1).alias("first"),
     )
-    return everywhere.where((F.col("n") >= least) | F.col("key").isin(START, TOTAL))
+    seen = everywhere.where((F.col("n") >= least) | F.col("key").isin(START, TOTAL))
+    arrays = "block long, key array<long>, n array<long>, n_target array<long>, "
+    return seen.mapInArrow(_packed, arrays + ", ".join(f"{c} long" for c in SUMS))
 
 
 @dataclass(frozen=True)
@@ -143,9 +184,7 @@ class Totals:
 
 
 def totals(counted: DataFrame) -> Totals:
-    word = (F.col("key").bitwiseAND(F.lit(1)) == 1) & ~F.col("key").isin(START, TOTAL)
-    sums = [F.coalesce(F.sum(F.when(c, F.col(n))), F.lit(0)) for c in (F.col("key") == TOTAL, word) for n in ("n", "n_target")]
-    nb, nt, kb, kt, size = counted.where("first").agg(*sums, F.count_if(word)).first()
+    nb, nt, kb, kt, size = counted.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in SUMS)).first()
     return Totals((nb, nt), (nb - kb, nt - kt), size + 1)
 
 
@@ -178,15 +217,15 @@ def losses(words: np.ndarray, starts: np.ndarray, of: Lookup, sums: Totals) -> n
 
 
 def _score(batches: Iterable[pa.RecordBatch], sums: Totals) -> Iterator[pa.RecordBatch]:
-    """Rows ``place, doc_id, text, key, n, n_target``, the counts of a block (even places) before its documents (odd)."""
+    """Rows ``place, doc_id, text`` and arrays ``key, n, n_target``, the counts of a block (even places) before its documents (odd)."""
     block, keys, values, of = -1, [], [], None
     for part in sized_runs(batches, 2, 1 << 20):
         for place, rows in segments(part):
             if place >> 1 != block:
                 block, keys, values, of = place >> 1, [], [], None
             if place % 2 == 0:
-                keys.append(rows.column(3).to_numpy().view(np.uint64))
-                values.append(np.stack([rows.column(c).to_numpy() for c in (4, 5)], axis=1))
+                keys.append(rows.column(3).flatten().to_numpy().view(np.uint64))
+                values.append(np.stack([rows.column(c).flatten().to_numpy() for c in (4, 5)], axis=1))
                 continue
             if of is None:
                 of = Lookup(keys, values)
@@ -217,8 +256,8 @@ def score(docs: DataFrame, target: DataFrame, doc_id: str = "doc_id", text: str
     counts(d, target, blocks, least, max_tokens).write.parquet(folder)
     counted = d.sparkSession.read.parquet(folder)
     kind = d.schema["doc_id"].dataType.simpleString()
-    tables = counted.where(F.col("key") != TOTAL).select((2 * F.col("block")).alias("place"), F.lit(None).cast(kind).alias("doc_id"), F.lit(None).cast("string").alias("text"), "key", "n", "n_target")
-    none = [F.lit(None).cast("long").alias(c) for c in ("key", "n", "n_target")]
+    tables = counted.select((2 * F.col("block")).alias("place"), F.lit(None).cast(kind).alias("doc_id"), F.lit(None).cast("string").alias("text"), "key", "n", "n_target")
+    none = [F.lit(None).cast("array<long>").alias(c) for c in ("key", "n", "n_target")]
     texts = d.select((2 * block_of(F.col("doc_id"), F.col("text"), blocks) + 1).alias("place"), "doc_id", "text", *none)
     rows = tables.unionByName(texts).repartition(F.floor(F.col("place") / 2)).sortWithinPartitions("place")
     rows = rows.mapInArrow(partial(_score, sums=totals(counted)), f"doc_id {kind}, n_words long, target_loss double, background_loss double")

@@ -9,8 +9,8 @@ the pair among those that follow its first word with the smoothed share of the w
 Documents are dealt to blocks of about ``BLOCK_BYTES`` of text by a hash of their id. A block counts its
 words and pairs (so a frequent pair is one row per block, not per occurrence), the counts of all blocks are
 added up, and those of the words and pairs that a block holds go back to it. A task reads the counts of one
-block, then its documents one after the other. Words and pairs are known by 64-bit hashes, and travel as
-arrays of the hashes with the same first bits (a range), which are single rows only while they are added up.
+block, then its documents one after the other. Words and pairs are known by hashes of ``KEY_BITS`` bits, and
+travel as packed arrays of the hashes with the same first bits (a range); they are rows only while added up.
 
 The score is the loss per word of the target model minus that of the background model: low for text that is
 like the target. Documents are rated with models that counted them, target documents, too; leave a document
@@ -29,7 +29,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..session import ensure_checkpoint_dir
 from .batches import sized_runs
@@ -42,18 +41,21 @@ MIX = 0.7
 BLOCK_BYTES = 4 << 20
 #: Words a task holds before it hands their counts on, as those of a block with a very long text or many repeated rows.
 MAX_TOKENS = 2_000_000
+#: Some 2 of 10^6 of 3 x 10^10 different words and pairs share a key with another one.
+KEY_BITS, RANGE_BITS = 54, 10
 #: Keys of words are odd, those of pairs even; these two are the start of a document and the sum over all words.
 START, TOTAL = 1, 3
+CODEC = pa.Codec("zstd", 1)
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
 def word_keys(text: str | None) -> np.ndarray:
     found = (text or "").encode().split()
-    return np.fromiter(map(xxhash.xxh64_intdigest, found), np.uint64, len(found)) | np.uint64(1)
+    return np.fromiter(map(xxhash.xxh64_intdigest, found), np.uint64, len(found)) >> np.uint64(64 - KEY_BITS) | np.uint64(1)
 
 
 def pair_keys(before: np.ndarray, words: np.ndarray) -> np.ndarray:
-    return mixed(before * FACTOR + words) & ~np.uint64(1)
+    return mixed(before * FACTOR + words) >> np.uint64(64 - KEY_BITS) & ~np.uint64(1)
 
 
 def befores(words: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -78,11 +80,19 @@ def segments(part: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch]]:
             yield int(place[a]), part.slice(a, b - a)
 
 
-def lists(cuts: np.ndarray, *columns: tuple[np.ndarray, pa.DataType]) -> list[pa.ListArray]:
-    return [pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(values, kind)) for values, kind in columns]
+def packed(keys: np.ndarray, *columns: np.ndarray) -> bytes:
+    """Sorted keys as differences, and columns of small numbers, byte by byte: most bytes are zeros, which shrink to nothing."""
+    table = np.stack([np.diff(keys, prepend=0), *columns]).astype(np.int64)
+    return CODEC.compress(table.view(np.uint8).reshape(-1, 8).T.tobytes(), asbytes=True)
 
 
-def _counts(batches: Iterable[pa.RecordBatch], max_tokens: int, bits: int) -> Iterator[pa.RecordBatch]:
+def unpacked(data: bytes, length: int, columns: int) -> list[np.ndarray]:
+    plain_bytes = CODEC.decompress(data, 8 * length * columns, asbytes=True)
+    table = np.frombuffer(plain_bytes, np.uint8).reshape(8, -1).T.copy().view(np.int64).reshape(columns, length)
+    return [np.cumsum(table[0]), *table[1:]]
+
+
+def _counts(batches: Iterable[pa.RecordBatch], max_tokens: int) -> Iterator[pa.RecordBatch]:
     """Rows ``place, id, text``, ids of target documents (even places) before the documents of a block (odd)."""
     block, targets, tokens = -1, set(), 0
     held: tuple[list, list] = ([], [])
@@ -95,9 +105,12 @@ def _counts(batches: Iterable[pa.RecordBatch], max_tokens: int, bits: int) -> It
             n_target[np.searchsorted(keys, own)] = count
         words = [sum(int(np.count_nonzero(x & np.uint64(1))) - int(np.count_nonzero(x == START)) for x in h) for h in held]
         keys, n, n_target = np.insert(keys, 0, TOTAL), np.insert(n, 0, words[0]), np.insert(n_target, 0, words[1])
-        ranges, first = np.unique(keys >> np.uint64(64 - bits), return_index=True)
-        made = lists(np.append(first, len(keys)), (keys.view(np.int64), pa.int64()), (n, pa.int32()), (n_target, pa.int32()))
-        return pa.RecordBatch.from_arrays([pa.array(ranges.astype(np.int64)), pa.array(np.full(len(ranges), block)), *made], names=["range", "block", "key", "n", "n_target"])
+        keys = keys.view(np.int64)
+        ranges, first = np.unique(keys >> (KEY_BITS - RANGE_BITS), return_index=True)
+        cuts = [slice(i, j) for i, j in zip(first, np.append(first[1:], len(keys)), strict=True)]
+        data = [packed(keys[c], n[c], n_target[c]) for c in cuts]
+        columns = [ranges, np.full(len(ranges), block), [c.stop - c.start for c in cuts]]
+        return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns), pa.array(data, pa.binary())], names=["range", "block", "length", "data"])
 
     for part in sized_runs(batches, 2):
         for place, rows in segments(part):
@@ -124,54 +137,82 @@ def _counts(batches: Iterable[pa.RecordBatch], max_tokens: int, bits: int) -> It
         yield out()
 
 
+def _unpacked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for number, block, length, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            same = [pa.array(np.full(length, x), pa.int64()) for x in (number, block)]
+            yield pa.RecordBatch.from_arrays([*same, *(pa.array(c, pa.int64()) for c in unpacked(data, length, 3))], names=["range", "block", "key", "n", "n_target"])
+
+
 SUMS = ("words", "target_words", "known", "known_target", "vocabulary")
 
 
-def _packed(batches: Iterable[pa.RecordBatch], rows: int = 1_000_000) -> Iterator[pa.RecordBatch]:
-    """Rows ``block, key, n, n_target, first`` as arrays of a block, with sums over keys that are marked as first."""
-    held: list[pa.RecordBatch] = []
+def summed(rows: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows ``block, key, n, n_target``, sorted by key, with the counts of the whole corpus; and the sums over their keys."""
+    start = np.flatnonzero(np.diff(rows[1], prepend=-1))
+    of_key = np.repeat(np.arange(len(start)), np.diff(np.append(start, rows.shape[1])))
+    key = rows[1, start]
+    n, n_target = (np.add.reduceat(rows[c], start) for c in (2, 3))
+    total = key == TOTAL
+    special = total | (key == START)
+    word = (key & 1 == 1) & ~special & (n >= least)
+    sums = [n[total].sum(), n_target[total].sum(), n[word].sum(), n_target[word].sum(), np.count_nonzero(word)]
+    kept = (special | (n >= least))[of_key]
+    return np.stack([rows[0], rows[1], n[of_key], n_target[of_key]])[:, kept], np.array(sums)
+
+
+def _summed(batches: Iterable[pa.RecordBatch], least: int, most: int = 1_000_000) -> Iterator[pa.RecordBatch]:
+    """Rows ``range, block, key, n, n_target`` sorted by key; what is left of them, packed by block, with sums over keys."""
+    waiting: list[np.ndarray] = []
+    held: list[np.ndarray] = []
+    sums = np.zeros(len(SUMS), np.int64)
 
     def out() -> pa.RecordBatch:
-        block, key, n, n_target, first = (c.to_numpy() for c in pa.Table.from_batches(held).columns)
-        order = np.argsort(block, kind="stable")
-        blocks, cuts = np.unique(block[order], return_index=True)
-        total = first & (key == TOTAL)
-        word = first & (key & 1 == 1) & (key != TOTAL) & (key != START)
-        sums = (n[total].sum(), n_target[total].sum(), n[word].sum(), n_target[word].sum(), np.count_nonzero(word))
-        made = lists(np.append(cuts, len(order)), *((c[order], pa.int64()) for c in (key, n, n_target)))
+        block, key, n, n_target = np.concatenate(held, axis=1)
+        order = np.lexsort((key, block))
+        blocks, start = np.unique(block[order], return_index=True)
+        parts = [order[i:j] for i, j in zip(start, np.append(start[1:], len(order)), strict=True)]
+        data = [packed(key[x], n[x], n_target[x]) for x in parts]
         # The sums of all rows are in the first one.
         once = [pa.array([int(x)] + [0] * (len(blocks) - 1), pa.int64()) for x in sums]
-        return pa.RecordBatch.from_arrays([pa.array(blocks), *made, *once], names=["block", "key", "n", "n_target", *SUMS])
+        lengths = pa.array([len(x) for x in parts], pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(blocks), lengths, pa.array(data, pa.binary()), *once], names=["block", "length", "data", *SUMS])
+
+    def finish(rows: np.ndarray) -> None:
+        kept, more = summed(rows, least)
+        held.append(kept)
+        sums[:] += more
 
     for batch in batches:
-        if batch.num_rows:
-            held.append(batch)
-        if sum(b.num_rows for b in held) > rows:
+        if not batch.num_rows:
+            continue
+        rows = np.stack([c.to_numpy() for c in batch.columns[1:]])
+        # Rows of the last key wait for the next batch.
+        last = int(np.searchsorted(rows[1], rows[1, -1]))
+        if last or (waiting and waiting[-1][1, -1] != rows[1, 0]):
+            done = rows[:, :last]
+            finish(np.concatenate([*waiting, done], axis=1))
+            waiting = []
+        waiting.append(rows[:, last:])
+        if sum(x.shape[1] for x in held) > most:
             yield out()
-            held = []
-    if held:
+            held.clear()
+            sums[:] = 0
+    if waiting:
+        finish(np.concatenate(waiting, axis=1))
+    if sum(x.shape[1] for x in held):
         yield out()
 
 
 def counts(docs: DataFrame, target: DataFrame, blocks: int, least: int, max_tokens: int) -> DataFrame:
-    """``block, key, n, n_target`` as arrays: the corpus counts of the keys of each block; and parts of the sums over the corpus."""
+    """``block, length, data``: the corpus counts of the keys of each block, packed; and parts of the sums over the corpus."""
     ids = target.select(F.col("doc_id").cast("string").alias("id")).where("id is not null").distinct()
     ids = ids.select((2 * block_of(F.col("id"), F.lit(""), blocks)).alias("place"), "id", F.lit(None).cast("string").alias("text"))
     rows = docs.select((2 * block_of(F.col("doc_id"), F.col("text"), blocks) + 1).alias("place"), F.col("doc_id").cast("string").alias("id"), "text")
     rows = ids.unionByName(rows).repartition(F.floor(F.col("place") / 2)).sortWithinPartitions("place")
-    bits = min(max(blocks.bit_length(), 6), 14)
-    arrays = "range long, block long, key array<long>, n array<int>, n_target array<int>"
-    counted = rows.mapInArrow(partial(_counts, max_tokens=max_tokens, bits=bits), arrays).repartition("range")
-    counted = counted.select("range", "block", F.inline(F.arrays_zip("key", "n", "n_target")))
-    by_key = Window.partitionBy("key", "range").orderBy("block")
-    whole = by_key.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    everywhere = counted.select(
-        "block", "key", F.sum("n").over(whole).alias("n"), F.sum("n_target").over(whole).alias("n_target"),
-        (F.row_number().over(by_key) == 1).alias("first"),
-    )
-    seen = everywhere.where((F.col("n") >= least) | F.col("key").isin(START, TOTAL))
-    arrays = "block long, key array<long>, n array<long>, n_target array<long>, "
-    return seen.mapInArrow(_packed, arrays + ", ".join(f"{c} long" for c in SUMS))
+    dealt = rows.mapInArrow(partial(_counts, max_tokens=max_tokens), "range long, block long, length long, data binary").repartition("range")
+    rows = dealt.mapInArrow(_unpacked, "range long, block long, key long, n long, n_target long").sortWithinPartitions("key")
+    return rows.mapInArrow(partial(_summed, least=least), "block long, length long, data binary, " + ", ".join(f"{c} long" for c in SUMS))
 
 
 @dataclass(frozen=True)
@@ -217,15 +258,17 @@ def losses(words: np.ndarray, starts: np.ndarray, of: Lookup, sums: Totals) -> n
 
 
 def _score(batches: Iterable[pa.RecordBatch], sums: Totals) -> Iterator[pa.RecordBatch]:
-    """Rows ``place, doc_id, text`` and arrays ``key, n, n_target``, the counts of a block (even places) before its documents (odd)."""
+    """Rows ``place, doc_id, text, length, data``, the packed counts of a block (even places) before its documents (odd)."""
     block, keys, values, of = -1, [], [], None
     for part in sized_runs(batches, 2, 1 << 20):
         for place, rows in segments(part):
             if place >> 1 != block:
                 block, keys, values, of = place >> 1, [], [], None
             if place % 2 == 0:
-                keys.append(rows.column(3).flatten().to_numpy().view(np.uint64))
-                values.append(np.stack([rows.column(c).flatten().to_numpy() for c in (4, 5)], axis=1))
+                for length, data in zip(rows.column(3).to_pylist(), rows.column(4).to_pylist(), strict=True):
+                    key, *n = unpacked(data, length, 3)
+                    keys.append(key.view(np.uint64))
+                    values.append(np.stack(n, axis=1))
                 continue
             if of is None:
                 of = Lookup(keys, values)
@@ -256,8 +299,8 @@ def score(docs: DataFrame, target: DataFrame, doc_id: str = "doc_id", text: str
     counts(d, target, blocks, least, max_tokens).write.parquet(folder)
     counted = d.sparkSession.read.parquet(folder)
     kind = d.schema["doc_id"].dataType.simpleString()
-    tables = counted.select((2 * F.col("block")).alias("place"), F.lit(None).cast(kind).alias("doc_id"), F.lit(None).cast("string").alias("text"), "key", "n", "n_target")
-    none = [F.lit(None).cast("array<long>").alias(c) for c in ("key", "n", "n_target")]
+    tables = counted.select((2 * F.col("block")).alias("place"), F.lit(None).cast(kind).alias("doc_id"), F.lit(None).cast("string").alias("text"), "length", "data")
+    none = [F.lit(None).cast(kind).alias(c) for c, kind in (("length", "long"), ("data", "binary"))]
     texts = d.select((2 * block_of(F.col("doc_id"), F.col("text"), blocks) + 1).alias("place"), "doc_id", "text", *none)
     rows = tables.unionByName(texts).repartition(F.floor(F.col("place") / 2)).sortWithinPartitions("place")
     rows = rows.mapInArrow(partial(_score, sums=totals(counted)), f"doc_id {kind}, n_words long, target_loss double, background_loss double")

@@ -40,7 +40,7 @@ LEAST = 2
 MIX = 0.7
 BLOCK_BYTES = 4 << 20
 #: Words a task holds before it hands their counts on, as those of a block with a very long text or many repeated rows.
-MAX_TOKENS = 2_000_000
+MAX_TOKENS = 1_000_000
 #: Some 2 of 10^6 of 3 x 10^10 different words and pairs share a key with another one.
 KEY_BITS, RANGE_BITS = 54, 10
 #: Keys of words are odd, those of pairs even; these two are the start of a document and the sum over all words.
@@ -112,7 +112,7 @@ def _counts(batches: Iterable[pa.RecordBatch], max_tokens: int) -> Iterator[pa.R
         columns = [ranges, np.full(len(ranges), block), [c.stop - c.start for c in cuts]]
         return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns), pa.array(data, pa.binary())], names=["range", "block", "length", "data"])
 
-    for part in sized_runs(batches, 2):
+    for part in sized_runs(batches, 2, 1 << 20):
         for place, rows in segments(part):
             if place >> 1 != block:
                 if held[0]:
@@ -161,7 +161,7 @@ def summed(rows: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     return np.stack([rows[0], rows[1], n[of_key], n_target[of_key]])[:, kept], np.array(sums)
 
 
-def _summed(batches: Iterable[pa.RecordBatch], least: int, most: int = 1_000_000) -> Iterator[pa.RecordBatch]:
+def _summed(batches: Iterable[pa.RecordBatch], least: int, most: int = 400_000) -> Iterator[pa.RecordBatch]:
     """Rows ``range, block, key, n, n_target`` sorted by key; what is left of them, packed by block, with sums over keys."""
     waiting: list[np.ndarray] = []
     held: list[np.ndarray] = []
@@ -169,7 +169,7 @@ def _summed(batches: Iterable[pa.RecordBatch], least: int, most: int = 1_000_000
 
     def out() -> pa.RecordBatch:
         block, key, n, n_target = np.concatenate(held, axis=1)
-        order = np.lexsort((key, block))
+        order = np.argsort(block, kind="stable")
         blocks, start = np.unique(block[order], return_index=True)
         parts = [order[i:j] for i, j in zip(start, np.append(start[1:], len(order)), strict=True)]
         data = [packed(key[x], n[x], n_target[x]) for x in parts]

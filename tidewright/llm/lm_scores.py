@@ -41,7 +41,7 @@ MIX = 0.7
 BLOCK_BYTES = 4 << 20
 #: Words a task holds before it hands their counts on, as those of a block with a very long text or many repeated rows.
 MAX_TOKENS = 1_000_000
-#: Some 2 of 10^6 of 3 x 10^10 different words and pairs share a key with another one.
+#: Some 3 of 10^6 of 3 x 10^10 different words and pairs share a key with another one.
 KEY_BITS, RANGE_BITS = 54, 10
 #: Keys of words are odd, those of pairs even; these two are the start of a document and the sum over all words.
 START, TOTAL = 1, 3

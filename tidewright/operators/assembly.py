@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.base import duration_us, micros
+from ..functions.base import DAY_US, duration_us, micros
 from .skew import salted_join
 
 
@@ -83,9 +83,15 @@ def half_open(time: Column, start: str, end: str) -> Column:
     return (micros(time) >= low) & (micros(time) < high)
 
 
+def age_counts(df: DataFrame, time: str, now: Column, max_age: str, by: Sequence[str] = ()) -> DataFrame:
+    """(by..., rows, too_old, youngest_days): rows older than ``max_age`` at ``now``; a row without a time is never too old."""
+    age = micros(now) - micros(time)
+    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("rows"), F.count_if(age > duration_us(max_age)).alias("too_old"), (F.min(age) / DAY_US).alias("youngest_days"))
+
+
 def check_age(df: DataFrame, time: str, now: Column, max_age: str, allowed: int = 0) -> DataFrame:
     """The rows, unless more than ``allowed`` are older than ``max_age`` at ``now``."""
-    old = df.where(micros(now) - micros(time) > duration_us(max_age)).count()
+    old = age_counts(df, time, now, max_age).first()["too_old"]
     refuse({f"rows older than {max_age}": old if old > allowed else 0})
     return df
 

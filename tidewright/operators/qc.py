@@ -209,6 +209,10 @@ def flat_line(
     return seen.withColumn(output, flag.cast("tinyint")).drop("_us", "_v", "_p", "_n", "_start", "_first")
 
 
+#: Rows of the largest key up to which a window frame is added up anew for each row.
+FRAME_ROWS = 20_000
+
+
 def trailing_moments(
     df: DataFrame,
     *,
@@ -220,13 +224,13 @@ def trailing_moments(
 ) -> DataFrame:
     """Count, mean and sample deviation of the values in ``[t - window, t)``: ``_n, _mu, _sd``.
 
-    Small keys use a range frame. A hot key uses running sums of values centred on the key's
-    mean, read at ``t`` and at ``t - window``, so no task ever holds the key.
+    Small keys use a range frame, which adds up its window anew for every row. Above ``FRAME_ROWS`` rows
+    of a key that would be quadratic: then it is running sums of values centred on the key's mean, read at ``t`` and at ``t - window``, so no task ever holds the key.
     """
     limit = limit or rows_per_task(df.sparkSession)
     w = duration_us(window)
     base = df.withColumn("_us", micros(time)).withColumn("_v", finite(value))
-    if largest_group(base, by) <= limit:
+    if largest_group(base, by) <= min(limit, FRAME_ROWS):
         frame = (
             Window.partitionBy(*[F.col(b) for b in by] or [F.lit(0)]).orderBy("_us").rangeBetween(-w, -1)
         )

@@ -9,6 +9,7 @@ from ..functions import geo
 from ..operators import archive
 from ..sources import ledgers
 from .registry import Tables, query, r6, rounded, sql_r6
+from .solar import light_sql, sun_ctes
 
 HOUR = 3_600_000_000
 
@@ -155,7 +156,18 @@ def coverage_strings(t: Tables) -> DataFrame:
     return archive.coverage_strings(codes(t)).withColumn("day", F.date_format("day", "yyyy-MM-dd"))
 
 
-@query("illumination_codes")
+SQL_LIGHT = f"""{SQL_COVER}, z AS (SELECT station_id, hour, epoch_us(hour) + 600000000 AS us, (station_id * 7) % 120 - 60.0::DOUBLE AS lat, (station_id * 13) % 360 - 180.0::DOUBLE AS lon FROM c), {sun_ctes('z')}"""
+
+
+@query("illumination_of_hours", f"{SQL_LIGHT} SELECT station_id, epoch_us(hour) AS hour_us, {light_sql('elevation')} AS light FROM sun")
+def illumination_of_hours(t: Tables) -> DataFrame:
+    """The light category of every hour of the calendar, at minute 10."""
+    lat, lon = (F.col("station_id") * 7) % 120 - 60.0, (F.col("station_id") * 13) % 360 - 180.0
+    e, _ = geo.solar_position(F.col("hour") + F.expr("INTERVAL 10 MINUTES"), lat, lon)
+    return codes(t).select("station_id", F.unix_micros(F.col("hour").cast("timestamp")).alias("hour_us"), geo.illumination(e).alias("light"))
+
+
+@query("illumination_codes", f"{SQL_LIGHT} SELECT station_id, {light_sql('elevation')} AS light, count(*) AS n FROM sun GROUP BY 1, 2")
 def illumination_codes(t: Tables) -> DataFrame:
     """Light category of each station hour at minute 10, counted per station."""
     c = codes(t)

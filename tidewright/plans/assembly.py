@@ -99,6 +99,16 @@ def rows_young_enough(t: Tables) -> DataFrame:
     return assembly.check_age(t.orders, "o_orderdate", F.lit("2024-01-01").cast("timestamp"), "36525d").select("o_orderkey")
 
 
+@query(
+    "rows_too_old",
+    "SELECT o_orderpriority, count(*) AS rows, count(*) FILTER (o_orderdate < TIMESTAMP '2001-01-01' - INTERVAL 1000 DAYS) AS too_old, min(date_diff('day', o_orderdate, TIMESTAMP '2001-01-01')) AS youngest_days FROM orders GROUP BY 1",
+)
+def rows_too_old(t: Tables) -> DataFrame:
+    """Orders of each priority older than a thousand days at the beginning of 2001: what the guard counts before it refuses."""
+    out = assembly.age_counts(t.orders, "o_orderdate", F.lit("2001-01-01").cast("timestamp"), "1000d", by=["o_orderpriority"])
+    return out.select("o_orderpriority", "rows", "too_old", F.floor("youngest_days").cast("bigint").alias("youngest_days"))
+
+
 @query(
     "years_of_all_priorities",
     """SELECT CAST(y AS INT) AS year FROM (SELECT DISTINCT o_orderpriority AS p, year(o_orderdate) AS y FROM orders) GROUP BY y

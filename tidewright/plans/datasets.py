@@ -9,6 +9,7 @@ from ..functions import classes, geo
 from ..operators import blends, leakage, manifest, splits, stations
 from ..operators.quantiles import quantiles
 from .registry import Tables, query, r6, rounded, sql_r6
+from .solar import light_sql, sun_ctes
 
 SQL_ALONG = """
 WITH z AS (SELECT CAST({key} AS VARCHAR) AS g, count(*) AS n FROM {source} GROUP BY 1),
@@ -399,7 +400,9 @@ def swell_share(t: Tables) -> DataFrame:
 
 @query(
     "solar_geometry",
-    None,
+    f"""WITH e AS (SELECT event_id, user_id, epoch_us(ts) AS us, (user_id * 7) % 120 - 60.0::DOUBLE AS lat, (user_id * 13) % 360 - 180.0::DOUBLE AS lon FROM events), {sun_ctes('e')},
+    r AS (SELECT event_id, user_id, {sql_r6('elevation')} AS elevation, {sql_r6('azimuth')} AS azimuth FROM sun)
+    SELECT *, {light_sql('elevation')} AS light, elevation > 0 AND elevation < 35 AND abs(azimuth + 90 - 360 * floor((azimuth + 90) / 360) - 180) <= 30 AS glint FROM r""",
 )
 def solar_geometry(t: Tables) -> DataFrame:
     """Sun position and light category per event; the position comes from the user's key."""

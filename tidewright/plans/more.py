@@ -10,6 +10,7 @@ from ..functions import geo
 from ..operators import archive, images, manifest, splits
 from ..sources import fields
 from .registry import Tables, query, r6, rounded, sql_r6
+from .solar import sun_ctes
 
 
 @query(
@@ -176,7 +177,14 @@ def third_gap(t: Tables) -> DataFrame:
     return rounded(images.third_gap(e, "user_id", "value", "f", "event_id", 60), "gap")
 
 
-@query("clock_shift_scan")
+@query(
+    "clock_shift_scan",
+    f"""WITH e AS (SELECT event_id, user_id, epoch_us(ts) AS stamp, (user_id * 7) % 100 - 50.0::DOUBLE AS lat, (user_id * 13) % 360 - 180.0::DOUBLE AS lon FROM events),
+    b0 AS (SELECT *, stamp + 14400000000 AS us FROM e), {sun_ctes('b0', 'own')}, m0 AS (SELECT event_id, user_id, lat, lon, elevation > 0 AS bright, s.s AS shift_min, stamp + s.s::BIGINT * 60000000 AS us FROM own, (SELECT unnest([-240, -120, 0, 120, 240, 360]) AS s) s),
+    {sun_ctes('m0', 'moved')}, w AS (SELECT user_id, shift_min, h.h AS elev, count(*) FILTER (bright <> (elevation > h.h)) AS wrong, count(*) AS n FROM moved, (SELECT unnest([-10, -8, -6, -4, -2, 0, 2]) AS h) h GROUP BY ALL),
+    x AS (SELECT *, row_number() OVER (PARTITION BY user_id, elev ORDER BY wrong, abs(shift_min), shift_min) AS k FROM w), y AS (SELECT * FROM x WHERE k = 1)
+    SELECT user_id, first(shift_min ORDER BY wrong, abs(shift_min), shift_min, elev) AS shift_min, min(wrong) AS wrong, any_value(n) AS n, min(shift_min) AS lowest_shift, max(shift_min) AS highest_shift FROM y GROUP BY 1""",
+)
 def clock_shift_scan(t: Tables) -> DataFrame:
     """Brightness follows the sun four hours later than the stamp says."""
     lat, lon = (F.col("user_id") * 7) % 100 - 50.0, (F.col("user_id") * 13) % 360 - 180.0
@@ -211,13 +219,21 @@ def storm_dates(t: Tables) -> DataFrame:
     return images.rank_interleave(d, ["site", "band"], "period", [-F.col("hs"), F.col("local_day")], "site", "local_day", 3)
 
 
-@query("lag_scan")
+@query(
+    "lag_scan",
+    f"""WITH s AS (SELECT epoch_us(ts) // 21600000000 * 21600000000 AS us, avg(value) AS v FROM events WHERE event_type = 'view' GROUP BY 1),
+    c AS (SELECT event_id, value, l.l AS lag_s, epoch_us(ts) + l.l::BIGINT * 1000000 AS stamp FROM events, (SELECT unnest([-86400, 0, 86400]) AS l) l WHERE event_type = 'click'),
+    a AS (SELECT c.*, s.us AS u0, s.v AS v0 FROM c ASOF LEFT JOIN s ON c.stamp >= s.us), b AS (SELECT a.*, s.us AS u1, s.v AS v1 FROM a ASOF LEFT JOIN s ON a.stamp <= s.us),
+    i AS (SELECT lag_s, value, CASE WHEN stamp = u0 THEN v0 WHEN u1 - u0 <= 172800000000 THEN v0 + (stamp - u0) / (u1 - u0)::DOUBLE * (v1 - v0) END AS x FROM b),
+    r AS (SELECT lag_s, rank() OVER (PARTITION BY lag_s ORDER BY value) + (count(*) OVER (PARTITION BY lag_s, value) - 1) / 2.0::DOUBLE AS rv, rank() OVER (PARTITION BY lag_s ORDER BY x) + (count(*) OVER (PARTITION BY lag_s, x) - 1) / 2.0::DOUBLE AS rx FROM i WHERE x IS NOT NULL)
+    SELECT lag_s, CASE WHEN count(*) >= 51 THEN {sql_r6('corr(rv, rx)')} END AS spearman FROM r GROUP BY 1""",
+)
 def lag_scan(t: Tables) -> DataFrame:
     """Rank correlation of clicks with six-hourly mean views at several lags."""
     six = F.timestamp_micros(F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 21_600_000_000) * 21_600_000_000)
     s = t.events.where("event_type = 'view'").groupBy(six.alias("ts")).agg(F.avg("value").alias("v"))
     c = t.events.where("event_type = 'click'").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "value")
-    return archive.lag_scan(c, s, value="v", target_value="value", time="ts", lags_s=[-86400, 0, 86400], max_gap="2d")
+    return rounded(archive.lag_scan(c, s, value="v", target_value="value", time="ts", lags_s=[-86400, 0, 86400], max_gap="2d"), "spearman")
 
 
 @query(

@@ -72,3 +72,15 @@ def season(time: ColumnLike) -> Column:
     names = F.array(*[F.lit(s) for s in ("winter", "spring", "summer", "autumn")])
     index = F.floor(F.month(col(time)) % 12 / 3) + 1
     return F.element_at(names, index.cast("int"))
+
+
+def gap_class(value: ColumnLike, low: float, high: float) -> Column:
+    """0 below ``low``, 1 above ``high``; values between them are in no class (NULL)."""
+    v = finite(value)
+    return F.when(v < low, 0).when(v > high, 1)
+
+
+def scaled_class(value: ColumnLike, scale: float, edges: Sequence[float]) -> Column:
+    """Left-closed class of the scaled value between ``edges``; NULL outside them."""
+    k = left_closed_bin(finite(value) * scale, edges)
+    return F.when(k >= 0, k)

@@ -135,3 +135,26 @@ def attach_previous_hour(df: DataFrame, time: str, hourly: DataFrame, hour: str,
     refuse({f"hours listed twice in {hour}": twice})
     at = F.timestamp_micros(micros(F.date_trunc("hour", F.col(time).cast("timestamp"))) - F.lit(hours_back * 3_600_000_000))
     return salted_join(df.withColumn(hour, at), table.withColumn(hour, F.col(hour).cast("timestamp")), [hour], how="left")
+
+
+def tier_counts(df: DataFrame, value: str, edges: Sequence[float], *, day: str, window: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """(by..., class, clips, dates, windows) of rows with a value: class k between two edges, -1 below, the last one above."""
+    v = F.col(value)
+    cls = F.when(v < edges[0], -1).otherwise(sum(((v >= e).cast("int") for e in edges), F.lit(-1)))
+    rows = df.where(v.isNotNull() & ~F.isnan(v.cast("double")))
+    return rows.groupBy(*by, cls.alias("class")).agg(F.count(F.lit(1)).alias("clips"), F.count_distinct(day).alias("dates"), F.count_distinct(F.struct(*window)).alias("windows"))
+
+
+def stage_coverage(df: DataFrame, stages: dict[str, Column], *, group: str, time: str) -> DataFrame:
+    """(position, stage, rows, groups, first_utc, last_utc) of the rows that pass every stage up to this one, in one pass."""
+    passed, counts = F.lit(True), []
+    for i, (name, holds) in enumerate(stages.items()):
+        passed = passed & F.coalesce(holds, F.lit(False))
+        kept = lambda c, p=passed: F.when(p, F.col(c))
+        counts.append((i, name, F.count_if(passed), F.count_distinct(kept(group)), F.min(kept(time)), F.max(kept(time))))
+    wide = df.agg(*[c.alias(f"{what}{i}") for i, _, *cells in counts for what, c in zip("ngab", cells, strict=True)])
+    each = [
+        F.struct(F.lit(i).alias("position"), F.lit(name).alias("stage"), F.col(f"n{i}").alias("rows"), F.col(f"g{i}").alias("groups"), F.col(f"a{i}").alias("first_utc"), F.col(f"b{i}").alias("last_utc"))
+        for i, name, *_ in counts
+    ]
+    return wide.select(F.inline(F.array(*each)))

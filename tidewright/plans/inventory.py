@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import classes, clips
 from ..operators import crossings, inventory
-from ..sources import providers, stations
-from .ingest import SQL_STATION, station_lines
+from ..sources import listings, providers, stations
+from .ingest import SQL_STATION, bulletins, station_lines
 from .registry import Tables, query, r6, rounded, sql_r6
 
 
@@ -247,3 +248,76 @@ def provider_observations(t: Tables) -> DataFrame:
 def provider_flags(t: Tables) -> DataFrame:
     flags = providers.ingest_lines(PROVIDER, _station_files(t), "stdmet").flags
     return flags.groupBy("station_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("range_flag") == 3).alias("suspect_range"), F.count_if(F.col("range_flag") == 4).alias("failed_range"))
+
+
+@query(
+    "published_classes",
+    """SELECT o_orderkey, CASE WHEN h < 1.52 THEN 0 WHEN h > 3.05 THEN 1 END AS two_classes,
+      CASE WHEN 0.631 * h >= 0.75 AND 0.631 * h < 3.25 THEN (0.631 * h >= 1.25)::INT + (0.631 * h >= 1.75)::INT + (0.631 * h >= 2.25)::INT + (0.631 * h >= 2.75)::INT END AS five_classes
+    FROM (SELECT o_orderkey, o_totalprice / 1e5 AS h FROM orders)""",
+)
+def published_classes(t: Tables) -> DataFrame:
+    h = F.col("o_totalprice") / 1e5
+    return t.orders.select("o_orderkey", classes.gap_class(h, 1.52, 3.05).alias("two_classes"), classes.scaled_class(h, 0.631, [0.75, 1.25, 1.75, 2.25, 2.75, 3.25]).alias("five_classes"))
+
+
+@query(
+    "clip_windows",
+    """WITH c AS (SELECT event_id, value * 4 AS s, user_id % 40 AS k FROM events), m AS (SELECT *, CASE WHEN k >= 1 THEN least(k - 1, CAST(floor(s / 2 / 16) AS BIGINT)) END AS mid FROM c)
+    SELECT event_id, mid, CASE WHEN mid IS NOT NULL THEN greatest(0, least(mid - 5, greatest(k - 11, 0))) END AS first, CASE WHEN mid IS NOT NULL THEN least(k, greatest(0, least(mid - 5, greatest(k - 11, 0))) + 11) END AS "end" FROM m""",
+)
+def clip_windows(t: Tables) -> DataFrame:
+    c = t.events.select("event_id", (F.col("value") * 4).alias("s"), (F.col("user_id") % 40).alias("k")).withColumn("mid", clips.midpoint_window("s", "k"))
+    first, end = clips.centred_windows("mid", "k")
+    there = F.col("mid").isNotNull()
+    return c.select("event_id", "mid", F.when(there, first).alias("first"), F.when(there, end).alias("end"))
+
+
+@query(
+    "onpremise_images",
+    """SELECT 'cam' AS camera, epoch_us(date_trunc('second', ts)) AS us, 'timex.cam-' || strftime(ts, '%Y-%m-%d-%H%M%S') || 'Z.jpg' AS name, 'https://x/' || 'timex.cam-' || strftime(ts, '%Y-%m-%d-%H%M%S') || 'Z.jpg' AS url, event_id AS size_bytes
+    FROM events WHERE event_type = 'view' AND event_id % 7 <> 0""",
+)
+def onpremise_images(t: Tables) -> DataFrame:
+    """Views are images of one camera, other events of another; every seventh name is a leftover of editing."""
+    stamp = F.date_format("ts", "yyyy-MM-dd-HHmmss")
+    camera = F.when(F.col("event_type") == "view", "cam").otherwise("cam2")
+    name = F.concat(F.lit("timex."), camera, F.lit("-"), stamp, F.when(F.col("event_id") % 7 == 0, "Z_old.jpg").otherwise("Z.jpg"))
+    listing = t.events.select(name.alias("name"), F.lit(False).alias("is_dir"), F.col("event_id").alias("size_bytes"))
+    out = listings.onpremise_images(listing, "cam", "https://x/", "timex.")
+    return out.select("camera", F.unix_micros("time_utc").alias("us"), "name", "url", "size_bytes")
+
+
+@query(
+    "selected_bulletins",
+    """SELECT 'S' || o_custkey AS station_id, epoch_us(date_trunc('day', o_orderdate)) AS issue_us, CAST(h.h AS INT) AS lead_h, count(*) AS n
+    FROM orders, range(7) h(h) WHERE o_orderkey % 9 <> 0 AND o_custkey IN (1, 2, 4, 5, 7, 8, 10, 11) GROUP BY 1, 2, 3""",
+)
+def selected_bulletins(t: Tables) -> DataFrame:
+    station = F.regexp_extract("doc", "Location : (S[0-9]+)", 1)
+    docs = bulletins(t).withColumn("path", F.concat(F.lit("cycle/gfswave."), station, F.lit(".bull")))
+    out = listings.selected_bulletins(docs, "doc", "path", [f"S{i}" for i in (1, 2, 4, 5, 7, 8, 10, 11)])
+    return out.groupBy("station_id", F.unix_micros("issue_utc").alias("issue_us"), "lead_h").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "tier_counts",
+    """WITH e AS (SELECT *, value / 100 AS h FROM events WHERE event_id % 9 <> 0)
+    SELECT event_type, CASE WHEN h < 0.5 THEN -1 ELSE (h >= 0.5)::INT + (h >= 1.25)::INT + (h >= 2.5)::INT - 1 END AS class, count(*) AS clips, count(DISTINCT CAST(ts AS DATE)) AS dates, count(DISTINCT (user_id, date_trunc('hour', ts))) AS windows
+    FROM e GROUP BY 1, 2""",
+)
+def tier_counts(t: Tables) -> DataFrame:
+    e = t.events.select("event_type", "user_id", F.when(F.col("event_id") % 9 != 0, F.col("value") / 100).alias("h"), F.to_date("ts").alias("day"), F.date_trunc("hour", "ts").alias("hour"))
+    return inventory.tier_counts(e, "h", [0.5, 1.25, 2.5], day="day", window=["user_id", "hour"], by=["event_type"])
+
+
+@query(
+    "stage_coverage",
+    """WITH e AS (SELECT *, event_id % 3 <> 0 AS a, value > 10 AS b, event_type = 'view' AS c FROM events)
+    SELECT 0 AS position, 'listed' AS stage, count(*) AS rows, count(DISTINCT user_id) AS groups, epoch_us(min(ts)) AS first_us, epoch_us(max(ts)) AS last_us FROM e WHERE a
+    UNION ALL SELECT 1, 'measured', count(*), count(DISTINCT user_id), epoch_us(min(ts)), epoch_us(max(ts)) FROM e WHERE a AND b UNION ALL SELECT 2, 'scored', count(*), count(DISTINCT user_id), epoch_us(min(ts)), epoch_us(max(ts)) FROM e WHERE a AND b AND c""",
+)
+def stage_coverage(t: Tables) -> DataFrame:
+    stages = {"listed": F.col("event_id") % 3 != 0, "measured": F.col("value") > 10, "scored": F.col("event_type") == "view"}
+    out = inventory.stage_coverage(t.events.withColumn("time", F.col("ts").cast("timestamp")), stages, group="user_id", time="time")
+    return out.select("position", "stage", "rows", "groups", F.unix_micros("first_utc").alias("first_us"), F.unix_micros("last_utc").alias("last_us"))

@@ -4,8 +4,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidewright.operators import corrections, inventory, packages, reports, splits
-from tidewright.sources import providers, stations
+from tidewright.functions import classes, clips
+from tidewright.operators import assembly, corrections, inventory, packages, reports, splits
+from tidewright.sources import listings, providers, stations
 
 
 def scores(true, pred, k):
@@ -143,3 +144,36 @@ def test_first_header_counts_and_other_lines_are_listed(spark, tmp_path):
     assert sorted((r["station_id"], r["product"], r["archive"]) for r in found.collect()) == [("A1", "stdmet", "realtime"), ("B2", "stdmet", "realtime")]
     places = [r["line"] for r in stations.read_lines(spark, str(tmp_path), "a1.txt").orderBy("place").collect()]
     assert places[0].startswith("#YY") and places[-1].endswith("MM")
+
+
+def test_windows_stay_inside_the_clip(spark):
+    rows = [(100.0, 0, None, 0), (10.0, 1, 0, 1), (1000.0, 20, 19, 20), (320.0, 40, 10, 16), (64.0, 40, 2, 11)]
+    df = spark.createDataFrame([(s, k) for s, k, _, _ in rows], "s double, k int").withColumn("mid", clips.midpoint_window("s", "k"))
+    first, end = clips.centred_windows("mid", "k")
+    got = df.select("s", "k", "mid", first.alias("first"), end.alias("end")).collect()
+    assert [(r["s"], r["k"], r["mid"]) for r in got] == [r[:3] for r in rows]
+    inside = [r for r in got if r["mid"] is not None]
+    assert [r["end"] for r in inside] == [r[3] for r in rows[1:]] and all(0 <= r["first"] <= r["mid"] < r["end"] <= r["k"] for r in inside)
+
+
+def test_published_classes_leave_gaps_out(spark):
+    df = spark.createDataFrame([(1.0,), (2.0,), (4.0,), (None,), (float("nan"),)], "h double")
+    got = df.select(classes.gap_class("h", 1.5, 3.0).alias("g"), classes.scaled_class("h", 0.5, [0.75, 1.25, 2.0]).alias("s")).collect()
+    assert [r["g"] for r in got] == [0, None, 1, None, None] and [r["s"] for r in got] == [None, 0, None, None, None]
+
+
+def test_bulletin_about_another_place_is_refused(spark):
+    docs = spark.createDataFrame([("a/gfswave.S1.bull", " Location : S2\n"), ("a/gfswave.S3.bull.idx", " Location : S9\n")], "path string, doc string")
+    with pytest.raises(ValueError, match="another place"):
+        listings.selected_bulletins(docs, "doc", "path", ["S1", "S3"])
+    assert listings.selected_bulletins(docs, "doc", "path", ["S3"]).count() == 0
+
+
+def test_age_guard_refuses_what_it_counts(spark):
+    df = spark.createDataFrame([("2024-01-01 00:00:00",), ("2024-03-01 00:00:00",), (None,)], "t string").withColumn("t", F.col("t").cast("timestamp"))
+    now = F.lit("2024-03-31 00:00:00").cast("timestamp")
+    row = assembly.age_counts(df, "t", now, "60d").first()
+    assert (row["rows"], row["too_old"], row["youngest_days"]) == (3, 1, 30.0)
+    assert assembly.check_age(df, "t", now, "60d", allowed=1).count() == 3
+    with pytest.raises(ValueError, match="older than 60d"):
+        assembly.check_age(df, "t", now, "60d")

@@ -36,6 +36,15 @@ def test_ordered_specs(spark):
     assert rows(ordered(df, [], ["i"], **specs)) == rows(ordered(df, [], ["i"], limit=50, **specs))
 
 
+def test_looking_ahead_reads_a_key_once(spark):
+    """A frame that ends with the partition is read anew for each row, which takes the square of a key's rows."""
+    df = spark.range(1000).select(F.lit("a").alias("k"), "id", F.when(F.col("id") % 7 == 0, F.col("id")).alias("v"))
+    for limit in (None, 100):
+        out = ordered(df, ["k"], ["id"], limit=limit, x=NextKnown(F.col("v")))
+        assert "currentrow$(), unboundedfollowing$()" not in out._jdf.queryExecution().optimizedPlan().toString().lower()
+        assert out.where(~F.col("x").eqNullSafe(F.when(F.col("id") <= 994, F.ceil(F.col("id") / 7) * 7))).count() == 0
+
+
 def test_no_chunk_holds_a_hot_key(spark):
     df = spark.range(20000).withColumn("k", F.lit("a"))
     out = ordered(df, ["k"], ["id"], limit=100, s=RunningSum(F.lit(1)))

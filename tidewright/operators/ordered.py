@@ -88,14 +88,19 @@ def ordered(
 
 
 def _window(columns: Sequence[str], order: Sequence[str]):
-    by = [F.col(c) for c in columns] or [F.lit(0)]
-    return Window.partitionBy(*by).orderBy(*[F.col(o).asc_nulls_first() for o in order])
+    """The window in ascending order and in the reverse of it."""
+    by = Window.partitionBy(*([F.col(c) for c in columns] or [F.lit(0)]))
+    return by.orderBy(*[F.col(o).asc_nulls_first() for o in order]), by.orderBy(*[F.col(o).desc_nulls_last() for o in order])
 
 
-def _local(spec: Spec, w) -> Column:
-    """The spec inside one window partition; row neighbours come wrapped in a struct."""
+def _local(spec: Spec, windows) -> Column:
+    """The spec inside one window partition; row neighbours come wrapped in a struct.
+
+    Looking ahead is looking back in reverse: a frame that ends with the partition is read anew for each row.
+    """
+    w, reverse = windows
     to_here = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    from_here = w.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    from_here = reverse.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     if isinstance(spec, Prev):
         return F.lag(F.struct(spec.value.alias("v"))).over(w)
     if isinstance(spec, Next):
@@ -104,7 +109,7 @@ def _local(spec: Spec, w) -> Column:
         return F.sum(spec.value).over(to_here)
     if isinstance(spec, LastKnown):
         return F.last(spec.value, ignorenulls=True).over(to_here)
-    return F.first(spec.value, ignorenulls=True).over(from_here)
+    return F.last(spec.value, ignorenulls=True).over(from_here)
 
 
 def _by_key(df, keys, order, specs) -> DataFrame:

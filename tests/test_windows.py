@@ -74,6 +74,33 @@ def test_hot_site_is_split(spark):
     assert all(whole[k]["bins_m2"] == pytest.approx(split[k]["bins_m2"]) and whole[k]["n_records"] == split[k]["n_records"] == 300 for k in whole)
 
 
+def test_no_pairs_and_the_same_as_pairs(spark):
+    """Blocks of half an hour, several records at one instant, a target that comes twice, missing sites and peaks."""
+    at = lambda m: T + timedelta(minutes=m)
+    records = [(k, None if k % 23 == 0 else "ab"[k % 2], at((k * 7) % 200 + (k % 5 == 0) * 0.5), [float(k % 4), float(k * k % 5), float(k % 3 > 1)], 0.15, [90.0 * k % 380] * 3, [0.5] * 3) for k in range(120)]
+    targets = [(f"t{k % 50}", None if k == 7 else "ab"[k % 2], at((k * 11) % 260 - 30), 20.0) for k in range(60)]
+    got = label(spark, records, targets)
+    for tid in {t[0] for t in targets}:
+        pairs = [((t[2] - r[2]).total_seconds(), r) for t in targets for r in records if t[0] == tid and t[1] is not None and t[1] == r[1] and abs((t[2] - r[2]).total_seconds()) <= 1800]
+        x = got[tid]
+        assert x["n_records"] == len(pairs)
+        if not pairs:
+            assert x["offset_s"] is None and x["bins_m2"] is None and x["tp_range_s"] is None
+            continue
+        peak = lambda r: 1 / [0.1, 0.2, 0.4][r[3].index(max(r[3]))] if max(r[3]) > 0 else None
+        off, near = min(pairs, key=lambda p: (abs(p[0]), -p[0], p[1][0]))
+        peaks = [peak(r) for _, r in pairs if peak(r)]
+        assert x["offset_s"] == off and x["tp_nearest_s"] == (peak(near) and pytest.approx(peak(near)))
+        assert x["tp_range_s"] == (pytest.approx(max(peaks) - min(peaks)) if peaks else None)
+        assert x["bins_m2"] == pytest.approx([w * sum(r[3][k] for _, r in pairs) / len(pairs) for k, w in enumerate((0.1, 0.1, 0.2))])
+    t = spark.createDataFrame(targets, "tid string, site string, time_utc timestamp, depth double")
+    out = window_labels.window_spectra(
+        t, spark.createDataFrame(records, RECORD), centers=[0.1, 0.2, 0.4], widths=[0.1, 0.1, 0.2], window="30min", by=["site"], target_id="tid", record_id="rid", bands=[("low", 0.0, 0.2)]
+    )
+    joins = [x for x in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join " in x]
+    assert joins and not [x for x in joins if "site#" in x]
+
+
 def test_product_twice_is_refused(spark):
     a = spark.createDataFrame([(1, 1.0), (2, 2.0)], "t int, v double")
     assert sorted(map(tuple, window_labels.product_table({"a": a, "b": a.where("t = 2")}, ["t"], "v").collect())) == [(1, 1.0, None), (2, 2.0, 2.0)]

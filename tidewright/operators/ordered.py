@@ -42,6 +42,20 @@ class RunningSum:
     value: Column
 
 
+@dataclass(frozen=True)
+class RunningMin:
+    """Smallest value up to and including the row."""
+
+    value: Column
+
+
+@dataclass(frozen=True)
+class RunningMax:
+    """Largest value up to and including the row."""
+
+    value: Column
+
+
 @dataclass(frozen=True)
 class LastKnown:
     """Latest non-NULL value at or before the row."""
@@ -56,7 +70,9 @@ class NextKnown:
     value: Column
 
 
-Spec = Prev | Next | RunningSum | LastKnown | NextKnown
+Spec = Prev | Next | RunningSum | RunningMin | RunningMax | LastKnown | NextKnown
+#: What a running value is made with, and how two parts of it become one.
+RUNNING = {RunningSum: (F.sum, lambda a, b: a + b), RunningMin: (F.min, F.least), RunningMax: (F.max, F.greatest)}
 
 
 def position() -> RunningSum:
@@ -105,8 +121,8 @@ def _local(spec: Spec, windows) -> Column:
         return F.lag(F.struct(spec.value.alias("v"))).over(w)
     if isinstance(spec, Next):
         return F.lead(F.struct(spec.value.alias("v"))).over(w)
-    if isinstance(spec, RunningSum):
-        return F.sum(spec.value).over(to_here)
+    if type(spec) in RUNNING:
+        return RUNNING[type(spec)][0](spec.value).over(to_here)
     if isinstance(spec, LastKnown):
         return F.last(spec.value, ignorenulls=True).over(to_here)
     return F.last(spec.value, ignorenulls=True).over(from_here)
@@ -127,8 +143,8 @@ def _summary(spec: Spec, rank: Column) -> Column:
         return F.max_by(F.struct(spec.value.alias("v")), rank)
     if isinstance(spec, Next):
         return F.min_by(F.struct(spec.value.alias("v")), rank)
-    if isinstance(spec, RunningSum):
-        return F.sum(spec.value)
+    if type(spec) in RUNNING:
+        return RUNNING[type(spec)][0](spec.value)
     known = F.when(spec.value.isNotNull(), rank)
     return F.max_by(spec.value, known) if isinstance(spec, LastKnown) else F.min_by(spec.value, known)
 
@@ -140,8 +156,8 @@ def _carry(spec: Spec, name: str, w) -> Column:
         return F.lag(name).over(w)
     if isinstance(spec, Next):
         return F.lead(name).over(w)
-    if isinstance(spec, RunningSum):
-        return F.sum(name).over(before)
+    if type(spec) in RUNNING:
+        return RUNNING[type(spec)][0](name).over(before)
     if isinstance(spec, LastKnown):
         return F.last(name, ignorenulls=True).over(before)
     return F.first(name, ignorenulls=True).over(after)
@@ -170,8 +186,8 @@ def _by_chunk(df, keys, order, specs) -> DataFrame:
     out = out.join(F.broadcast(carry), on, "left")
     for name, spec in specs.items():
         here, past = F.col(f"_local_{name}"), F.col(f"_carry_{name}")
-        if isinstance(spec, RunningSum):
-            value = F.when(past.isNull(), here).when(here.isNull(), past).otherwise(here + past)
+        if type(spec) in RUNNING:
+            value = F.when(past.isNull(), here).when(here.isNull(), past).otherwise(RUNNING[type(spec)][1](here, past))
         else:
             value = F.coalesce(here, past)
         out = out.withColumn(name, value.getField("v") if isinstance(spec, Prev | Next) else value)

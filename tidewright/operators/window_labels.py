@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.base import PI, divide, duration_us, finite, micros
 from ..functions.waves import wavenumber
-from .align import pair_nearest, pair_window
+from .align import pair_nearest
+from .ordered import RunningMax, RunningMin, RunningSum, ordered
 
 #: Share of the wind-sea energy that must have a measured direction.
 MIN_COVERAGE = 0.95
@@ -52,6 +54,32 @@ def _record_sums(records: DataFrame, centers: Sequence[float], widths: Sequence[
     return rows.withColumns(sums | {"_peak": peak, "_wind": split & (sep <= F.lit(float(max(centers))))}).drop("_bins")
 
 
+def _window_totals(
+    targets: DataFrame, records: DataFrame, *, window: int, by: Sequence[str], target_id: str, time: str, totals: Sequence[str], low: Sequence[str], high: Sequence[str], limit: int | None,
+) -> DataFrame:
+    """(target_id, totals, low, high) over the records within ``window`` microseconds (closed) of the rows of a target.
+
+    Time is cut into blocks as long as the window. Around a target lie its whole block, the end of the block before and
+    the beginning of the next one: values that run through each block forwards and backwards, so the work grows with the
+    rows, not with the pairs, and nothing is taken off a sum again.
+    """
+    block = F.col(time) - F.pmod(F.col(time), F.lit(window))
+    spot = lambda start, way, at: F.struct(start.alias("_block"), F.lit(way).alias("_way"), at.alias("_at"))
+    both = F.array(spot(block, 1, F.col(time)), spot(block, -1, -F.col(time)))
+    around = F.array(
+        spot(block, 1, block + window - 1), spot(block + window, 1, F.col(time) + window), spot(block - window, -1, window - F.col(time))
+    )
+    values = [*totals, *low, *high]
+    passing = records.select(*by, F.lit(0).alias("_side"), F.inline(both), *values)
+    asked = targets.select(*by, F.lit(1).alias("_side"), F.inline(around), F.col(target_id).alias("_target"))
+    kinds = [(RunningSum, totals), (RunningMin, low), (RunningMax, high)]
+    specs = {f"_run{c}": kind(F.col(c)) for kind, names in kinds for c in names}
+    rows = ordered(passing.unionByName(asked, allowMissingColumns=True), [*by, "_block", "_way"], ["_at", "_side"], limit=limit, **specs)
+    found = rows.where((F.col("_side") == 1) & F.col(f"_run{totals[0]}").isNotNull())
+    merged = [f(f"_run{c}").alias(c) for f, names in ((F.sum, totals), (F.min, low), (F.max, high)) for c in names]
+    return found.groupBy(F.col("_target").alias(target_id)).agg(*merged)
+
+
 def window_spectra(
     targets: DataFrame, records: DataFrame, *, centers: Sequence[float], widths: Sequence[float], window: str, by: Sequence[str], target_id: str, record_id: str,
     bands: Sequence[tuple[str, float, float]], target_time: str = "time_utc", record_time: str = "time_utc", density: str = "density", separation: str = "separation_hz",
@@ -59,8 +87,8 @@ def window_spectra(
 ) -> DataFrame:
     """One row per target from the mean spectrum of the records within ``window`` (closed) of it.
 
-    Records with a missing or negative bin are left out. A bin is summed as a column of its own, so a pair of
-    target and record stays one row. Columns: ``n_records``; ``offset_s`` (target minus nearest record, the
+    Records with a missing or negative bin are left out. A bin is summed as a column of its own, and no pairs of
+    targets and records are made. Columns: ``n_records``; ``offset_s`` (target minus nearest record, the
     earlier one of two) and its peak period ``tp_nearest_s``; ``tp_window_s`` of the mean spectrum;
     ``tp_range_s`` of the records' peak periods; ``slope``, ``slope_low`` (bins up to ``slope_below``) and, with a
     depth, ``slope_depth``; ``<band>_m2`` of every band [low, high); ``bins_m2``; ``coverage``, the share of
@@ -69,21 +97,32 @@ def window_spectra(
     """
     n, f, w = len(centers), _numbers(centers), _numbers(widths)
     sums = _record_sums(records, centers, widths, density, separation, direction, spread)
-    sums = sums.withColumns({"_start": F.col(record_time), "_stop": F.col(record_time)})
-    values = [density, "_all", "_measured", "_x", "_y", "_peak", "_wind"]
-    pairs = pair_window(
-        targets, sums, window=window, by=by, target_id=target_id, reference_id=record_id, target_time=target_time,
-        reference_start="_start", reference_end="_stop", values=values, rank=False, limit=limit,
+    bins = [f"_d{k}" for k in range(n)]
+    parts = ["_all", "_measured", "_x", "_y"]
+    here = [F.col(c).isNotNull() for c in by]
+    known = lambda df, *more: df.where(reduce(Column.__and__, here + [F.col(c).isNotNull() for c in more]))
+    span = duration_us(window)
+    # Records of one instant are in the same windows.
+    instants = known(sums.withColumn("_us", micros(record_time)), "_us").groupBy(*by, "_us").agg(
+        F.count(F.lit(1)).alias("_n"), *[F.sum(F.col(density)[k]).alias(c) for k, c in enumerate(bins)], *[F.sum(c).alias(c) for c in parts],
+        F.min("_peak").alias("_peak_low"), F.max("_peak").alias("_peak_high"), F.min("_wind").alias("_wind"),
+        F.min_by(F.struct(F.col(record_id).alias("id"), F.col("_peak").alias("peak")), F.struct(record_id)).alias("_first"),
     )
-    nearest = F.struct(F.abs("offset_s"), -F.col("offset_s"), F.col(record_id))
-    means = pairs.groupBy(target_id).agg(
-        F.count(F.lit(1)).alias("n_records"),
-        F.min_by(F.struct("offset_s", "_peak"), nearest).alias("_near"),
-        F.array(*[F.avg(F.col(density)[k]) for k in range(n)]).alias("_mean"),
-        (F.max("_peak") - F.min("_peak")).alias("tp_range_s"),
-        *[F.sum(c).alias(c) for c in ("_all", "_measured", "_x", "_y")],
-        F.bool_and("_wind").alias("_wind"),
+    asked = known(targets.select(*by, target_id, target_time, micros(target_time).alias("_us")), target_id, "_us")
+    totals = _window_totals(
+        asked, instants, window=span, by=by, target_id=target_id, time="_us", totals=["_n", *bins, *parts], low=["_peak_low", "_wind"], high=["_peak_high"], limit=limit
     )
+    hits = pair_nearest(
+        asked, instants.select(*by, F.timestamp_micros("_us").alias("_at"), "_first"), tolerance=window, by=by, target_time=target_time, reference_time="_at", values=["_first"], limit=limit
+    ).where("reference_us is not null")
+    off = F.col("time_offset_s")
+    nearest = hits.groupBy(target_id).agg(
+        F.min_by(F.struct(off.alias("offset_s"), F.col("_first_ref.peak").alias("_peak")), F.struct(F.abs(off), -off, F.col("_first_ref.id"))).alias("_near")
+    )
+    means = totals.join(nearest, target_id).select(
+        target_id, F.col("_n").alias("n_records"), "_near", F.array(*[F.col(c) / F.col("_n") for c in bins]).alias("_mean"),
+        (F.col("_peak_high") - F.col("_peak_low")).alias("tp_range_s"), *parts, "_wind",
+    )
     energy = F.zip_with("_mean", w, lambda x, y: x * y)
     out = targets.join(means, target_id, "left").withColumn("bins_m2", energy)
 

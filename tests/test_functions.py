@@ -116,3 +116,18 @@ def test_hamming_join_against_brute_force(spark):
             continue
         got = leakage.near_duplicates(dl, dr, "h", max_hamming=4, bands=bands, limit=20).collect()
         assert {(r["left_hash"], r["right_hash"]): r["n_pairs"] for r in got} == want
+
+
+def test_regrid_adds_up_records_before_bins_are_rows(spark):
+    rows = [(k % 3, 0.1 * (k // 3), 0.1 * (k // 3) + 0.1, None if k == 4 else float(k)) for k in range(30)]
+    df = spark.createDataFrame(rows, "r int, edge_lo double, edge_hi double, spectral_density_m2_hz double")
+    out = spectra.regrid(df, ["r"], [0.0, 0.25, 0.5, 1.5])
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("Aggregate") and "Generate" not in plan[plan.index("Aggregate") :]
+    got = {(r["r"], r["edge_lo"]): r["spectral_density_m2_hz"] for r in out.collect()}
+    for (r, lo), d in got.items():
+        hi = {0.0: 0.25, 0.25: 0.5, 0.5: 1.5}[lo]
+        parts = [(x, min(b, hi) - max(a, lo)) for own, a, b, x in rows if own == r and min(b, hi) > max(a, lo)]
+        gap = hi > 1.0 or any(x is None for x, _ in parts)
+        assert (d is None) == gap and (gap or abs(d - sum(x * w for x, w in parts) / (hi - lo)) < 1e-9)
+    assert len(got) == 9

@@ -126,22 +126,18 @@ def regrid(spectra: DataFrame, record: Sequence[str], edges: Sequence[float]) ->
 
     A target bin is NULL if it reaches outside the source range or touches a missing bin.
     """
-    bins = F.array(*[F.struct(F.lit(float(a)).alias("lo"), F.lit(float(b)).alias("hi"))
-                     for a, b in zip(edges[:-1], edges[1:], strict=True)])
-    overlap = F.least(F.col("edge_hi"), F.col("_b.hi")) - F.greatest(F.col("edge_lo"), F.col("_b.lo"))
-    s = finite(DENSITY)
-    # One row per (source bin, target bin) that overlap; the bins are a fixed parameter list.
-    parts = (
-        spectra.select(*record, "edge_lo", "edge_hi", s.alias("_s"), F.explode(bins).alias("_b"))
-        .withColumn("_o", F.greatest(overlap, F.lit(0.0)))
-        .groupBy(*record, "_b")
-        .agg(
-            F.sum(F.col("_s") * F.col("_o")).alias("_e"),
-            F.count_if(F.col("_s").isNull() & (F.col("_o") > 0)).alias("_gaps"),
-            F.min("edge_lo").alias("_lo"),
-            F.max("edge_hi").alias("_hi"),
-        )
-    )
+    s = F.col("_s")
+    # The bins are a fixed parameter list: two sums for each, so a record is one row until its bins are told apart.
+    aggs, bins = [], []
+    for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+        lo, hi = F.lit(float(a)), F.lit(float(b))
+        overlap = F.greatest(F.least(F.col("edge_hi"), hi) - F.greatest(F.col("edge_lo"), lo), F.lit(0.0))
+        aggs += [F.sum(s * overlap).alias(f"_e{k}"), F.count_if(s.isNull() & (overlap > 0)).alias(f"_gaps{k}")]
+        here = F.struct(lo.alias("lo"), hi.alias("hi"))
+        bins.append(F.struct(here.alias("_b"), F.col(f"_e{k}").alias("_e"), F.col(f"_gaps{k}").alias("_gaps")))
+    whole = spectra.select(*record, "edge_lo", "edge_hi", finite(DENSITY).alias("_s")).groupBy(*record)
+    whole = whole.agg(*aggs, F.min("edge_lo").alias("_lo"), F.max("edge_hi").alias("_hi"))
+    parts = whole.select(*record, "_lo", "_hi", F.inline(F.array(*bins)))
     inside = (F.col("_b.lo") >= F.col("_lo") - 1e-12) & (F.col("_b.hi") <= F.col("_hi") + 1e-12)
     density = F.when(inside & (F.col("_gaps") == 0), F.col("_e") / (F.col("_b.hi") - F.col("_b.lo")))
     return parts.select(

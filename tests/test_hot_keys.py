@@ -1,15 +1,18 @@
 """One key holds a third of all rows or more; both plans must give the same answers."""
 
+import math
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from tidewright.functions.geo import EARTH_RADIUS_M
 from tidewright.operators import align, archive, conformal, crossings, metrics, qc, splits, stations
 from tidewright.operators.ordered import LastKnown, Next, NextKnown, Prev, RunningSum, ordered
 from tidewright.operators.quantiles import average_rank, quantiles
 from tidewright.operators.skew import salted_join
 from tidewright.session import table
+from tidewright.sources import fields
 
 
 @pytest.fixture(scope="module")
@@ -209,3 +212,42 @@ def test_event_scores_both_plans(events):
         assert r["hits"] == hits
         if r["user_id"] == 7:
             break
+
+
+def counted(monkeypatch, module):
+    """Candidate rows of the joins that a module makes from now on, and the cells they meet in."""
+    seen = []
+
+    def joined(left, right, on, **kw):
+        out = salted_join(left, right, on, **kw)
+        seen.append((out.count(), right.select(*on).distinct().count()))
+        return out
+
+    monkeypatch.setattr(module, "salted_join", joined)
+    return seen
+
+
+def globe(n, seed):
+    rng = random.Random(seed)
+    return [(i, math.degrees(math.asin(rng.uniform(-1, 1))), rng.uniform(-180, 180)) for i in range(n)]
+
+
+def metres(a, b):
+    p, q = math.radians(a[1]), math.radians(b[1])
+    h = math.sin((q - p) / 2) ** 2 + math.cos(p) * math.cos(q) * math.sin(math.radians(b[2] - a[2]) / 2) ** 2
+    return 2 * EARTH_RADIUS_M * math.asin(math.sqrt(min(1, h)))
+
+
+def test_nearest_points_of_a_dense_grid(spark, monkeypatch):
+    """Cells get narrower with the number of positions, and points at one position are one row."""
+    seen = counted(monkeypatch, fields)
+    sites, points = globe(50, 1), globe(3000, 2)
+    points += [(9000 + i, *points[0][1:]) for i in range(2000)]
+    out = fields.nearest_points(
+        spark.createDataFrame(sites, "site int, lat double, lon double"), spark.createDataFrame(points, "point int, lat double, lon double"), start_km=3000
+    )
+    got = {r["site"]: (r["point"], r["distance_km"]) for r in out.collect()}
+    for s in sites:
+        d, p = min((metres(s, p), p[0]) for p in points)
+        assert got[s[0]] == (p, pytest.approx(d / 1000))
+    assert sum(n for n, _ in seen) < 5000

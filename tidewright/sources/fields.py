@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.angles import polar_from_fourier
 from ..functions.base import divide, finite
-from ..functions.geo import haversine_m
+from ..functions.geo import EARTH_RADIUS_M, haversine_m
 from ..operators.align import point_in_interval
 from ..operators.skew import salted_join
 from ..operators.stations import _cells
@@ -69,11 +70,15 @@ def nearest_points(sites: DataFrame, points: DataFrame, *, start_km: float = 50.
 
     ``sites``: site, lat, lon. ``points``: point, lat, lon. Partners are looked for in
     neighbouring cells; sites without one look again twice as far, so the result is exact without
-    comparing every site with every point.
+    comparing every site with every point. The first cells are at most ``start_km`` wide, and narrower
+    the more positions there are, so a cell holds a few of them on average.
     """
     left = materialise(sites.select("site", "lat", "lon"))
-    right = points.select("point", F.col("lat").alias("plat"), F.col("lon").alias("plon"))
-    found, km = None, start_km
+    # Points at one position are one row: the lowest of them is the nearest.
+    spots = points.where("lat is not null and lon is not null").groupBy(F.col("lat").alias("plat"), F.col("lon").alias("plon"))
+    right = materialise(spots.agg(F.min(F.struct("point")).alias("_p")).select("_p.point", "plat", "plon"))
+    spacing = 2 * EARTH_RADIUS_M / 1000 * math.sqrt(math.pi / max(right.count(), 1))
+    found, km = None, min(start_km, spacing)
     steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(k).alias("k"))
                       for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)])
     while True:

@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 from itertools import combinations
+from math import comb
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.base import US, duration_us
 from ..functions.stats import seeded_hash
+from ..session import materialise
 from .align import pair_nearest
 from .ordered import ordered, position
 from .quantiles import quantiles
@@ -58,6 +60,59 @@ def _signed(mask: int) -> int:
     return mask - (1 << 64) if mask >= 1 << 63 else mask
 
 
+#: Bands that meet a larger share of all pairs than this save nothing: comparing numbers is far cheaper than joining rows.
+DENSE = 0.005
+#: Hashes of a side in one comparison, of the left side at a time, and pairs sent on at once.
+BLOCK, STEP, SENT = 16_384, 8, 65_536
+
+
+def _blocks(side: DataFrame, value: str, count: str, n: int, name: str) -> DataFrame:
+    """(name, value, count): hashes and their counts as arrays of about ``BLOCK``."""
+    rows = side.groupBy(F.pmod(F.xxhash64(value), F.lit(n)).alias(name)).agg(F.collect_list(F.struct(value, count)).alias("_s"))
+    return rows.select(name, *[F.col(f"_s.{c}").alias(c) for c in (value, count)])
+
+
+def _compare(max_hamming: int):
+    def compare(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        def batch(found):
+            left, right, distance, pairs = (np.concatenate(x) for x in zip(*found, strict=True))
+            return pa.RecordBatch.from_pydict({
+                "left_hash": left.view(np.int64), "right_hash": right.view(np.int64), "distance": pa.array(distance, pa.int32()), "n_pairs": pairs,
+            })
+
+        for rows in batches:
+            for k in range(rows.num_rows):
+                a, na, b, nb = (np.asarray(rows.column(c)[k].values) for c in ("left_hash", "_na", "right_hash", "_nb"))
+                a, b, found, n = a.view(np.uint64), b.view(np.uint64), [], 0
+                for start in range(0, len(a), STEP):
+                    bits = np.bitwise_count(a[start : start + STEP, None] ^ b[None, :])
+                    i, j = np.nonzero(bits <= max_hamming)
+                    if len(i):
+                        found.append((a[start + i], b[j], bits[i, j], na[start + i] * nb[j]))
+                        n += len(i)
+                    if n >= SENT:
+                        yield batch(found)
+                        found, n = [], 0
+                if found:
+                    yield batch(found)
+
+    return compare
+
+
+def _all_pairs(a: DataFrame, b: DataFrame, max_hamming: int) -> DataFrame:
+    """The pairs of two tables of distinct hashes, every block of the one compared with every block of the other."""
+    a, b = materialise(a), materialise(b)
+    n, m = (max(1, -(-x.count() // BLOCK)) for x in (a, b))
+    left = _blocks(a, "left_hash", "_na", n, "_i").withColumn("_j", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(m - 1).cast("bigint"))))
+    right = _blocks(b, "right_hash", "_nb", m, "_j").withColumn("_i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))))
+    # A task has a few comparisons, whatever Spark makes of their size in bytes.
+    both = left.repartition(n * m, "_i", "_j").hint("merge").join(right.repartition(n * m, "_i", "_j"), ["_i", "_j"])
+    return both.select("left_hash", "_na", "right_hash", "_nb").mapInArrow(_compare(max_hamming), "left_hash long, right_hash long, distance int, n_pairs long")
+
+
 def near_duplicates(
     left: DataFrame, right: DataFrame, column: str, *, max_hamming: int = 4, bands: int = 3, limit=None
 ) -> DataFrame:
@@ -66,13 +121,16 @@ def near_duplicates(
     Copies are counted first, so a group of equal hashes is one row on each side and
     ``n_pairs`` multiplies the counts. Of ``bands`` bands at least one differs in at most
     ``max_hamming // bands`` bits (pigeonhole), so one side probes its own value and those few
-    neighbours. A pair is kept in its first qualifying band only; the result is exact.
+    neighbours. A pair is kept in its first qualifying band only; the result is exact. Where so many hashes share a
+    neighbour that the bands would meet a good part of all pairs, blocks of hashes are compared instead, all with all.
     """
     radius = max_hamming // bands
     a = left.groupBy(F.col(column).alias("left_hash")).agg(F.count(F.lit(1)).alias("_na"))
     b = right.groupBy(F.col(column).alias("right_hash")).agg(F.count(F.lit(1)).alias("_nb"))
     a, b = a.where("left_hash is not null"), b.where("right_hash is not null")
     layout = _bands(bands)
+    if sum(sum(comb(w, r) for r in range(radius + 1)) / 2**w for _, w in layout) > DENSE:
+        return _all_pairs(a, b, max_hamming)
     masks = [_signed(((1 << w) - 1) << s) for s, w in layout]
 
     def band_value(h: str, i: int) -> Column:

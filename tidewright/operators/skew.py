@@ -10,6 +10,17 @@ from pyspark.sql import functions as F
 from ..session import materialise, rows_per_task
 
 MAX_HOT_KEYS = 100_000
+#: Rows that one task of :func:`dealt` sorts or groups.
+DEALT_ROWS = 500_000
+
+
+def dealt(df: DataFrame, on: Sequence[str], rows: int) -> DataFrame:
+    """``df``, which has ``rows`` rows, by key in tasks of about ``DEALT_ROWS`` rows; a small table as it is.
+
+    Spark joins shuffled partitions until there are about as many as cores, so a task grows with the table.
+    """
+    n = -(-rows // DEALT_ROWS)
+    return df if n <= 1 else df.repartition(max(n, df.sparkSession.sparkContext.defaultParallelism), *on)
 
 
 def _broadcast_rows(df: DataFrame) -> int:
@@ -42,13 +53,15 @@ def _hot_keys(left: DataFrame, right: DataFrame, on: Sequence[str], limit: int)
 
 
 def salted_join(
-    left: DataFrame, right: DataFrame, on: Sequence[str], *, how: str = "inner", limit: int | None = None
+    left: DataFrame, right: DataFrame, on: Sequence[str], *, how: str = "inner", limit: int | None = None, counted: str | None = None
 ) -> DataFrame:
     """Join on ``on`` (never NULL); a hot key becomes a grid of (left slice, right slice) tasks.
 
     Both sides may be hot. ``how`` is ``inner``, or ``left``, which attaches a table with one row
     per key: that table is computed once, and broadcast if its row count proves it small, so the
-    left side is not even shuffled; otherwise the left side is split where it is hot.
+    left side is not even shuffled; otherwise the left side is split where it is hot. ``counted`` names a column
+    of that table with the left rows of each key (a bound is enough; keys without a row have few), which saves the
+    counting pass.
     """
     asked = limit
     limit = limit or rows_per_task(left.sparkSession)
@@ -56,6 +69,8 @@ def salted_join(
         right = materialise(right)
         if asked is None and right.count() <= _broadcast_rows(right):
             return left.join(F.broadcast(right), list(on), how)
+        if counted and (right.agg(F.max(counted)).first()[0] or 0) <= limit:
+            return left.join(right, list(on), how)
     hot = _hot_keys(left, right, on, limit)
     if hot is None:
         return left.join(right, list(on), how)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import assembly
+from ..operators.skew import dealt
 from .registry import Tables, query, r6, sql_r6
 
 
@@ -86,7 +87,8 @@ def elements_in_range(t: Tables) -> DataFrame:
 )
 def lines_wide(t: Tables) -> DataFrame:
     """Order lines side by side; repeated line numbers are settled first, or the pivot would refuse them."""
-    one = t.lineitem.groupBy("l_orderkey", "l_linenumber").agg(F.max("l_extendedprice").alias("l_extendedprice"))
+    lines = dealt(t.lineitem.select("l_orderkey", "l_linenumber", "l_extendedprice"), ["l_orderkey"], t.lineitem.count())
+    one = lines.groupBy("l_orderkey", "l_linenumber").agg(F.max("l_extendedprice").alias("l_extendedprice"))
     return assembly.wide_unique(one, ["l_orderkey"], "l_linenumber", "l_extendedprice", [1, 2, 3])
 
 

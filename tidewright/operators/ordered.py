@@ -88,6 +88,12 @@ def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
     return top or 0
 
 
+def group_sizes(df: DataFrame, keys: Sequence[str]) -> tuple[int, int]:
+    """Rows of the largest key and of the table, counted like :func:`largest_group`."""
+    top, total = df.groupBy(*keys).count().agg(F.max("count"), F.sum("count")).first()
+    return top or 0, total or 0
+
+
 def ordered(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], *, limit: int | None = None, largest: int | None = None, **specs: Spec
 ) -> DataFrame:

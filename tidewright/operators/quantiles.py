@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..session import rows_per_task
-from .ordered import RunningSum, largest_group, ordered
-from .skew import salted_join
+from ..session import materialise, rows_per_task
+from .ordered import RunningSum, group_sizes, largest_group, ordered
+from .skew import dealt, salted_join
 
 WHOLE = "_whole"
 
@@ -71,29 +71,48 @@ def median(df: DataFrame, by: Sequence[str], value: str, name: str, **kw) -> Dat
     return quantiles(df, by, value, {name: 0.5}, **kw)
 
 
+def average_ranks(
+    df: DataFrame, by: Sequence[str], wanted: Mapping[str, str], *, limit: int | None = None
+) -> DataFrame:
+    """Ranks from 1 of some columns (column to new name) with ties sharing their average rank.
+
+    Small groups are dealt over the tasks once and sorted once for each column. The ranks of a hot group come from its
+    values' counts and are joined to its rows.
+    """
+    asked = limit
+    limit = limit or rows_per_task(df.sparkSession)
+    rows, keys = _keyed(df, by)
+    largest, total = group_sizes(rows, keys)
+    if largest <= limit:
+        rows = dealt(rows, keys, total)
+        for value, output in wanted.items():
+            w = Window.partitionBy(*keys).orderBy(value)
+            ties = F.count(F.lit(1)).over(w.rangeBetween(Window.currentRow, Window.currentRow))
+            rows = rows.withColumn(output, F.rank().over(w) + (ties - 1) / 2)
+        return rows.drop(WHOLE)
+    for value, output in wanted.items():
+        counts = materialise(rows.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c")))
+        seen = ordered(counts, keys, [value], limit=limit, _cum=RunningSum(F.col("_c")))
+        ranks = seen.select(*keys, value, (F.col("_cum") - (F.col("_c") - 1) / 2).alias(output), "_c")
+        on = [*keys, value]
+        rows = salted_join(dealt(rows, on, total), ranks, on, how="left", limit=asked, counted="_c").drop("_c")
+    return rows.drop(WHOLE)
+
+
 def average_rank(
     df: DataFrame, by: Sequence[str], value: str, output: str, *, limit: int | None = None
 ) -> DataFrame:
     """Rank from 1 with ties sharing their average rank."""
-    limit = limit or rows_per_task(df.sparkSession)
-    rows, keys = _keyed(df, by)
-    if largest_group(rows, keys) <= limit:
-        w = Window.partitionBy(*keys)
-        same = Window.partitionBy(*keys, value)
-        rank = F.rank().over(w.orderBy(value)) + (F.count(F.lit(1)).over(same) - 1) / 2
-        return rows.withColumn(output, rank).drop(WHOLE)
-    counts = rows.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
-    seen = ordered(counts, keys, [value], limit=limit, _cum=RunningSum(F.col("_c")))
-    ranks = seen.select(*keys, value, (F.col("_cum") - (F.col("_c") - 1) / 2).alias(output))
-    return salted_join(rows, ranks, [*keys, value], how="left", limit=limit).drop(WHOLE)
+    return average_ranks(df, by, {value: output}, limit=limit)
 
 
 def spearman(
     df: DataFrame, by: Sequence[str], x: str, y: str, *, output: str = "spearman", limit: int | None = None, min_pairs: int = 3
 ) -> DataFrame:
     """Rank correlation of complete pairs; NULL below ``min_pairs`` or for a constant side."""
-    pairs = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    pairs = average_rank(average_rank(pairs, by, x, "_rx", limit=limit), by, y, "_ry", limit=limit)
+    pairs = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*dict.fromkeys([*by, x, y]))
+    pairs = average_ranks(pairs, by, {x: "_rx", y: "_ry"} if x != y else {x: "_rx"}, limit=limit)
+    pairs = pairs if x != y else pairs.withColumn("_ry", F.col("_rx"))
     usable = (F.count(F.lit(1)) >= min_pairs) & (F.max("_rx") > F.min("_rx")) & (F.max("_ry") > F.min("_ry"))
     rho = F.when(usable, F.corr("_rx", "_ry")).alias(output)
     return pairs.groupBy(*by).agg(rho) if by else pairs.agg(rho)

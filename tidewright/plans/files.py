@@ -24,7 +24,7 @@ def station_texts(t: Tables) -> str:
     k = F.lpad(F.col("event_id").cast("string"), 8, "0")
     line = F.concat_ws(" ", k, "event_type", (F.col("user_id") * 7).cast("string"))
     rows = t.events.select("user_id", line.alias("line"), F.concat(F.lit("station"), F.col("user_id").cast("string")).alias("top"))
-    rows.repartition("user_id").sortWithinPartitions("top", "line").select("top", "line").write.partitionBy("top").text(folder)
+    files.write_lines(rows.repartition("user_id").sortWithinPartitions("top", "line"), folder, top="top", line="line")
     return folder
 
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from .listings import image_camera, image_time
 
@@ -93,6 +94,73 @@ def heads(spark: SparkSession, folder: str, size: int = HEAD_BYTES, suffix: str
     return spark.read.format("file_heads").options(path=folder, bytes=size, suffix=suffix, filesPerTask=per_task).load()
 
 
+class LineWriter(DataSourceArrowWriter):
+    """A file for each run of rows with one ``top``, in a folder of that name.
+
+    It appears under its name when it is whole, and a task that is repeated puts it there again.
+    """
+
+    def __init__(self, options: dict):
+        self.folder = options["path"]
+
+    def write(self, batches: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
+        from pyspark import TaskContext
+
+        (fs, path), task, attempt = store(self.folder), TaskContext.get().partitionId(), uuid.uuid4().hex
+        out, current = None, None
+
+        def close() -> None:
+            out.close()
+            fs.move(f"{path}/{current}/_{attempt}", f"{path}/{current}/part-{task:05d}.txt")
+
+        for batch in batches:
+            tops = batch.column("top").to_pylist()
+            lines = batch.column("line").to_pylist()
+            start = 0
+            for k in range(1, len(tops) + 1):
+                if k < len(tops) and tops[k] == tops[start]:
+                    continue
+                if tops[start] != current:
+                    if out:
+                        close()
+                    current = tops[start]
+                    fs.create_dir(f"{path}/{current}", recursive=True)
+                    out = fs.open_output_stream(f"{path}/{current}/_{attempt}")
+                out.write("".join(f"{x}\n" for x in lines[start:k]).encode())
+                start = k
+        if out:
+            close()
+        return WriterCommitMessage()
+
+
+class LineFiles(DataSource):
+    """``df.write.format("line_files")`` of rows ``top, line``. Option: ``path``."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "line_files"
+
+    def schema(self) -> str:
+        return "top string, line string"
+
+    def writer(self, schema, overwrite: bool) -> LineWriter:
+        return LineWriter(dict(self.options))
+
+
+def write_lines(df: DataFrame, folder: str, *, top: str, line: str) -> None:
+    """One text file for each ``top``, in the folder ``top=<value>``; a row is a line, in the order of the rows.
+
+    The rows of a ``top`` are next to each other in one task. Opening many small files takes Spark's own writer some
+    calls of the shell each, which grow into most of the time.
+    """
+    spark = df.sparkSession
+    spark.dataSource.register(LineFiles)
+    fs, path = store(folder)
+    fs.create_dir(path, recursive=True)  # there even without rows
+    rows = df.select(F.concat(F.lit("top="), F.coalesce(top, F.lit("__HIVE_DEFAULT_PARTITION__"))).alias("top"), F.coalesce(line, F.lit("")).alias("line"))
+    rows.write.format("line_files").option("path", folder).mode("append").save()
+
+
 def bytes_needed(last: Column, now: Column, per_hour: int, most: int = HEAD_BYTES, margin_h: float = 2.0) -> Column:
     """How much of a file's head holds the rows since ``last``; everything if nothing is known."""
     hours = F.greatest((F.unix_micros(now) - F.unix_micros(last)) / 3.6e9, F.lit(0.0)) + margin_h

@@ -13,6 +13,9 @@ from ..session import materialise
 from .quantiles import quantiles
 from .skew import salted_join
 
+#: Stations of a cell that one task compares with those of another.
+CROWDED = 2_000
+
 
 def _cells(lat: str, lon: str, size_m: float) -> list[Column]:
     """Cell of a point on a grid in earth-centred coordinates: no poles, no date line."""
@@ -24,24 +27,35 @@ def _cells(lat: str, lon: str, size_m: float) -> list[Column]:
 def distance_pairs(stations: DataFrame, *, max_km: float, id_col: str = "station_id", limit=None) -> DataFrame:
     """Unordered station pairs within ``max_km``: ``a, b, distance_km``.
 
-    A chord is never longer than its arc, so partners lie in the 27 cells around a point.
+    A chord is never longer than its arc, so partners lie in the 27 cells around a point. Two neighbouring cells meet
+    once, crowded ones in slices, and the distance is worked out for pairs whose chord is short enough.
     """
     x, y, z = _cells("lat", "lon", max_km * 1000)
-    base = stations.select(F.col(id_col).alias("id"), "lat", "lon", x.alias("x"), y.alias("y"), z.alias("z"))
+    p, q = F.radians("lat"), F.radians("lon")
+    unit = {"ux": F.cos(p) * F.cos(q), "uy": F.cos(p) * F.sin(q), "uz": F.sin(p)}
+    base = stations.where(F.col(id_col).isNotNull()).select(
+        F.col(id_col).alias("id"), "lat", "lon", *[c.alias(n) for n, c in unit.items()], x.alias("x"), y.alias("y"), z.alias("z")
+    )
+    reach = (-1, 0, 1)
     steps = F.array(*[
         F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(k).alias("k"))
-        for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)
+        for i in reach for j in reach for k in reach if (i, j, k) >= (0, 0, 0)
     ])
-    left = base.select(
-        F.col("id").alias("a"), F.col("lat").alias("la"), F.col("lon").alias("oa"), "x", "y", "z",
-        F.explode(steps).alias("s"),
-    ).select("a", "la", "oa", *[(F.col(c) + F.col(f"s.{s}")).alias(c) for c, s in zip("xyz", "ijk", strict=True)])
-    right = base.select(F.col("id").alias("b"), F.col("lat").alias("lb"), F.col("lon").alias("ob"), "x", "y", "z")
-    d = haversine_m("la", "oa", "lb", "ob") / 1000
-    pairs = salted_join(left, right, ["x", "y", "z"], limit=limit)
-    return pairs.where("a < b").withColumn("distance_km", d).where(F.col("distance_km") <= max_km).select(
-        "a", "b", "distance_km"
-    )
+    near, far = ({c: f"{c}{side}" for c in ("id", "lat", "lon", *unit)} for side in (1, 2))
+    left = base.select("*", F.explode(steps).alias("s")).select(
+        *[F.col(c).alias(n) for c, n in near.items()], *[(F.col(c) + F.col(f"s.{s}")).alias(c) for c, s in zip("xyz", "ijk", strict=True)],
+        ((F.col("s.i") == 0) & (F.col("s.j") == 0) & (F.col("s.k") == 0)).alias("_own"),
+    )
+    right = base.select(*[F.col(c).alias(n) for c, n in far.items()], "x", "y", "z")
+    # The smallest cosine, with room for rounding; half the sphere away is the farthest.
+    cosine = math.cos(min(max_km * 1000 / EARTH_RADIUS_M, math.pi)) - 1e-9
+    dot = sum((F.col(near[c]) * F.col(far[c]) for c in unit), F.lit(0.0))
+    pairs = salted_join(left, right, ["x", "y", "z"], limit=limit or CROWDED)
+    pairs = pairs.where((dot >= cosine) & (F.col("id1") != F.col("id2")) & (~F.col("_own") | (F.col("id1") < F.col("id2"))))
+    turned = F.col("id1") > F.col("id2")
+    first, second = ([F.when(turned, F.col(y)).otherwise(F.col(x)) for x, y in ((f"{c}{m}", f"{c}{n}") for c in ("id", "lat", "lon"))] for m, n in ((1, 2), (2, 1)))
+    out = pairs.select(first[0].alias("a"), second[0].alias("b"), (haversine_m(first[1], first[2], second[1], second[2]) / 1000).alias("distance_km"))
+    return out.where(F.col("distance_km") <= max_km)
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -79,35 +79,61 @@ def reliability_weights(
     A cell weight is (cross + p c) / (square + p) with the constant weight c and
     p = ``penalty_rows`` mean squared disagreements, clipped to [0, 1].
     """
-    cal = materialise(cal.select(*dict.fromkeys([*by, observed, forecast, disagreement, *features])))
-    cuts = quantiles_of(cal, by, {f: {f"{f}_{k}": p for k, p in TERCILES.items()} for f in features})
+    return reliability_arms(cal, by, observed, forecast, disagreement, {"cells": features}, penalty_rows)["cells"]
+
+
+def reliability_arms(
+    cal: DataFrame, by: Sequence[str], observed: str, forecast: str, disagreement: str, arms: Mapping[str, Sequence[str]],
+    penalty_rows: float = 100.0,
+) -> dict[str, DataFrame]:
+    """:func:`reliability_weights` for each arm's features.
+
+    The cuts of a feature are made once, and one pass sums the rows in the cells of all features; an arm adds these up.
+    """
+    every = list(dict.fromkeys(f for features in arms.values() for f in features))
+    cal = materialise(cal.select(*dict.fromkeys([*by, observed, forecast, disagreement, *every])))
+    cuts = quantiles_of(cal, by, {f: {f"{f}_{k}": p for k, p in TERCILES.items()} for f in every})
     cuts = materialise(cuts)  # read for the cells and for the grid
-    rows = salted_join(cal, cuts, by, how="left").withColumn("cell", cell_index(features))
+    thirds = {f: f"_third{i}" for i, f in enumerate(every)}
+    rows = salted_join(cal, cuts, by, how="left").withColumns({thirds[f]: third(f) for f in every})
     d, r = F.col(disagreement), F.col(observed) - F.col(forecast)
-    cells = rows.groupBy(*by, "cell").agg(
-        F.count(F.lit(1)).alias("_n"), F.sum(d * r).alias("_x"), F.sum(d * d).alias("_s")
-    )
-    whole = cells.groupBy(*by).agg(F.sum("_n").alias("_tn"), F.sum("_x").alias("_tx"), F.sum("_s").alias("_ts"))
+    sums = rows.groupBy(*by, *thirds.values()).agg(F.count(F.lit(1)).alias("_n"), F.sum(d * r).alias("_x"), F.sum(d * d).alias("_s"))
+    sums = materialise(sums)
+    whole = sums.groupBy(*by).agg(F.sum("_n").alias("_tn"), F.sum("_x").alias("_tx"), F.sum("_s").alias("_ts"))
     constant = F.coalesce(clip(divide(F.col("_tx"), F.col("_ts")), 0.0, 1.0), F.lit(0.0))
-    grid = cuts.withColumn("cell", F.explode(F.array(*[F.lit(i) for i in range(3 ** len(features))])))
-    out = grid.join(cells, [*by, "cell"], "left").join(whole, list(by)).withColumn("constant", constant)
     p = penalty_rows * F.col("_ts") / F.col("_tn")
     x, s = F.coalesce("_x", F.lit(0.0)), F.coalesce("_s", F.lit(0.0))
     w = F.coalesce(divide(x + p * F.col("constant"), s + p), F.col("constant"))
-    names = [f"{f}_{k}" for f in features for k in TERCILES]
-    return out.select(
-        *by, *names, "cell", clip(w, 0.0, 1.0).alias("weight"), "constant",
-        F.coalesce("_n", F.lit(0)).cast("bigint").alias("rows"),
-    )
+    out = {}
+    for arm, features in arms.items():
+        names = [f"{f}_{k}" for f in features for k in TERCILES]
+        cell = _base_three([F.col(thirds[f]) for f in features]).alias("cell")
+        cells = sums.groupBy(*by, cell).agg(F.sum("_n").alias("_n"), F.sum("_x").alias("_x"), F.sum("_s").alias("_s"))
+        grid = cuts.select(*by, *names, F.explode(F.array(*[F.lit(i) for i in range(3 ** len(features))])).alias("cell"))
+        found = grid.join(cells, [*by, "cell"], "left").join(whole, list(by)).withColumn("constant", constant)
+        out[arm] = found.select(
+            *by, *names, "cell", clip(w, 0.0, 1.0).alias("weight"), "constant",
+            F.coalesce("_n", F.lit(0)).cast("bigint").alias("rows"),
+        )
+    return out
 
 
-def cell_index(features: Sequence[str]) -> Column:
+def third(feature: str) -> Column:
+    """0, 1 or 2: the part between the feature's terciles."""
+    return cut_index(feature, [f"{feature}_{k}" for k in TERCILES], right=True)
+
+
+def _base_three(digits: Sequence[Column]) -> Column:
     out = F.lit(0)
-    for f in features:
-        out = out * 3 + cut_index(f, [f"{f}_{k}" for k in TERCILES], right=True)
+    for d in digits:
+        out = out * 3 + d
     return out
 
 
+def cell_index(features: Sequence[str]) -> Column:
+    return _base_three([third(f) for f in features])
+
+
 def apply_reliability(
     df: DataFrame, weights: DataFrame, by: Sequence[str], forecast: str, disagreement: str, features: Sequence[str]
 ) -> DataFrame:

@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.base import ColumnLike, col, finite, micros
 from ..session import materialise
@@ -72,20 +73,47 @@ def _calibration(inner: DataFrame, pair: str, fold: str) -> DataFrame:
     return inner.withColumn("_k", k).where("_k is not null")
 
 
-def check_transfer(cal: DataFrame, outer: DataFrame, *, sample: str, group: str, fold: str) -> None:
-    """Raises unless each fold is calibrated by every sample of the other folds once, and by no group of its own."""
-    own = outer.select(sample, F.col(fold).alias("_own"))
-    twice = cal.groupBy("_k", sample).count().where("count > 1").count()
-    met = cal.select(sample, "_k").join(own, sample, "left").groupBy("_k").agg(
-        F.count_if(F.col("_own").isNull() | (F.col("_own") == F.col("_k"))).alias("strange"), F.count(F.lit(1)).alias("met")
+def _paired(cal: DataFrame, outer: DataFrame, *, sample: str, fold: str, time: Column) -> DataFrame:
+    """Calibration rows with the fold ``_own`` and the time ``_us`` of their sample's outer row, NULL without one.
+
+    ``_second`` marks one row of each sample that comes more than once in a calibration, ``_copy`` numbers the outer rows
+    of a sample. Both tables are dealt by sample once, for the numbers and for the join.
+    """
+    number = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy(sample))
+    rows = cal.repartition(sample).withColumn("_second", number(sample, "_k") == 2)
+    own = outer.select(sample, F.col(fold).alias("_own"), time.alias("_us")).repartition(sample).withColumn("_copy", number(sample))
+    return rows.join(own, sample, "left").withColumn("_second", F.col("_second") & (F.coalesce("_copy", F.lit(1)) == 1))
+
+
+def transfer_counts(paired: DataFrame, outer: DataFrame, *, group: str, fold: str, used: Column, tested: Column) -> DataFrame:
+    """One row of counts for each fold: of its calibration (``used`` rows and their groups, and what is wrong) and of its
+    outer rows (``tested`` ones and their groups). Groups are told apart by one pass over both tables."""
+    one, no, k = F.lit(1), F.lit(0), F.col("_k")
+    flag = lambda c: F.when(c, 1).otherwise(0)
+    strange = flag(F.col("_own").isNull() | (F.col("_own") == k))
+    cal = paired.select(
+        k.alias(fold), group, one.alias("met"), strange.alias("strange"), flag(F.col("_second")).alias("twice"), flag(used).alias("used"), no.alias("n"), no.alias("tested")
     )
-    sizes = outer.groupBy(F.col(fold).alias("_k")).agg(F.count(F.lit(1)).alias("n"))
-    total = outer.count()
-    found = sizes.join(met, "_k", "left").agg(
-        F.coalesce(F.sum("strange"), F.lit(0)).alias("strange"), F.count_if(F.coalesce("met", F.lit(0)) != total - F.col("n")).alias("short")
-    ).first()
-    shared = cal.select("_k", group).distinct().join(outer.select(F.col(fold).alias("_k"), group).distinct(), ["_k", group]).count()
-    refuse({"samples twice in a calibration": twice, "samples that don't belong": found["strange"], "folds without all other samples": found["short"], "groups on both sides": shared})
+    own = outer.select(fold, group, *[no.alias(c) for c in ("met", "strange", "twice", "used")], one.alias("n"), flag(tested).alias("tested"))
+    names = ("met", "strange", "twice", "used", "n", "tested")
+    groups = cal.unionByName(own).groupBy(fold, group).agg(*[F.sum(c).alias(c) for c in names])
+    known = F.col(group).isNotNull()
+    return groups.groupBy(fold).agg(
+        F.count_if(known & (F.col("met") > 0) & (F.col("n") > 0) & F.col(fold).isNotNull()).alias("shared"),
+        F.count_if(known & (F.col("used") > 0)).alias("used_groups"), F.count_if(known & (F.col("tested") > 0)).alias("tested_groups"),
+        *[F.sum(c).alias(c) for c in names],
+    )
+
+
+def check_transfer(counts: DataFrame) -> None:
+    """Raises unless each fold is calibrated by every sample of the other folds once, and by no group of its own."""
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    there = F.col("n") > 0
+    found = counts.agg(
+        F.sum("twice").alias("samples twice in a calibration"), F.sum(F.when(there, F.col("strange"))).alias("samples that don't belong"),
+        F.count_if(there & (F.col("met") != total - F.col("n"))).alias("folds without all other samples"), F.sum("shared").alias("groups on both sides"),
+    ).first()
+    refuse(found.asDict())
 
 
 def transfer(
@@ -102,24 +130,30 @@ def transfer(
     fitted in one pass.
     """
     outer = materialise(outer)
-    cal = materialise(_calibration(inner, pair, fold))
-    check_transfer(cal, outer, sample=sample, group=group, fold=fold)
-    test = outer
+    features = dict.fromkeys(f for arm in arms.values() for f in arm)
+    needed = dict.fromkeys(["_k", sample, group, observed, forecast, disagreement, *features])
+    cal = _calibration(inner, pair, fold).select(*needed)
+    when = micros(time) if early_end else F.lit(None)
+    paired = _paired(cal, outer, sample=sample, fold=fold, time=when.cast("bigint")).drop(sample)
     if early_end:
-        when = outer.select(sample, micros(time).alias("_us"))
-        limit = micros(F.lit(early_end).cast("timestamp"))
-        early = when.where(F.col("_us") < limit)
-        cal = materialise(cal.join(early, sample))
-        test = outer.where(micros(time) >= micros(F.lit(later_start).cast("timestamp")))
-    facts = cal.groupBy(F.col("_k").alias(fold)).agg(F.count(F.lit(1)).alias("calibration_rows"), F.count_distinct(group).alias("calibration_groups"))
-    tested = test.groupBy(fold).agg(F.count(F.lit(1)).alias("test_rows"), F.count_distinct(group).alias("test_groups"))
-    folds = materialise(outer.select(fold).distinct().join(facts, fold, "left").join(tested, fold, "left"))
-    refuse({"folds without calibration or test rows": folds.where("calibration_rows is null or test_rows is null").count()})
-    fitted = cal.drop(fold).withColumnRenamed("_k", fold)
-    out = test
+        used = F.col("_us") < micros(F.lit(early_end).cast("timestamp"))
+        tested = micros(time) >= micros(F.lit(later_start).cast("timestamp"))
+    else:
+        used, tested = F.coalesce("_copy", F.lit(1)) == 1, F.lit(True)
+    # Read for the counts and for the weights.
+    paired = materialise(paired)
+    counts = materialise(transfer_counts(paired, outer, group=group, fold=fold, used=used, tested=tested))
+    check_transfer(counts)
+    folds = counts.where("n > 0").select(
+        F.col(fold).cast(outer.schema[fold].dataType).alias(fold), F.col("used").alias("calibration_rows"), F.col("used_groups").alias("calibration_groups"),
+        F.col("tested").alias("test_rows"), F.col("tested_groups").alias("test_groups"),
+    )
+    refuse({"folds without calibration or test rows": folds.where("calibration_rows = 0 or test_rows = 0").count()})
+    fitted = paired.where(used).withColumnRenamed("_k", fold)
+    out = outer.where(tested)
+    weights = blends.reliability_arms(fitted, [fold], observed, forecast, disagreement, arms, penalty_rows) if arms else {}
     for name, features in arms.items():
-        weights = blends.reliability_weights(fitted, [fold], observed, forecast, disagreement, features, penalty_rows)
-        done = blends.apply_reliability(out, weights, [fold], forecast, disagreement, features)
+        done = blends.apply_reliability(out, weights[name], [fold], forecast, disagreement, features)
         out = done.withColumnsRenamed({"reliability": name, "weight": f"weight_{name}"}).drop("cell")
         out = out.drop("constant").withColumnRenamed("constant_blend", "constant") if name == list(arms)[-1] else out.drop("constant", "constant_blend")
     return out, folds

@@ -27,6 +27,7 @@ def quantiles(
     Small groups use the built-in exact aggregate. A hot group is reduced to value counts,
     scanned in order, and only the rows that cover a wanted rank are kept.
     """
+    asked = limit
     limit = limit or rows_per_task(df.sparkSession)
     rows = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).select(*by, value)
     rows, keys = _keyed(rows, by)
@@ -34,10 +35,11 @@ def quantiles(
     if largest_group(rows, keys) <= max(limit // 10, 1):
         out = rows.groupBy(*keys).agg(*[F.percentile(value, p).alias(k) for k, p in probs.items()])
         return out.drop(WHOLE)
-    counts = rows.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
-    seen = ordered(counts, keys, [value], limit=limit, _cum=RunningSum(F.col("_c")))
-    totals = counts.groupBy(*keys).agg(F.sum("_c").alias("_total"))
-    seen = salted_join(seen, totals, keys, how="left", limit=limit)
+    counts = materialise(rows.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c")))
+    totals = materialise(counts.groupBy(*keys).agg(F.sum("_c").alias("_total"), F.count(F.lit(1)).alias("_different")))
+    most = totals.agg(F.max("_different")).first()[0]
+    seen = ordered(counts, keys, [value], limit=limit, largest=most, _cum=RunningSum(F.col("_c")))
+    seen = salted_join(seen, totals, keys, how="left", limit=asked, counted="_different")
     first, last = F.col("_cum") - F.col("_c"), F.col("_cum") - 1
 
     def at(rank):
